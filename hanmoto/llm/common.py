@@ -81,3 +81,14 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return local.join(bases, same).withColumn(out, F.col("_local") + F.col("_base")).drop("_local", "_base", "_r", "_range", *[f"_k{i}" for i in range(len(keys))])
+
+
+def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds ``out``: the row's number from 0 in the whole table's order, without gathering rows: a sort, then one offset a partition."""
+    placed = materialize(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rank = F.col("_base") + F.col("_id").bitwiseAND((1 << 33) - 1)
+    return placed.join(bases, part == F.col("_part")).withColumn(out, rank).drop("_id", "_part", "_base")
