@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, doc_fingerprint, line_dedup, mixing, packing, quality_rules, simhash, sstable
+from . import chat_format, doc_fingerprint, line_dedup, mixing, packing, quality_rules, simhash, sstable, toxicity
 from .tokens import public_path
 
 
@@ -19,6 +19,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(_documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = sstable.write_shards(_documents(spark, sf_dir), public_path("word_bpe_49k.json"))
     read = sstable.read_shards(spark, folder, manifest)
@@ -69,6 +74,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op4_token_shards": op4_token_shards,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
