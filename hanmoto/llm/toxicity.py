@@ -266,9 +266,9 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         aside[:] = False
     vocabulary = Vocabulary(known)
     codes = [vocabulary.codes(t) for t in texts]
-    word_ids, gram_ids, gram_of = vocabulary.learn()
-    count = np.bincount(gram_of, minlength=len(word_ids))
-    first = np.cumsum(count) - count
+    bases = [base(w) for w in vocabulary]
+    word_ids = np.array([known.get(w, 0) for w in bases], np.int64)
+    vocabulary.clear()
     groups = [np.array([i for i in np.flatnonzero(~aside & (labels == y)) if len(codes[i])]) for y in (0, 1)]
     if not all(map(len, groups)):
         return Model(None, {})
@@ -289,9 +289,8 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         used, local = np.unique(rows, return_inverse=True)
         local = local.reshape(rows.shape) - (used[0] == -1)
         used = used[used >= 0]
-        length = count[used]
-        pick = np.repeat(first[used] - np.cumsum(length) + length, length) + np.arange(length.sum())
-        grams_used, words_used, owner = gram_ids[pick], word_ids[used].copy(), np.repeat(np.arange(len(used)), length)
+        grams_used, owner = grams([bases[i] for i in used])
+        length, words_used = np.bincount(owner, minlength=len(used)), word_ids[used].copy()
         words_used[r.random(len(used)) < 0.3] = 0  # now and then only the characters speak
         x = network.inputs(words_used, grams_used, owner)
         gates = network.gates(x)
@@ -322,7 +321,9 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
             adam(name, g.astype(np.float32), None, step)
     model = Model(network, known)
     held = aside if aside.any() and labels[aside].any() else np.ones(len(texts), bool)
-    logit = model.logits([t for t, h in zip(texts, held, strict=True) if h])
+    own = [t for t, h in zip(texts, held, strict=True) if h]
+    logit = np.concatenate([model.logits(own[i : i + 200]) for i in range(0, len(own), 200)])
+    model.__dict__.pop("_memory", None)
     y = labels[held]
     model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD))) - best_cut(logit, y)
     return model
