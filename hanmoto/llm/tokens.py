@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, with a bounded cache of words.
 
-A text is cut where the tokenizer's own first step always cuts, before the last blank of a run of white space; equal pieces are
-encoded once. The ids are those of the whole text. Strings of special tokens are ordinary text.
+A text is cut where the tokenizer's own first step cuts, and equal pieces are encoded once. Texts of Latin letters are cut all the
+way, into words, numbers and marks; others only at white space, before the last blank of a run. The ids are those of the
+whole text. Strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -16,9 +18,23 @@ import numpy as np
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: For byte-level vocabularies blanks belong to tokens; for vocabularies with word ends they are dropped.
 PIECES = {"byte": re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"), "word": re.compile(f"[^{SPACE}]+")}
-_ODD = re.compile("[\\x1c-\\x1f]")
+#: Below U+0250 there are these letters, numbers and white space, nothing to compose, and lower case is by character.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN = {
+    "byte": re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
+    "word": re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
+}
+_OTHER = re.compile("[^\x00-\u024f]|\u0130")
 #: Characters of text encoded at a time; words and characters that the cache may hold.
-CHUNK, WORDS, CHARS = 1 << 21, 300_000, 1 << 25
+CHUNK, WORDS, CHARS = 1 << 21, 600_000, 1 << 24
+
+
+def _beyond_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return _OTHER.search(text) is not None
 
 
 class _Codes(dict):
@@ -41,6 +57,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
         self.kind = "word" if self.tokenizer.encode("a  b", add_special_tokens=False).ids == self.tokenizer.encode("a b", add_special_tokens=False).ids else "byte"
+        if self.kind == "word":
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -48,28 +67,42 @@ class Encoder:
         self.length, self.start, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def _pieces(self, text: str) -> list[str]:
-        if self.kind == "word" and not _ODD.search(text):
-            return text.split()
-        return PIECES[self.kind].findall(text)
+        if _beyond_latin(text):
+            return PIECES[self.kind].findall(text)
+        return LATIN[self.kind].findall(text.lower() if self.kind == "word" else text)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())), length
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for single words of a vocabulary with word ends, many in one call: a word's last id says so."""
+        many = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
+        ids, _ = self._encoded(many)
+        last = np.flatnonzero(self.ends[ids])
+        length = np.diff(last, prepend=-1)
+        return (ids, length) if len(length) == len(words) and (not len(last) or last[-1] == len(ids) - 1) else self._encoded(words)
 
     def _learn(self) -> None:
-        new = self.codes.new
+        new, self.codes.new = self.codes.new, []
         if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        single = LATIN["word"].fullmatch
+        joined = self.kind == "word" and all(single(w) and not _beyond_latin(w) for w in new)
+        ids, length = self._joined(new) if joined else self._encoded(new)
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.pool = np.concatenate([self.pool, np.fromiter((x for i in ids for x in i), np.uint32, int(length.sum()))])
+        self.pool = np.concatenate([self.pool, ids])
         self.chars += sum(map(len, new))
-        self.codes.new = []
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.codes) > WORDS or self.chars > CHARS:
             self._reset()
         pieces = [self._pieces(t) for t in texts]
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        codes = np.fromiter((self.codes[w] for p in pieces for w in p), np.int64, int(counts.sum()))
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
         self._learn()
         length = self.length[codes]
         stop = np.cumsum(length)
