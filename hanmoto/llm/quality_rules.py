@@ -9,7 +9,7 @@ document; an empty table gives an empty table; extra columns are ignored by ``qu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, words
@@ -24,30 +24,52 @@ PRIOR_WEIGHT = (10.0, 1e6)
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _repeats(hashes: Column) -> Column:
+    """How many words lie in a window that is found twice or more, from the words' hashes."""
+    window = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)])
+    windows = F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), window)
+
+    def starts(ranked: Column) -> Column:
+        at = lambda k: F.get(ranked, k)["h"]
+        twice = F.filter(ranked, lambda p, k: F.coalesce(p["h"] == at(k - 1), F.lit(False)) | F.coalesce(p["h"] == at(k + 1), F.lit(False)))
+        return F.array_sort(F.transform(twice, lambda p: p["i"]))
+
+    def covered(first: Column) -> Column:
+        gaps = F.transform(first, lambda s, k: F.least(F.lit(WINDOW), F.coalesce(s - F.get(first, k - 1), F.lit(WINDOW))))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
+
+    def count(w: Column) -> Column:
+        ranked = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), let(ranked, lambda r: let(starts(r), covered))).otherwise(F.lit(0).cast("long"))
+
+    return F.when(F.size(hashes) >= WINDOW, let(windows, count)).otherwise(F.lit(0).cast("long"))
+
+
+def counts(text: Column) -> Column:
+    """The base counts of a text and ``base_failed``, as one struct."""
+    body = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    duplicates = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+
+    def of(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        chars = F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+        repeated = let(F.transform(w, lambda x: F.xxhash64(x)), _repeats)
+        failed = lambda r: (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)
+        symbols = F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long")
+        return let(repeated, lambda r: F.struct(*[c.alias(x) for c, x in zip((n, chars, symbols, duplicates, r), FEATURES, strict=True)], failed(r).alias("base_failed")))
+
+    return let(words(text), of)
+
+
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the base counts and ``base_failed``. All work is per row, inside one stage."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_words", words(F.col(text)))
-    df = df.withColumn("n_words", F.size("_words").cast("long"))
-    df = df.withColumn("word_chars", F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)))
-    df = df.withColumn("n_symbols", F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long"))
-    df = df.withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    df = df.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
-    at = lambda i: F.xxhash64(*[F.get(F.col("_hash"), i + k) for k in range(WINDOW)])
-    starts = F.sequence(F.lit(0), (F.col("n_words") - WINDOW).cast("int"))
-    df = df.withColumn("_windows", F.when(F.col("n_words") >= WINDOW, F.transform(starts, at)))
-    df = df.withColumn("_again", F.size(F.array_distinct("_windows")) < F.size("_windows"))
-    ranked = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_ranked", F.when(F.col("_again"), ranked))
-    twin = lambda p, k: (p["h"] == F.get(F.col("_ranked"), k - 1)["h"]) | (p["h"] == F.get(F.col("_ranked"), k + 1)["h"])
-    found = F.filter("_ranked", lambda p, k: F.coalesce(twin(p, k), p["h"] == F.get(F.col("_ranked"), k + 1)["h"], p["h"] == F.get(F.col("_ranked"), k - 1)["h"], F.lit(False)))
-    df = df.withColumn("_found", F.when(F.col("_again"), F.array_sort(F.transform(found, lambda p: p["i"]))))
-    gaps = F.transform("_found", lambda s, k: F.least(F.lit(WINDOW), F.coalesce(s - F.get(F.col("_found"), k - 1), F.lit(WINDOW))))
-    covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
-    df = df.withColumn("n_repeat_words", F.when(F.col("_again"), covered).otherwise(F.lit(0).cast("long")))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("_words", "_lines", "_hash", "_windows", "_again", "_ranked", "_found")
+    return docs.withColumn("_counts", counts(F.col(text))).select(*docs.columns, "_counts.*")
 
 
 def host_verdicts(counted: DataFrame, host: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -78,6 +100,6 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", key: str
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that pass, with their own columns. Texts are read twice and never shuffled if the rejected hosts are few."""
     own = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"), F.col(host).alias("_of"))
-    verdicts = host_verdicts(features(own.select("_text", "_of"), "_text").select("_of", "base_failed"), "_of")
-    judged = features(own, "_text").select("_doc", "_of", "base_failed")
+    judged = own.select("_doc", "_of", counts(F.col("_text"))["base_failed"].alias("base_failed"))
+    verdicts = host_verdicts(judged.select("_of", "base_failed"), "_of")
     return _join_verdicts(judged, verdicts, "_of").filter("kept").select("_doc.*")
