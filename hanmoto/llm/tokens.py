@@ -7,6 +7,7 @@ whole text. Strings of special tokens are ordinary text.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -51,6 +52,7 @@ class _Codes(dict):
 
 class Encoder:
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
