@@ -27,7 +27,7 @@ LATIN = {
 }
 _OTHER = re.compile("[^\x00-\u024f]|\u0130")
 #: Characters of text encoded at a time; words and characters that the cache may hold.
-CHUNK, WORDS, CHARS = 1 << 21, 600_000, 1 << 24
+CHUNK, WORDS, CHARS = 1 << 21, 900_000, 1 << 24
 
 
 def _beyond_latin(text: str) -> bool:
@@ -59,9 +59,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
         self.kind = "word" if self.tokenizer.encode("a  b", add_special_tokens=False).ids == self.tokenizer.encode("a b", add_special_tokens=False).ids else "byte"
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if self.kind == "word":
-            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+            self.single = LATIN["word"].fullmatch
+        else:
+            self.ends[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
+            self.single = re.compile(f" ?[^{SPACE}]+").fullmatch
         self._reset()
 
     def _reset(self) -> None:
@@ -80,23 +84,28 @@ class Encoder:
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())), length
 
     def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for single words of a vocabulary with word ends, many in one call: a word's last id says so."""
-        many = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
-        ids, _ = self._encoded(many)
+        """The same for single words, many in one call. The words' ends are seen by word-end ids or by line ends put between them."""
+        gap = " " if self.kind == "word" else "\n"
+        ids, _ = self._encoded([gap.join(words[i : i + 200]) + gap for i in range(0, len(words), 200)])
         last = np.flatnonzero(self.ends[ids])
         length = np.diff(last, prepend=-1)
-        return (ids, length) if len(length) == len(words) and (not len(last) or last[-1] == len(ids) - 1) else self._encoded(words)
+        if len(length) != len(words) or (len(last) and last[-1] != len(ids) - 1):
+            return self._encoded(words)
+        return (ids, length) if self.kind == "word" else (ids[~self.ends[ids]], length - 1)
 
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
         if not new:
             return
-        single = LATIN["word"].fullmatch
-        joined = self.kind == "word" and all(single(w) and not _beyond_latin(w) for w in new)
-        ids, length = self._joined(new) if joined else self._encoded(new)
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.pool = np.concatenate([self.pool, ids])
+        single = [bool(self.single(w)) and not (self.kind == "word" and _beyond_latin(w)) for w in new]
+        start, length, pools, n = np.empty(len(new), np.int64), np.empty(len(new), np.int64), [self.pool], len(self.pool)
+        for kind, encode in ((True, self._joined), (False, self._encoded)):
+            if at := [i for i, s in enumerate(single) if s is kind]:
+                ids, own = encode([new[i] for i in at])
+                start[at], length[at] = n + np.cumsum(own) - own, own
+                pools.append(ids)
+                n += len(ids)
+        self.start, self.length, self.pool = np.concatenate([self.start, start]), np.concatenate([self.length, length]), np.concatenate(pools)
         self.chars += sum(map(len, new))
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
