@@ -3,8 +3,8 @@
 Candidates are pairs of distinct texts whose fingerprints of two-word shingles differ in at most CANDIDATE_RADIUS bits; a pair is a link if
 the Jaccard similarity of its five-word shingles is SIMILAR or more. The smallest key of each connected component stays.
 
-Crowded buckets first give spanning links only. What these leave apart is compared in full afterwards, so no pair within the
-radius goes unseen, and pairs that are already connected aren't compared again.
+A first round with few tables and spanning links joins crowded groups. The second lists every pair within the radius that the first
+left apart, each in one table only, and so misses none; what gets connected meanwhile isn't compared again.
 
 Defined results: null and blank texts are equal texts if they are the same value, and alike (no shingles) otherwise; a null key
 counts as larger than any; repeated rows are exact copies; other columns are kept; an empty table gives an empty table.
@@ -12,8 +12,6 @@ counts as larger than any; repeated rows are exact copies; other columns are kep
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .simhash import KEY, components, fingerprint, packed, shingle_hashes, sorted_buckets, spanning
+from .simhash import components, fingerprint, links, masks, packed, shingle_hashes, sorted_buckets
 
 SIMILAR, SHINGLE = 0.8, 5
 CANDIDATE_SHINGLE, CANDIDATE_RADIUS = 2, 6
-#: Members of a bucket whose pairs are all listed at once.
-SMALL = 24
+#: The first round's radius.
+FIRST_RADIUS = 2
 
 
 def shingle_set(text: str | None) -> bytes:
@@ -62,80 +60,52 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(read_set(x), read_set(y)) >= SIMILAR for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-@F.pandas_udf(T.BinaryType())
-def _flat(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: np.array(v, np.int64).tobytes())
-
-
 def _pairs(radius: int):
-    """All pairs within the radius from small buckets, spanning links from others; ``more``: there are others."""
+    """All pairs within the radius whose labels differ, in blocks of rows; each pair comes from the first table in which it meets."""
+    tables = masks(radius)
+
+    def first_here(x: np.ndarray, y: np.ndarray, table: int) -> np.ndarray:
+        out = np.ones(len(x), bool)
+        for m in tables[:table]:
+            out[out] = (x[out] ^ y[out]) & m != 0
+        return out
 
     def f(group: pa.Table) -> pa.Table:
         rows, first, last = sorted_buckets(group.column("rows"), radius)
-        bits, node, size = rows["bits"], rows["node"], last - first
-        left, right = [], []
-        for n in range(2, SMALL + 1):
-            at = first[size == n]
-            for i in range(n if len(at) else 0):
-                for j in range(i):
-                    ok = np.bitwise_count(bits[at + i] ^ bits[at + j]) <= radius
-                    left.append(node[at[ok] + j])
-                    right.append(node[at[ok] + i])
-        crowded = np.flatnonzero(size > SMALL)
-        for k in crowded:
-            p, c = spanning(bits[first[k] : last[k]], radius)
-            left.append(node[first[k] + p])
-            right.append(node[first[k] + c])
-        both = np.stack([np.concatenate(left or [node[:0]]), np.concatenate(right or [node[:0]])], 1)
-        both.sort(axis=1)
-        both = np.unique(both, axis=0)
-        return pa.table({"a": both[:, 0], "b": both[:, 1], "more": np.full(len(both), bool(len(crowded)))})
-
-    return f
-
+        bits, node, label, size = rows["bits"], rows["node"], rows["label"], last - first
+        found = []
 
-def _rest(radius: int):
-    """From crowded buckets all pairs within the radius whose labels differ, in blocks of rows."""
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            ok = (np.bitwise_count(bits[i] ^ bits[j]) <= radius) & (label[i] != label[j])
+            i, j = i[ok], j[ok]
+            for t in np.unique(rows["table"][i]):
+                of = rows["table"][i] == t
+                here = first_here(bits[i[of]], bits[j[of]], int(t))
+                found.append(np.stack([node[i[of]][here], node[j[of]][here]], 1))
 
-    def f(batches: Iterator[pa.Table]) -> pa.Table:
-        rows, first, last = sorted_buckets(batches.column("rows"), radius)
-        label = dict(zip(*(np.concatenate([np.frombuffer(x, np.int64) for x in batches.column(c).to_pylist()]).tolist() for c in ("nodes", "labels")), strict=True))
-        found = []
-        for i, j in zip(first, last, strict=True):
-            if j - i <= SMALL:
-                continue
-            bits, node = rows["bits"][i:j], rows["node"][i:j]
-            own = np.array([label[n] for n in node.tolist()])
-            if (own == own[0]).all():
+        for n in range(2, 9):
+            at = first[size == n]
+            for j in range(n if len(at) else 0):
+                for i in range(j):
+                    keep(at + i, at + j)
+        for k in np.flatnonzero(size > 8):
+            members = np.arange(first[k], last[k])
+            if (label[members] == label[members[0]]).all():
                 continue
-            for lo in range(0, len(node), 512):
-                near = (np.bitwise_count(bits[lo : lo + 512, None] ^ bits[None, :]) <= radius) & (own[lo : lo + 512, None] < own[None, :])
-                x, y = np.nonzero(near)
-                found.append(np.stack([node[lo + x], node[y]], 1))
+            for lo in range(0, len(members), 256):
+                x = members[lo : lo + 256]
+                near = (np.bitwise_count(bits[x][:, None] ^ bits[members][None, :]) <= radius) & (label[x][:, None] != label[members][None, :])
+                i, j = np.nonzero(near)
+                ordered = x[i] < members[j]
+                if ordered.any():
+                    keep(x[i[ordered]], members[j[ordered]])
         both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         both.sort(axis=1)
-        both = np.unique(both, axis=0)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
     return f
 
 
-def _labelled(radius: int, table: DataFrame) -> DataFrame:
-    """Packed keys as before, with the labels of each value's nodes beside it."""
-    keys = packed(table, radius)
-    labels = table.select("node", "label")
-
-    def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes = [np.unique(np.frombuffer(x, KEY)["node"]) for x in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([n.tolist() for n in nodes], pa.list_(pa.int64()))], ["part", "rows", "members"])
-
-    listed = keys.mapInArrow(lookup, "part long, rows binary, members array<long>")
-    listed = materialize(listed.withColumn("_row", F.monotonically_increasing_id()), "crowded")
-    of = listed.select("_row", F.explode("members").alias("node")).join(labels, "node").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("l"))
-    return listed.join(of, "_row").select("part", "rows", _flat(F.col("l.node")).alias("nodes"), _flat(F.col("l.label")).alias("labels"))
-
-
 def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """Those of ``a, b`` that are similar. The smaller side's shingles travel with each pair, once."""
     left = pairs.join(prints.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
@@ -156,18 +126,14 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def groups(prints: DataFrame, radius: int = CANDIDATE_RADIUS) -> DataFrame:
     """``node, label`` from a written table of ``node, bits, shingles``."""
     table = prints.select("bits", "node")
-    found = packed(table, radius).groupBy("part").applyInArrow(_pairs(radius), "a long, b long, more boolean")
-    pairs = materialize(found.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
-    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(one, prints)
-    labels = _with_labels(table.select("node"), links)
-    links = links.unionByName(verified(_apart(pairs.select("a", "b"), labels), prints))
-    labels = _with_labels(table.select("node"), links)
-    if pairs.filter("more").take(1):
-        rest = _labelled(radius, materialize(table.join(labels, "node"), "labelled")).groupBy("part").applyInArrow(_rest(radius), "a long, b long").distinct()
-        links = links.unionByName(verified(rest.join(pairs, ["a", "b"], "left_anti"), prints))
-        labels = _with_labels(table.select("node"), links)
-    return labels
+    linked = verified(links(table, FIRST_RADIUS), prints)
+    labels = _with_labels(table.select("node"), linked)
+    known = materialize(table.join(labels, "node"), "labelled")
+    pairs = materialize(packed(known, radius).groupBy("part").applyInArrow(_pairs(radius), "a long, b long"), "pairs")
+    linked = linked.unionByName(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), prints))
+    labels = _with_labels(table.select("node"), linked)
+    linked = linked.unionByName(verified(_apart(pairs, labels), prints))
+    return _with_labels(table.select("node"), linked)
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

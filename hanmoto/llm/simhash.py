@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,10 @@ from .common import materialize, tasks
 WORDS_PER_SHINGLE, RADIUS, SEED = 3, 3, 42
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Bytes of text hashed at once, bytes of keys in a bucket part, members of a bucket compared in one go.
-CHUNK, PART, DENSE = 1 << 20, 16 << 20, 4096
-KEY = np.dtype([("table", "u1"), ("bits", "<u8"), ("node", "<i8")])
+CHUNK, PART, DENSE = 1 << 20, 8 << 20, 4096
+KEY = np.dtype([("table", "<u8"), ("bits", "<u8"), ("node", "<i8"), ("label", "<i8")])
+#: Bytes that a key takes in a packed part, about.
+PACKED = 14
 
 
 def shingle_hashes(text: str | None, k: int, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -91,24 +94,38 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def squeeze(rows: np.ndarray) -> bytes:
+    """Keys by column and by byte, compressed."""
+    planes = b"".join(np.ascontiguousarray(rows[c]).view(np.uint8).reshape(-1, 8).T.tobytes() for c in KEY.names)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def expand(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(len(KEY.names), 8, -1)
+    rows = np.empty(raw.shape[2], KEY)
+    for i, c in enumerate(KEY.names):
+        rows[c] = np.ascontiguousarray(raw[i].T).reshape(-1).view(KEY[c])
+    return rows
+
+
 def _pack(radius: int, parts: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = masks(radius)
         for b in batches:
             bits = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            node = b.column(1).to_numpy(zero_copy_only=False)
-            for lo in range(0, len(bits), 2000):
-                x, v = bits[lo : lo + 2000], node[lo : lo + 2000]
+            node, label = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            for lo in range(0, len(bits), 4000):
+                x, v, w = bits[lo : lo + 4000], node[lo : lo + 4000], label[lo : lo + 4000]
                 rows = np.empty(len(x) * len(table), KEY)
                 part = np.empty(len(rows), np.int64)
                 for u, m in enumerate(table):
                     s = slice(u * len(x), (u + 1) * len(x))
-                    rows["table"][s], rows["bits"][s], rows["node"][s] = u, x, v
+                    rows["table"][s], rows["bits"][s], rows["node"][s], rows["label"][s] = u, x, v, w
                     part[s] = _mixed((x & m) + np.uint64(u)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
                 rows, part = rows[order], part[order]
                 edges = np.flatnonzero(np.diff(part, prepend=-1))
-                blobs = [rows[i:j].tobytes() for i, j in zip(edges, [*edges[1:], len(rows)], strict=True)]
+                blobs = [squeeze(rows[i:j]) for i, j in zip(edges, [*edges[1:], len(rows)], strict=True)]
                 yield pa.record_batch([pa.array(part[edges]), pa.array(blobs, pa.binary())], ["part", "rows"])
 
     return f
@@ -156,7 +173,7 @@ def _forest(bits: np.ndarray, radius: int, free: np.ndarray) -> tuple[np.ndarray
 
 def sorted_buckets(blobs: pa.ChunkedArray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The part's keys sorted by table and bucket, and the first and last row of each bucket that holds more than one."""
-    rows = np.concatenate([np.frombuffer(x, KEY) for x in blobs.to_pylist()])
+    rows = np.concatenate([expand(x) for x in blobs.to_pylist()])
     key = rows["bits"] & masks(radius)[rows["table"]]
     order = np.lexsort((rows["node"], key, rows["table"]))
     rows, key = rows[order], key[order]
@@ -187,12 +204,13 @@ def _bucket_links(radius: int):
 
 
 def parts_for(nodes: int, radius: int, spark) -> int:
-    return max(tasks(spark), -(-nodes * ((2 << radius) - 1) * KEY.itemsize // PART))
+    return max(tasks(spark), -(-nodes * ((2 << radius) - 1) * PACKED // PART))
 
 
 def packed(nodes: DataFrame, radius: int) -> DataFrame:
-    """``part, rows`` of a written table of ``bits, node``."""
-    return nodes.select("bits", "node").mapInArrow(_pack(radius, parts_for(nodes.count(), radius, nodes.sparkSession)), "part long, rows binary")
+    """``part, rows`` of a written table of ``bits, node`` and, if pairs within a label are of no interest, ``label``."""
+    label = F.col("label") if "label" in nodes.columns else F.col("node")
+    return nodes.select("bits", "node", label.alias("label")).mapInArrow(_pack(radius, parts_for(nodes.count(), radius, nodes.sparkSession)), "part long, rows binary")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
