@@ -5,7 +5,9 @@ anchor; windows in a row with the same anchor make a segment. Equal windows have
 compare segments with equal anchors. This happens in three rounds over the blocks, with packed values in between:
 
 1. Segments' hashes go to their anchor's part, where equal segments get the smallest document that holds them.
-2. Where an anchor has different segments, these go to a part as text. There, windows with the same anchor and place are sorted as
+   Each also carries short hashes of the SIDE bytes left and right of its anchor: a window has so many on one side at least,
+   so different segments with neither in common have no window in common.
+2. Other different segments of an anchor go to a part as text. There, windows with the same anchor and place are sorted as
    suffixes: a mergesort whose comparisons find the longest common extension by binary search on prefix hashes. Neighbours with a
    common extension of a whole window are verified byte by byte, and each class of windows gets its smallest document.
 3. Blocks mark the windows found in smaller documents and cut their bytes out.
@@ -31,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, tasks
-from .prefix_hash import PRIME, PrefixHash, mix, powers, reduce
+from .prefix_hash import PRIME, PrefixHash, WrapHash, mix, powers, reduce
 
 #: Bytes of a window and of an anchor; grams in a window.
 LENGTH, GRAM = 50, 20
 GRAMS = LENGTH - GRAM + 1
+SIDE = (LENGTH - GRAM) // 2
 #: Bytes of a block, windows hashed at once, bytes of a part, bytes that a packed segment takes about.
-BLOCK, CHUNK, PART, PACKED = 4 << 20, 1 << 16, 12 << 20, 14
+BLOCK, CHUNK, PART, PACKED = 4 << 20, 1 << 16, 12 << 20, 18
 LAST = np.int64((1 << 63) - 1)
 
 
@@ -79,7 +82,8 @@ def write_blocks(docs: DataFrame) -> DataFrame:
 
 
 class Segments:
-    """A block's segments in order: ``start``, ``count`` of windows, ``anchor`` (hash), ``place`` (of the anchor from the start), ``hash``, ``doc``."""
+    """A block's segments in order: ``start``, ``count`` of windows, ``anchor`` (hash), ``place`` (of the anchor from the start), ``hash``, ``doc``,
+    ``left`` and ``right``: hashes of the bytes beside the anchor, 0 where the segment holds too few."""
 
     def __init__(self, ids: bytes, lengths: bytes, data: bytes):
         self.ids, length = np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int64)
@@ -88,7 +92,7 @@ class Segments:
         self.begins = self.ends - length
         found = [self._chunk(at) for at in range(0, len(self.data) - LENGTH + 1, CHUNK)]
         self.start, self.count, self.place = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
-        self.anchor, self.hash = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.uint64) for i in (3, 4))
+        self.anchor, self.hash, self.left, self.right = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.uint64) for i in (3, 4, 5, 6))
         self.doc = self.ids[np.searchsorted(self.ends, self.start, "right")] if found else np.empty(0, np.int64)
 
     def _chunk(self, at: int) -> tuple[np.ndarray, ...]:
@@ -117,7 +121,11 @@ class Segments:
         stop = np.flatnonzero(np.r_[(new | ~valid[:n])[1:], True] & valid[:n]) + 1
         anchor = where[start]
         hashed = mix(p.span(anchor, np.full(len(anchor), GRAM)))
-        return start + at, stop - start, anchor - start, hashed, mix(p.span(start, stop - start + LENGTH - 1))
+        size, side = stop - start + LENGTH - 1, np.full(len(anchor), SIDE)
+        sides = []
+        for ok, begin in ((anchor - start >= SIDE, anchor - SIDE), (start + size - anchor - GRAM >= SIDE, anchor + GRAM)):
+            sides.append(np.where(ok, mix(p.span(np.where(ok, begin, 0), np.where(ok, side, 0))) >> np.uint64(48) | np.uint64(1), np.uint64(0)))
+        return start + at, stop - start, anchor - start, hashed, mix(p.span(start, size)), *sides
 
 
 class Records:
@@ -165,8 +173,9 @@ def _send_segments(parts: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for block, ids, lengths, data in _rows(batches):
-            r = Records(Segments(ids, lengths, data), parts)
-            out = [(p, squeeze.compress(_planes(r.anchor[i:j], 8) + _planes(r.hash[i:j], 6) + _planes(r.doc[i:j].view(np.uint64), 8))) for p, i, j in r.parts()]
+            s = Segments(ids, lengths, data)
+            r = Records(s, parts)
+            out = [(p, squeeze.compress(_planes(r.anchor[i:j], 8) + _planes(r.hash[i:j], 6) + _planes(r.doc[i:j].view(np.uint64), 8) + _planes(s.left[r.first[i:j]], 2) + _planes(s.right[r.first[i:j]], 2))) for p, i, j in r.parts()]
             yield pa.record_batch([pa.array([p for p, _ in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], ["part", "block", "rows"])
 
     return f
@@ -176,24 +185,33 @@ def _settle_segments(group: pa.Table) -> pa.Table:
     """For each block what its records don't know: smaller documents with the same segment, and which records must be compared as text."""
     blocks = group.column("block").to_pylist()
     unpack = zstandard.ZstdDecompressor()
-    anchors, hashes, docs, counts = [], [], [], []
+    widths, counts = (8, 6, 8, 2, 2), []
+    columns: list[list[np.ndarray]] = [[] for _ in widths]
     for x in group.column("rows").to_pylist():
         raw = np.frombuffer(unpack.decompress(x), np.uint8)
-        n = len(raw) // 22
-        anchors.append(_numbers(raw[: 8 * n], 8))
-        hashes.append(_numbers(raw[8 * n : 14 * n], 6))
-        docs.append(_numbers(raw[14 * n :], 8).view(np.int64))
+        n, at = len(raw) // sum(widths), 0
+        for c, w in zip(columns, widths, strict=True):
+            c.append(_numbers(raw[at : at + w * n], w))
+            at += w * n
         counts.append(n)
-    anchor, h, doc = np.concatenate(anchors), np.concatenate(hashes), np.concatenate(docs)
+    anchor, h, doc, left, right = (np.concatenate(c) for c in columns)
+    doc = doc.view(np.int64)
     order = np.lexsort((doc, h, anchor))
     a, h, d = anchor[order], h[order], doc[order]
-    new_anchor = np.r_[True, a[1:] != a[:-1]]
-    new = new_anchor | np.r_[True, h[1:] != h[:-1]]
-    least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-    kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
+    new = np.r_[True, (a[1:] != a[:-1]) | (h[1:] != h[:-1])]
+    first, number = np.flatnonzero(new), np.cumsum(new) - 1
+    different = np.zeros(len(first), bool)  # distinct segments that share an anchor and a side with another
+    for side in (left[order][first], right[order][first]):
+        there = np.flatnonzero(side)
+        by_side = there[np.lexsort((side[there], a[first][there]))]
+        x, y = a[first][by_side], side[by_side]
+        twin = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+        different[by_side[1:][twin]] = True
+        different[by_side[:-1][twin]] = True
+    least = d[first][number]
     best, compare = np.empty_like(doc), np.zeros(len(doc), bool)
     best[order] = least
-    compare[order] = (kinds > 1) & (least == d)
+    compare[order] = different[number] & (least == d)
     out, at = [], 0
     for block, n in zip(blocks, counts, strict=True):
         better = np.flatnonzero(best[at : at + n] < doc[at : at + n])
@@ -232,7 +250,7 @@ def _send_texts(parts: int, text_parts: int):
             todo, part = todo[order], part[order]
             edges = np.flatnonzero(np.diff(part, prepend=-1))
             out = []
-            for i, j in zip(edges, [*edges[1:], len(todo)], strict=True):
+            for i, j in zip(edges, [*edges[1:], len(todo)][: len(edges)], strict=True):
                 own, seg = todo[i:j], r.first[todo[i:j]]
                 size = s.count[seg] + LENGTH - 1
                 text = s.data[np.repeat(s.start[seg] - np.cumsum(size) + size, size) + np.arange(size.sum())]
@@ -247,15 +265,14 @@ class SuffixSort:
     """Sorts positions of a text by the LENGTH bytes from there, within groups."""
 
     def __init__(self, text: np.ndarray):
-        self.text, self.hashes = text, PrefixHash(text)
+        self.text, self.hashes = text, WrapHash(text)
 
     def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether a's window comes before b's (or equals it, where that is asked)."""
         out = or_equal.copy()
-        whole = np.full(len(a), LENGTH)
-        differ = np.flatnonzero(self.hashes.span(a, whole) != self.hashes.span(b, whole))
+        differ = np.flatnonzero(self.hashes.span(a, LENGTH) != self.hashes.span(b, LENGTH))
         x, y = a[differ], b[differ]
-        common = self.hashes.common(x, y, np.full(len(x), LENGTH - 1))
+        common = self.hashes.common(x, y, LENGTH - 1)
         out[differ] = self.text[x + common] < self.text[y + common]
         return out
 
@@ -291,8 +308,7 @@ class SuffixSort:
         """For sorted positions: whether the window equals the one before; equal hashes are verified byte by byte."""
         out = np.zeros(len(pos), bool)
         if len(pos) > 1:
-            whole = np.full(len(pos), LENGTH)
-            h = self.hashes.span(pos, whole)
+            h = self.hashes.span(pos, LENGTH)
             for part in np.array_split(np.flatnonzero((h[1:] == h[:-1]) & (group[1:] == group[:-1])) + 1, 1 + len(pos) // 100_000):
                 span = np.arange(LENGTH)
                 out[part] = (self.text[pos[part][:, None] + span] == self.text[pos[part - 1][:, None] + span]).all(1)
