@@ -6,33 +6,55 @@ SQL can't express the hashed fingerprints and the random rounding, so there is n
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hanmoto.llm import line_dedup, mixing, near_copies, packing, quality_rules
-from hanmoto.llm.common import materialize
+from hanmoto.llm.common import materialize, remove, scratch
 from hanmoto.llm.tokens import public_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+_written: list[str] = []
+
+
+def staged(stage):
+    """Deletes what earlier stages wrote on their way: a stage's result is written and read again before the next one is called."""
+
+    @wraps(stage)
+    def f(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _written)
+        with scratch(_written):
+            return stage(spark, docs, sf_dir)
+
+    return f
+
+
+@staged
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+@staged
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.drop_site_lines(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@staged
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_copies.drop_near_copies(docs)
 
 
+@staged
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+@staged
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_path(TOKENIZER)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -28,8 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+_scratch: list[str] | None = None
+
+
+@contextlib.contextmanager
+def scratch(paths: list[str]):
+    """Adds the path of every table written inside to ``paths``."""
+    global _scratch
+    before, _scratch = _scratch, paths
+    try:
+        yield
+    finally:
+        _scratch = before
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that nothing reads any more, in whatever store they are."""
+    jvm = spark.sparkContext._jvm
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch is not None:
+        _scratch.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

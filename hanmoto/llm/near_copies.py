@@ -1,10 +1,11 @@
 """One document of each group of exact and near copies, found by covering SimHash and verified by shingles.
 
-Candidates are pairs of distinct texts whose fingerprints of two-word shingles differ in at most CANDIDATE_RADIUS bits; a pair is a link if
-the Jaccard similarity of its five-word shingles is SIMILAR or more. The smallest key of each connected component stays.
+Candidates are pairs of distinct texts that have one of PRINTS independent fingerprints of two-word shingles within CANDIDATE_RADIUS bits;
+a pair is a link if the Jaccard similarity of its five-word shingles is SIMILAR or more. (Several fingerprints of a small radius find
+more of the pairs just above the similarity than one of a larger radius with as many tables.) The smallest key of each connected component stays.
 
 A first round with few tables and spanning links joins crowded groups. The second lists every pair within the radius that the first
-left apart, each in one table only, and so misses none; what gets connected meanwhile isn't compared again.
+left apart, each in one table of a fingerprint only, and so misses none; what gets connected meanwhile isn't compared again.
 
 Defined results: null and blank texts are equal texts if they are the same value, and alike (no shingles) otherwise; a null key
 counts as larger than any; repeated rows are exact copies; other columns are kept; an empty table gives an empty table.
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .simhash import components, fingerprint, links, masks, packed, shingle_hashes, sorted_buckets
+from .simhash import components, fingerprints, links, masks, packed, shingle_hashes, sorted_buckets
 
 SIMILAR, SHINGLE = 0.8, 5
-CANDIDATE_SHINGLE, CANDIDATE_RADIUS = 2, 6
+CANDIDATE_SHINGLE, CANDIDATE_RADIUS, PRINTS = 2, 4, 4
 #: The first round's radius.
 FIRST_RADIUS = 2
 
@@ -50,9 +51,9 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
-@F.pandas_udf(T.StructType([T.StructField("bits", T.LongType()), T.StructField("shingles", T.BinaryType())]))
+@F.pandas_udf(T.StructType([T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())]))
 def _prints(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"bits": np.array([fingerprint(t, CANDIDATE_SHINGLE) for t in texts], np.int64), "shingles": [shingle_set(t) for t in texts]})
+    return pd.DataFrame({"bits": [fingerprints(t, CANDIDATE_SHINGLE, count=PRINTS) for t in texts], "shingles": [shingle_set(t) for t in texts]})
 
 
 @F.pandas_udf(T.BooleanType())
@@ -66,7 +67,7 @@ def _pairs(radius: int):
 
     def first_here(x: np.ndarray, y: np.ndarray, table: int) -> np.ndarray:
         out = np.ones(len(x), bool)
-        for m in tables[:table]:
+        for m in tables[: table % len(tables)]:
             out[out] = (x[out] ^ y[out]) & m != 0
         return out
 
@@ -125,15 +126,15 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def groups(prints: DataFrame, radius: int = CANDIDATE_RADIUS) -> DataFrame:
     """``node, label`` from a written table of ``node, bits, shingles``."""
-    table = prints.select("bits", "node")
-    linked = verified(links(table, FIRST_RADIUS), prints)
-    labels = _with_labels(table.select("node"), linked)
+    table = prints.select("node", F.posexplode("bits").alias("kind", "bits"))
+    linked = verified(links(materialize(table.filter("kind = 0").select("bits", "node"), "first"), FIRST_RADIUS), prints)
+    labels = _with_labels(prints.select("node"), linked)
     known = materialize(table.join(labels, "node"), "labelled")
-    pairs = materialize(packed(known, radius).groupBy("part").applyInArrow(_pairs(radius), "a long, b long"), "pairs")
+    pairs = materialize(packed(known, radius).groupBy("part").applyInArrow(_pairs(radius), "a long, b long").distinct(), "pairs")
     linked = linked.unionByName(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), prints))
-    labels = _with_labels(table.select("node"), linked)
+    labels = _with_labels(prints.select("node"), linked)
     linked = linked.unionByName(verified(_apart(pairs, labels), prints))
-    return _with_labels(table.select("node"), linked)
+    return _with_labels(prints.select("node"), linked)
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -143,9 +144,8 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     hashes = ["_h0", "_h1", "_h2"]
     first = F.min(F.struct(F.col("_key").isNull().alias("no"), F.col("_key").alias("key")))
     all_prints = own.select("_key", *hashes, _prints("_text").alias("p")).select("_key", *hashes, "p.*")
-    keys = materialize(all_prints, "prints")
-    distinct = materialize(keys.groupBy(*hashes).agg(first.alias("least"), F.first(F.struct("bits", "shingles")).alias("p")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    labels = groups(materialize(distinct.select("node", "p.bits", "p.shingles"), "nodes"))
+    distinct = materialize(all_prints.groupBy(*hashes).agg(first.alias("least"), F.first(F.struct("bits", "shingles")).alias("p")).select(*hashes, "least", "p.*", F.monotonically_increasing_id().alias("node")), "distinct")
+    labels = groups(distinct.select("node", "bits", "shingles"))
     ranked = distinct.select("node", "least", *hashes).join(labels, "node")
     best = ranked.groupBy("label").agg(F.min(F.struct("least", "node")).alias("best")).select(F.col("best.node").alias("node"))
     stay = materialize(ranked.join(best, "node").select(F.col("least.key").alias("_k"), *[F.col(h).alias(f"{h}_") for h in hashes]), "stay")

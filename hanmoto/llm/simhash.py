@@ -65,13 +65,19 @@ def shingle_hashes(text: str | None, k: int, seed: int = SEED) -> Iterator[np.nd
         yield np.array([digest(b" ".join(tail))], np.uint64)
 
 
-def fingerprint(text: str | None, k: int, seed: int = SEED) -> int:
-    """The 64 bits as a signed integer; a bit is 1 if it is set in over half of the hashes."""
-    total, ones = 0, np.zeros(64, np.int64)
+def fingerprints(text: str | None, k: int, seed: int = SEED, count: int = 1) -> list[int]:
+    """The 64 bits as a signed integer; a bit is 1 if it is set in over half of the hashes. More than one come from other mixtures of the hashes."""
+    total, ones = 0, np.zeros((count, 64), np.int64)
     for h in shingle_hashes(text, k, seed):
         total += len(h)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
+        for i in range(count):
+            own = np.ascontiguousarray(h if i == 0 else _mixed(h * np.uint64(2 * i + 1) + np.uint64(i)))
+            ones[i] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def fingerprint(text: str | None, k: int, seed: int = SEED) -> int:
+    return fingerprints(text, k, seed)[0]
 
 
 def fingerprint_column(text: Column, k: int = WORDS_PER_SHINGLE) -> Column:
@@ -113,15 +119,15 @@ def _pack(radius: int, parts: int):
         table = masks(radius)
         for b in batches:
             bits = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            node, label = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            node, label, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
             for lo in range(0, len(bits), 4000):
-                x, v, w = bits[lo : lo + 4000], node[lo : lo + 4000], label[lo : lo + 4000]
+                x, v, w, first = bits[lo : lo + 4000], node[lo : lo + 4000], label[lo : lo + 4000], kind[lo : lo + 4000].astype(np.uint64) * np.uint64(len(table))
                 rows = np.empty(len(x) * len(table), KEY)
                 part = np.empty(len(rows), np.int64)
                 for u, m in enumerate(table):
                     s = slice(u * len(x), (u + 1) * len(x))
-                    rows["table"][s], rows["bits"][s], rows["node"][s], rows["label"][s] = u, x, v, w
-                    part[s] = _mixed((x & m) + np.uint64(u)) % np.uint64(parts)
+                    rows["table"][s], rows["bits"][s], rows["node"][s], rows["label"][s] = first + np.uint64(u), x, v, w
+                    part[s] = _mixed((x & m) + first + np.uint64(u)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
                 rows, part = rows[order], part[order]
                 edges = np.flatnonzero(np.diff(part, prepend=-1))
@@ -171,10 +177,16 @@ def _forest(bits: np.ndarray, radius: int, free: np.ndarray) -> tuple[np.ndarray
     return (np.concatenate(parents), np.concatenate(children)) if parents else (none, none)
 
 
+def mask_of(table, radius: int) -> np.ndarray:
+    """Tables are numbered through all kinds of fingerprints."""
+    m = masks(radius)
+    return m[np.asarray(table).astype(np.int64) % len(m)]
+
+
 def sorted_buckets(blobs: pa.ChunkedArray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The part's keys sorted by table and bucket, and the first and last row of each bucket that holds more than one."""
     rows = np.concatenate([expand(x) for x in blobs.to_pylist()])
-    key = rows["bits"] & masks(radius)[rows["table"]]
+    key = rows["bits"] & mask_of(rows["table"], radius)
     order = np.lexsort((rows["node"], key, rows["table"]))
     rows, key = rows[order], key[order]
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (rows["table"][1:] != rows["table"][:-1])])
@@ -186,13 +198,13 @@ def sorted_buckets(blobs: pa.ChunkedArray, radius: int) -> tuple[np.ndarray, np.
 def _bucket_links(radius: int):
     def f(group: pa.Table) -> pa.Table:
         rows, first, last = sorted_buckets(group.column("rows"), radius)
-        bits, node, all_masks = rows["bits"], rows["node"], masks(radius)
+        bits, node = rows["bits"], rows["node"]
         twos = last - first == 2
         a, b = first[twos], first[twos] + 1
         close = np.bitwise_count(bits[a] ^ bits[b]) <= radius
         left, right = [node[a[close]]], [node[b[close]]]
         for i, j in zip(first[~twos], last[~twos], strict=True):
-            m = int(all_masks[rows["table"][i]])
+            m = int(mask_of(rows["table"][i], radius))
             free = np.array([k for k in range(64) if not m >> k & 1])
             p, c = _forest(bits[i:j], radius, free)
             left.append(node[i:j][p])
@@ -208,9 +220,10 @@ def parts_for(nodes: int, radius: int, spark) -> int:
 
 
 def packed(nodes: DataFrame, radius: int) -> DataFrame:
-    """``part, rows`` of a written table of ``bits, node`` and, if pairs within a label are of no interest, ``label``."""
+    """``part, rows`` of a written table of ``bits, node`` and, where they matter, ``label`` and the fingerprint's ``kind``."""
     label = F.col("label") if "label" in nodes.columns else F.col("node")
-    return nodes.select("bits", "node", label.alias("label")).mapInArrow(_pack(radius, parts_for(nodes.count(), radius, nodes.sparkSession)), "part long, rows binary")
+    kind = F.col("kind") if "kind" in nodes.columns else F.lit(0)
+    return nodes.select("bits", "node", label.alias("label"), kind.cast("int").alias("kind")).mapInArrow(_pack(radius, parts_for(nodes.count(), radius, nodes.sparkSession)), "part long, rows binary")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:

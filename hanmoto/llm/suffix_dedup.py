@@ -128,6 +128,12 @@ class Segments:
         return start + at, stop - start, anchor - start, hashed, mix(p.span(start, size)), *sides
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal numbers, none of them -1, begin and end."""
+    first = np.flatnonzero(np.diff(x, prepend=-1))
+    return first, np.r_[first[1:], len(x)][: len(first)]
+
+
 class Records:
     """A block's distinct segments, sorted by part, anchor and hash; ``of`` gives each segment's record."""
 
@@ -141,8 +147,7 @@ class Records:
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
         self.anchor, self.hash, self.doc, self.part = s.anchor[self.first], s.hash[self.first], s.doc[self.first], part[self.first]
-        self.edges = np.flatnonzero(np.diff(self.part, prepend=-1))
-        self.stops = np.r_[self.edges[1:], len(self.part)]
+        self.edges, self.stops = _runs(self.part)
 
     def parts(self) -> Iterator[tuple[int, int, int]]:
         yield from zip(self.part[self.edges].tolist(), self.edges.tolist(), self.stops.tolist(), strict=True)
@@ -248,9 +253,8 @@ def _send_texts(parts: int, text_parts: int):
             part = (r.anchor[todo] // np.uint64(parts) % np.uint64(text_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             todo, part = todo[order], part[order]
-            edges = np.flatnonzero(np.diff(part, prepend=-1))
             out = []
-            for i, j in zip(edges, [*edges[1:], len(todo)][: len(edges)], strict=True):
+            for i, j in zip(*_runs(part), strict=True):
                 own, seg = todo[i:j], r.first[todo[i:j]]
                 size = s.count[seg] + LENGTH - 1
                 text = s.data[np.repeat(s.start[seg] - np.cumsum(size) + size, size) + np.arange(size.sum())]

@@ -26,7 +26,7 @@ MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 1500, 3000, 100_000
 WINDOW, STRIDE, HIDDEN, DIM, ATTENTION = 32, 24, 8, 16, 8
 #: Rows of the n-gram table, n-gram lengths, documents a word needs to get its own vector, most such words.
 GRAMS, LENGTHS, FEWEST, MOST_WORDS = 1 << 15, (3, 4, 5, 6), 4, 30_000
-UPDATES, BATCH, RATE = 420, 16, 0.012
+UPDATES, PASSES, BATCH, RATE = 420, 20, 16, 0.012
 THRESHOLD = 0.7
 #: Windows scored at once, words a worker remembers.
 GROUP, REMEMBERED = 768, 300_000
@@ -269,20 +269,32 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     bases = [base(w) for w in vocabulary]
     word_ids = np.array([known.get(w, 0) for w in bases], np.int64)
     vocabulary.clear()
+    # n-grams of a few documents only would be learned by heart; their vectors are and stay zero
+    count = np.zeros(GRAMS)
+    distinct = list(seen)
+    for lo in range(0, len(distinct), 20_000):
+        some = distinct[lo : lo + 20_000]
+        ids, of = grams(some)
+        count += np.bincount(ids, np.array([seen[w] for w in some])[of], GRAMS)
+    common = count >= FEWEST
+    network.p["gram"][~common] = 0
+    del seen, distinct
     groups = [np.array([i for i in np.flatnonzero(~aside & (labels == y)) if len(codes[i])]) for y in (0, 1)]
     if not all(map(len, groups)):
         return Model(None, {})
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
 
+    updates = min(UPDATES, max(60, PASSES * -(-min(map(len, groups)) // BATCH)))
+
     def adam(name: str, g: np.ndarray, rows: np.ndarray | None, step: int) -> None:
         m, v = moments[name]
         at = slice(None) if rows is None else rows
         m[at] = 0.9 * m[at] + 0.1 * g
         v[at] = 0.99 * v[at] + 0.01 * g * g
-        rate = RATE * min(1, 2 * (1 - step / (UPDATES + 1)))
+        rate = RATE * min(1, 2 * (1 - step / (updates + 1)))
         network.p[name][at] -= rate * (m[at] / (1 - 0.9 ** (step + 1))) / (np.sqrt(v[at] / (1 - 0.99 ** (step + 1))) + 1e-6)
 
-    for step in range(UPDATES):
+    for step in range(updates):
         docs = np.concatenate([r.choice(g, min(BATCH, len(g)), replace=False) for g in groups])
         every = [windows(codes[i]) for i in docs]
         rows = np.concatenate(every)
@@ -312,7 +324,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
             dx += dg @ network.p[f"in_{d}"].T
         at = np.full(len(used), -1)
         at[touched] = np.arange(len(touched))
-        mine = at[owner] >= 0
+        mine = (at[owner] >= 0) & common[grams_used]
         adam("gram", *reversed(sum_by(grams_used[mine], (dx / length[touched, None])[at[owner[mine]]])), step)
         own = words_used[touched] > 0
         if own.any():
