@@ -18,7 +18,7 @@ OPENERS = {"［": "bracket", "《": "ruby", "《《": "doubleRuby", "〔": "tort
 CLOSERS = {"］": "bracket", "》": "ruby", "》》": "doubleRuby", "〕": "tortoise", "」": "quote"}
 
 # Private-use characters that stand for nodes in normalised text.
-SENTINELS = {"inline": "", "blockLeaf": "", "blockOpen": "", "blockClose": ""}
+SENTINELS = {"inline": "\ue001", "blockLeaf": "\ue002", "blockOpen": "\ue003", "blockClose": "\ue004"}
 
 # Prefix of class and element names in the output.
 CLASS_PREFIX = "aozora-"

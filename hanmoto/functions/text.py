@@ -74,6 +74,22 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(_TOKENS), F.lit(0))
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running_sums(lengths: Column, chunk: int = 64) -> Column:
+    """For each element the sum of those before it, in the row itself: sums of chunks first, then inside each chunk."""
+    zero, add = F.lit(0).cast("long"), lambda a, x: a + x
+    within = lambda c, n: F.aggregate(F.slice(lengths, c * chunk + 1, n), zero, add)
+    chunks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / chunk).cast("int"))
+    before = F.aggregate(chunks, F.array(zero), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + within(c, F.lit(chunk)))))
+    part = lambda i: F.floor(i / chunk).cast("int")
+    sums = let(before, lambda b: F.transform(F.sequence(F.lit(0), F.size(lengths) - 1), lambda i: F.get(b, part(i)) + within(part(i), i % chunk)))
+    return F.when(F.size(lengths) > 0, sums).otherwise(F.array().cast("array<long>"))
+
+
 def trigger_kind(token: Column) -> Column:
     """The kind of a trigger token, null for others."""
     return F.element_at(F.create_map(*[F.lit(x) for pair in TRIGGERS.items() for x in pair]), token)

@@ -15,7 +15,7 @@ import numpy as np
 from ..functions.tables import ACCENTS, BOUTEN, CLASS_PREFIX, CLOSERS, ELEMENT_PREFIX, ELEMENTS, GAIJI_DESCRIPTIONS, HEADINGS, KAERITEN, OPENERS, SECTIONS, SENTINELS, WHITE, gaiji_codes
 
 TOKEN = re.compile("《《|》》|[｜《》［］＃※〔〕「」]|\n")
-SENTINEL = re.compile("[-]")
+SENTINEL = re.compile("[\ue001-\ue004]")
 _RULE = re.compile("-{10,}|={10,}|_{10,}")
 _ACCENT = re.compile("|".join(map(re.escape, sorted(ACCENTS, key=len, reverse=True))))
 _TORTOISE = re.compile("〔([^〕]*)〕")
@@ -48,7 +48,7 @@ def rewrite_accents(text: str) -> str:
 
 
 def sanitize(text: str) -> str:
-    text = text.lstrip("﻿")
+    text = text.lstrip("\ufeff")
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if _RULE.search(text):
@@ -569,7 +569,7 @@ class _Html:
         self.out: list[str] = []
         self.open = self.gap = False
         text, at = parsed.normalized, 0
-        for m in re.finditer("[-\n]", text):
+        for m in re.finditer("[\ue001-\ue004\n]", text):
             if m.start() > at:
                 self._inline(escape(text[at : m.start()]))
             at = m.end()

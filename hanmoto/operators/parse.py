@@ -62,6 +62,15 @@ def parse(df: DataFrame, parts: Sequence[str], source: str = "source", out: str
     return df.mapInArrow(f, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer splits than there are cores is dealt out to all of them before the kernel; larger tables stay as they are.
+
+    For tables that are read, not computed: asking for the splits of a plan with a shuffle would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _exploded(df: DataFrame, part: str, key: str, source: str, seq: str = "seq") -> DataFrame:
     found = parse(df.select(key, source), [part], source)
     return found.select(key, F.posexplode(f"parsed.{part}").alias(seq, "_x")).select(key, seq, "_x.*")
@@ -100,26 +109,13 @@ def cst(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame
 
 
 def tokens(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """Tokens with byte spans, without Python: ``idx, token_kind, trigger_kind, start, end``.
-
-    Start positions are sums over the lengths before, taken per row, so that no window shuffles documents.
-    """
+    """Tokens with byte spans, without Python or a shuffle: ``idx, token_kind, trigger_kind, start, end``."""
     from ..functions import text as X
 
-    lengths = F.transform("_t", lambda t: F.octet_length(t))
-    sums = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    short = df.select(key, X.tokens(F.col(source)).alias("_t"))
-    # long texts use a window per document: appending to an array costs its length each time
-    few, many = short.filter(F.size("_t") <= 64), short.filter(F.size("_t") > 64)
-    a = few.withColumn("_s", sums).select(key, F.posexplode(F.arrays_zip(F.col("_t").alias("t"), F.slice("_s", F.lit(1), F.size("_t")).alias("s"))).alias("idx", "_x"))
-    a = a.select(key, "idx", F.col("_x.t").alias("t"), F.col("_x.s").cast("long").alias("start"))
-    from pyspark.sql.window import Window
-
-    own = many.withColumn("_row", F.monotonically_increasing_id()).select(key, "_row", F.posexplode("_t").alias("idx", "t"))
-    before = Window.partitionBy("_row").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    b = own.select(key, "idx", "t", F.coalesce(F.sum(F.octet_length("t")).over(before), F.lit(0)).alias("start"))
-    both = a.unionByName(b)
-    return both.select(key, "idx", X.token_kind(F.col("t")).alias("token_kind"), X.trigger_kind(F.col("t")).alias("trigger_kind"), "start", (F.col("start") + F.octet_length("t")).alias("end"))
+    starts = lambda t: X.let(F.transform(t, lambda x: F.octet_length(x).cast("long")), X.running_sums)
+    both = X.let(X.tokens(F.coalesce(F.col(source), F.lit(""))), lambda t: F.arrays_zip(t.alias("t"), starts(t).alias("s")))
+    each = df.select(key, F.posexplode(both).alias("idx", "_x")).select(key, "idx", F.col("_x.t").alias("t"), F.col("_x.s").alias("start"))
+    return each.select(key, "idx", X.token_kind(F.col("t")).alias("token_kind"), X.trigger_kind(F.col("t")).alias("trigger_kind"), "start", (F.col("start") + F.octet_length("t")).alias("end"))
 
 
 def edit(df: DataFrame, start: str, end: str, replacement: str, source: str = "source") -> DataFrame:

@@ -32,6 +32,10 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def documents(spark, d, source="text") -> DataFrame:
+    return parse.spread(t(spark, d, "documents").select("doc_id", F.expr(source).alias("source")))
+
+
 def customers(spark, d) -> DataFrame:
     """``｜name《segment》`` after a letter."""
     return t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name", "c_mktsegment", F.concat(F.lit("x｜"), "c_name", F.lit("《"), "c_mktsegment", F.lit("》")).alias("source"))
@@ -51,7 +55,7 @@ def lit(x):
 @query("SELECT doc_id, CAST(2 + octet_length(encode(text)) * 0 + len(regexp_extract_all(text, '\\n|[^\\n]+')) - 2 AS BIGINT) AS n_tokens, CAST(len(text) - len(replace(text, chr(10), '')) AS BIGINT) AS n_newlines, CAST(octet_length(encode(text)) AS BIGINT) AS last_end FROM documents WHERE text <> ''")
 def document_tokens(spark, d):
     """Byte spans of all tokens of all documents."""
-    found = parse.tokens(t(spark, d, "documents").select("doc_id", F.col("text").alias("source")))
+    found = parse.tokens(documents(spark, d))
     return found.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("token_kind") == "newline").alias("n_newlines"), F.max("end").cast("long").alias("last_end"))
 
 
@@ -286,14 +290,14 @@ def html_escape(spark, d):
 @query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), '\n\n+'), lambda x: trim(x, chr(10))), lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, sha256(coalesce(array_to_string(list_transform(l, lambda x: '<p>' || replace(x, chr(10), '<br />' || chr(10)) || '</p>' || chr(10)), ''), '')) AS html FROM p""")
 def html_plain(spark, d):
-    p = parse.parse(t(spark, d, "documents").select("doc_id", F.col("text").alias("source")), ["html"])
+    p = parse.parse(documents(spark, d), ["html"])
     return p.select("doc_id", F.sha2("parsed.html", 256).alias("html"))
 
 
 @query(r"""SELECT doc_id, sha256(regexp_replace(replace(text, chr(10), repeat(chr(10), CAST(1 + doc_id % 4 AS INT))), '\n\n\n+', chr(10) || chr(10), 'g')) AS serialized FROM documents""")
 def serialize_plain(spark, d):
     raw = F.replace("text", lit("\n"), F.repeat(lit("\n"), (F.col("doc_id") % 4 + 1).cast("int")))
-    p = parse.parse(t(spark, d, "documents").select("doc_id", raw.alias("source")), ["serialized"])
+    p = parse.parse(parse.spread(t(spark, d, "documents").select("doc_id", raw.alias("source"))), ["serialized"])
     return p.select("doc_id", F.sha2("parsed.serialized", 256).alias("serialized"))
 
 
@@ -465,7 +469,7 @@ SELECT band, coalesce(n, 0) AS n, 100.0 * coalesce(n, 0) / (SELECT count(*) FROM
 def count_histogram(spark, d):
     """Diagnostics per document: a stray closer for each line end."""
     own = t(spark, d, "documents").select("doc_id", F.replace("text", lit("\n"), lit("」")).alias("source"))
-    return stats.labelled_histogram(parse.parse(own, ["diagnostics"]), F.size("parsed.diagnostics"), stats.DIAGNOSTIC_BANDS)
+    return stats.labelled_histogram(parse.parse(parse.spread(own), ["diagnostics"]), F.size("parsed.diagnostics"), stats.DIAGNOSTIC_BANDS)
 
 
 @query("""WITH x AS (SELECT l_extendedprice / l_quantity / 100 AS r FROM lineitem), g AS (SELECT CASE WHEN r < 1 THEN '0-1' WHEN r < 2 THEN '1-2' WHEN r < 4 THEN '2-4' WHEN r < 8 THEN '4-8' WHEN r < 16 THEN '8-16' ELSE '>16' END AS band, count(*) AS n FROM x GROUP BY 1)
@@ -627,7 +631,8 @@ def _book(spark, d) -> DataFrame:
     words = F.split("text", " ")
     head = F.concat(lit("［＃ここから2字下げ］\n｜"), F.get(words, lit(0)), lit("《よみ》漢字《かんじ》"))
     tail = F.concat(lit("「"), F.get(words, lit(1)), lit("」［＃「漢字」に傍点］※［＃「木＋吶のつくり」、第3水準1-85-54］\n［＃ここで字下げ終わり］\n［＃改ページ］"))
-    return t(spark, d, "documents").select("doc_id", F.concat(head, F.replace("text", lit(". "), lit("。《《強調》》［＃「強調」は縦中横］")), tail).alias("source"))
+    own = F.concat(head, F.replace("text", lit(". "), lit("。《《強調》》［＃「強調」は縦中横］")), tail)
+    return parse.spread(t(spark, d, "documents").select("doc_id", own.alias("source")))
 
 
 @query()

@@ -6,6 +6,7 @@ files of the older binary layout are read and written too.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -48,6 +49,10 @@ def read_vendored(spark: SparkSession, root: str, name: str = "input.sjis.txt")
     return files.select(F.element_at(F.split("path", "/"), -2).alias("label"), "content")
 
 
+#: What the codec makes of the single bytes A0 and FD to FF, which aren't Shift_JIS.
+_BAD = re.compile("[\uf8f0-\uf8f3]")
+
+
 @F.pandas_udf(T.StringType())
 def decode_sjis(content: pd.Series) -> pd.Series:
     """Strict Shift_JIS as browsers read it; null on any bad byte."""
@@ -57,7 +62,7 @@ def decode_sjis(content: pd.Series) -> pd.Series:
             text = None if raw is None else bytes(raw).decode("cp932")
         except UnicodeDecodeError:
             return None
-        return None if text is None or any(c in text for c in "\x80\xa0") else text
+        return None if text is None or _BAD.search(text) else text
 
     return content.map(one)
 
