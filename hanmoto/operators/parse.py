@@ -112,7 +112,7 @@ def tokens(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFr
     """Tokens with byte spans, without Python or a shuffle: ``idx, token_kind, trigger_kind, start, end``."""
     from ..functions import text as X
 
-    starts = lambda t: X.let(F.transform(t, lambda x: F.octet_length(x).cast("long")), X.running_sums)
+    starts = lambda t: X.let(F.transform(t, lambda x: F.octet_length(x).cast("long")), lambda n: X.running_sums(n))
     both = X.let(X.tokens(F.coalesce(F.col(source), F.lit(""))), lambda t: F.arrays_zip(t.alias("t"), starts(t).alias("s")))
     each = df.select(key, F.posexplode(both).alias("idx", "_x")).select(key, "idx", F.col("_x.t").alias("t"), F.col("_x.s").alias("start"))
     return each.select(key, "idx", X.token_kind(F.col("t")).alias("token_kind"), X.trigger_kind(F.col("t")).alias("trigger_kind"), "start", (F.col("start") + F.octet_length("t")).alias("end"))
