@@ -164,3 +164,9 @@ def top_steps(jobs: DataFrame, n: int) -> DataFrame:
     """From ``job, steps`` (array of name, seconds): the longest steps of over a second."""
     steps = jobs.select("job", F.explode("steps").alias("s")).select("job", F.col("s.name").alias("step"), F.col("s.seconds").alias("seconds"))
     return top(steps.filter("seconds > 1"), n, F.desc("seconds"), F.asc("job"), F.asc("step"))
+
+
+def render_ratio(df: DataFrame, source: str, html: str, parse_ns: str, render_ns: str) -> DataFrame:
+    """By size band: HTML bytes for each source byte, and rendering time for each unit of parsing time."""
+    own = df.select(size_band(F.octet_length(source)).alias("band"), F.octet_length(source).alias("_s"), F.octet_length(html).alias("_h"), F.col(parse_ns).alias("_p"), F.col(render_ns).alias("_r"))
+    return own.groupBy("band").agg(F.count("*").alias("n"), (F.sum("_h") / F.sum("_s")).alias("html_ratio"), (F.sum("_r") / F.sum("_p")).alias("time_ratio"))

@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as V
 from ..functions import text as X
-from ..operators import lookup, parse, pattern, stats, trace, wire
+from ..operators import conformance, lookup, parse, pattern, stats, trace, wire
 from ..sources import corpus
+from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers a function by its name, with its SQL if there is one."""
+    """Registers a function by its name, with its SQL if there is one; ``@class-`` and ``@element_`` in it are the output's prefixes."""
 
     def of(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace("@class-", V.CLASS_PREFIX).replace("@element_", V.ELEMENT_PREFIX)
         return f
 
     return of
@@ -130,7 +131,7 @@ def ruby_implicit(spark, d):
     return p.select("doc_id", n["base"][0]["text"].alias("base"), n["reading"][0]["text"].alias("reading"), n["explicit"].alias("explicit"), F.col("parsed.serialized").alias("serialized"))
 
 
-@query("""SELECT CAST(p_partkey AS BIGINT) AS doc_id, p_brand AS content, '<p><span class="aozora-double-ruby">≪' || p_brand || '≫</span></p>' || chr(10) AS html FROM part""")
+@query("""SELECT CAST(p_partkey AS BIGINT) AS doc_id, p_brand AS content, '<p><span class="@class-double-ruby">≪' || p_brand || '≫</span></p>' || chr(10) AS html FROM part""")
 def double_ruby(spark, d):
     own = parts_with(spark, d, F.concat(lit("《《"), "p_brand", lit("》》")))
     p = parse.parse(own.select("doc_id", "source"), ["nodes", "html"])
@@ -205,7 +206,7 @@ def kaeriten_marks(spark, d):
     return n.select("doc_id", "kind", n.attrs.mark.alias("mark"))
 
 
-@query("""SELECT CAST(p_partkey AS BIGINT) AS doc_id, 'sashie' AS kind, p_brand || '.png' AS file, '<!-- aozora_sashie -->' AS html FROM part""")
+@query("""SELECT CAST(p_partkey AS BIGINT) AS doc_id, 'sashie' AS kind, p_brand || '.png' AS file, '<!-- @element_sashie -->' AS html FROM part""")
 def pictures(spark, d):
     own = parts_with(spark, d, F.concat(lit("［＃挿絵（"), "p_brand", lit(".png）入る］")))
     p = parse.parse(own.select("doc_id", "source"), ["nodes", "html"])
@@ -213,7 +214,7 @@ def pictures(spark, d):
     return p.select("doc_id", n["kind"].alias("kind"), n["attrs"]["file"].alias("file"), F.col("parsed.html").alias("html"))
 
 
-@query("""SELECT CAST(p_partkey AS BIGINT) AS doc_id, '<p><span class="aozora-warichu">' || p_brand || '</span></p>' || chr(10) AS html FROM part""")
+@query("""SELECT CAST(p_partkey AS BIGINT) AS doc_id, '<p><span class="@class-warichu">' || p_brand || '</span></p>' || chr(10) AS html FROM part""")
 def split_notes(spark, d):
     own = parts_with(spark, d, F.concat(lit("［＃割り注］"), "p_brand", lit("［＃割り注終わり］")))
     return parse.parse(own.select("doc_id", "source"), ["html"]).select("doc_id", F.col("parsed.html").alias("html"))
@@ -356,7 +357,7 @@ def wire_json(spark, d):
     return wire.wire(customers(spark, d))
 
 
-@query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, '{"blocks":[{"t":"Para","c":[{"t":"Str","c":"x"},{"t":"Span","c":[["",["aozora-ruby"],[["delim","explicit"]]],[{"t":"Span","c":[["",["aozora-ruby-base"],[]],[{"t":"Str","c":"' || c_name || '"}]]},{"t":"Span","c":[["",["aozora-ruby-reading"],[]],[{"t":"Str","c":"' || c_mktsegment || '"}]]}]]}]}],"meta":{},"pandoc-api-version":[1,23]}' AS pandoc FROM customer""")
+@query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, '{"blocks":[{"t":"Para","c":[{"t":"Str","c":"x"},{"t":"Span","c":[["",["@class-ruby"],[["delim","explicit"]]],[{"t":"Span","c":[["",["@class-ruby-base"],[]],[{"t":"Str","c":"' || c_name || '"}]]},{"t":"Span","c":[["",["@class-ruby-reading"],[]],[{"t":"Str","c":"' || c_mktsegment || '"}]]}]]}]}],"meta":{},"pandoc-api-version":[1,23]}' AS pandoc FROM customer""")
 def pandoc_blocks(spark, d):
     return parse.parse(customers(spark, d).select("doc_id", "source"), ["pandoc"]).select("doc_id", F.col("parsed.pandoc").alias("pandoc"))
 
@@ -623,6 +624,54 @@ def trace_compare(spark, d):
     return trace.compare(_trace(spark, d, 0), _trace(spark, d, 1), 100)
 
 
+# Vocabulary, conformance, streams
+
+
+_KINDS = ", ".join(f"('{k}', '{V.ELEMENT_PREFIX}{V.ELEMENTS.get(k, 'container')}')" for k in V.NODE_KINDS)
+
+
+@query(f"SELECT * FROM (VALUES {_KINDS}) AS v(kind, element)")
+def node_kinds(spark, d):
+    return V.table(spark, "kinds")
+
+
+_PARTNERS = ", ".join(f"('{a}', '{p}', '{next(s[3] for s in V.SLUGS if s[0] == p)}')" for a, _, _, p in V.SLUGS if p)
+
+
+@query(f"SELECT * FROM (VALUES {_PARTNERS}) AS v(slug, partner, back)")
+def slug_partners(spark, d):
+    return lookup.slug_partners(V.table(spark, "slugs"))
+
+
+@query("""SELECT level, coalesce(n, 0) AS total, coalesce(p, 0) AS passed, coalesce(n, 0) - coalesce(p, 0) AS failed FROM (VALUES ('must'), ('should'), ('may')) AS v(level) LEFT JOIN (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'may' ELSE 'must' END AS level, count(*) AS n, count(*) FILTER (WHERE c_custkey % 10 <> 0) AS p FROM customer GROUP BY 1) USING (level)""")
+def conformance_run(spark, d):
+    """Cases whose expected output is made by hand; every tenth is wrong."""
+    wrong = F.when(F.col("c_custkey") % 10 == 0, "!").otherwise("")
+    html = F.concat(lit("<p><ruby>字<rp>(</rp><rt>"), "c_name", lit("</rt><rp>)</rp></ruby></p>\n"), wrong)
+    cases = t(spark, d, "customer").select(F.col("c_custkey").alias("case"), lit("ruby").alias("feature"), F.when(F.col("c_custkey") % 3 == 0, "may").otherwise("must").alias("level"), F.concat(lit("字《"), "c_name", lit("》")).alias("source"), html.alias("html"), F.concat(lit("｜字《"), "c_name", lit("》")).alias("serialized"))
+    return conformance.summary(cases)
+
+
+@query("""SELECT 'small' AS band, count(*) AS n, sum(strlen(c_name) + 8) / sum(strlen(c_name)) AS html_ratio, sum(strlen(c_name)) / sum(c_custkey) AS time_ratio FROM customer""")
+def render_ratios(spark, d):
+    p = parse.parse(t(spark, d, "customer").select("c_custkey", F.col("c_name").alias("source")), ["html"])
+    own = p.select("source", F.col("parsed.html").alias("html"), F.col("c_custkey").alias("a"), F.octet_length("source").alias("b"))
+    return stats.render_ratio(own, "source", "html", "a", "b")
+
+
+@query("""SELECT doc_id, CAST(len(text) - len(replace(text, chr(10), '')) AS INTEGER) AS n FROM documents""")
+def stream_diagnostics(spark, d):
+    """The documents as a stream, each line end a stray closer."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    schema = t(spark, d, "documents").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*").select("doc_id", F.replace("text", lit("\n"), lit("」")).alias("source"))
+    found = watch.parse_stream(stream, ["diagnostics"]).select("doc_id", F.size("parsed.diagnostics").alias("n"))
+    return watch.run_once(found, f"{shared}/stream-{uuid.uuid4().hex}")
+
+
 # Throughput
 
 

@@ -189,6 +189,21 @@ def test_parents_that_run_in_circles_end(spark):
     assert [r.stack_idx for r in trace.paths(t).collect()] == [2]
 
 
+def test_command_line(tmp_path, capsys):
+    from hanmoto.__main__ import EXPLAIN, main
+
+    f = tmp_path / "a.txt"
+    f.write_bytes("漢《か》［".encode("cp932"))
+    assert main(["render", str(f), "-E", "sjis"]) == 0 and "<ruby>" in capsys.readouterr().out
+    assert main(["check", str(f), "-E", "sjis"]) == 0 and main(["check", str(f), "-E", "sjis", "--strict"]) == 1
+    assert "unclosed_bracket" in capsys.readouterr().out
+    g = tmp_path / "b.txt"
+    g.write_text("漢《か》")
+    assert main(["fmt", str(g), "--check"]) == 1 and main(["fmt", str(g), "--write"]) == 0 and g.read_text() == "｜漢《か》" and main(["fmt", str(g), "--check"]) == 0
+    assert main(["pandoc", str(g)]) == 0 and main(["kinds"]) == 0 and main(["schema", "nodes"]) == 0
+    assert all(main(["explain", k]) == 0 for k in EXPLAIN)
+
+
 def test_categories_from_toml():
     assert trace.read_categories('[[categories]]\nname = "a"\npatterns = ["x", "y"]') == [("a", ["x", "y"])]
     for bad in ("", '[[categories]]\nname = "a"'):

@@ -12,6 +12,11 @@ from hanmoto.operators.kernel import Parsed, keyword, pair_up, resolve, sanitize
 from hanmoto.operators.pattern import PatternError, compile_patterns
 
 
+def marked(text):
+    """Output with the class prefix shown as @."""
+    return text.replace(V.CLASS_PREFIX, "@")
+
+
 def nodes(text):
     return [(n["kind"], n["start"], n["end"]) for n in Parsed(text).node_rows()]
 
@@ -144,17 +149,17 @@ def test_a_reference_mark_alone_is_text():
 def test_containers_close_the_last_opened_whatever_its_kind():
     p = Parsed("［＃罫囲み］［＃ここから3字下げ］x［＃罫囲み終わり］［＃ここで字下げ終わり］［＃罫囲み終わり］")
     assert [(c["kind"], c["amount"]) for c in p.container_pairs()] == [("indent", 3), ("keigakomi", None)]
-    assert p.html().startswith('<div class="aozora-container aozora-container-keigakomi">\n<div class="aozora-container aozora-container-indent aozora-container-indent-3" data-amount="3">\n<p>x</p>\n</div>')
+    assert marked(p.html()).startswith('<div class="@container @container-keigakomi">\n<div class="@container @container-indent @container-indent-3" data-amount="3">\n<p>x</p>\n</div>')
 
 
 def test_html():
     assert parse_to_html("a<b>&\"'\nc\n\n\nd\n") == "<p>a&lt;b&gt;&amp;&quot;&#x27;<br />\nc</p>\n<p>d</p>\n"
-    assert parse_to_html("前［＃改丁］後") == '<p>前</p>\n<div class="aozora-section-break aozora-section-break-choho"></div>\n<p>後</p>\n'
+    assert marked(parse_to_html("前［＃改丁］後")) == '<p>前</p>\n<div class="@section-break @section-break-choho"></div>\n<p>後</p>\n'
     assert parse_to_html("漢《か》") == "<p><ruby>漢<rp>(</rp><rt>か</rt><rp>)</rp></ruby></p>\n"
-    assert parse_to_html("一［＃レ］二［＃2字下げ］［＃地から1字上げ］") == '<p>一<sup class="aozora-kaeriten">レ</sup>二<span class="aozora-indent aozora-indent-2" data-amount="2"></span><span class="aozora-align-end aozora-align-end-1" data-offset="1"></span></p>\n'
-    assert parse_to_html("※［＃「か゚」、第3水準1-4-87］") == '<p><span class="aozora-gaiji" data-codepoint="U+304B U+309A">か゚</span></p>\n'
-    assert parse_to_html("※［＃「<x>」］") == '<p><span class="aozora-gaiji" data-description="&lt;x&gt;">&lt;x&gt;</span></p>\n'
-    assert parse_to_html("［＃不明］") == '<p><span class="aozora-annotation" hidden>［＃不明］</span></p>\n'
+    assert marked(parse_to_html("一［＃レ］二［＃2字下げ］［＃地から1字上げ］")) == '<p>一<sup class="@kaeriten">レ</sup>二<span class="@indent @indent-2" data-amount="2"></span><span class="@align-end @align-end-1" data-offset="1"></span></p>\n'
+    assert marked(parse_to_html("※［＃「か゚」、第3水準1-4-87］")) == '<p><span class="@gaiji" data-codepoint="U+304B U+309A">か゚</span></p>\n'
+    assert marked(parse_to_html("※［＃「<x>」］")) == '<p><span class="@gaiji" data-description="&lt;x&gt;">&lt;x&gt;</span></p>\n'
+    assert marked(parse_to_html("［＃不明］")) == '<p><span class="@annotation" hidden>［＃不明］</span></p>\n'
     assert parse_to_html("a\ue002b") == "<p>ab</p>\n" and parse_to_html("") == ""
 
 
@@ -167,9 +172,9 @@ def test_serialize():
 
 
 def test_pandoc():
-    blocks = json.loads(Document("あ\nい\n\n［＃ここから2字下げ］う［＃ここで字下げ終わり］［＃改ページ］［＃挿絵（f）入る］").to_pandoc())["blocks"]
+    blocks = json.loads(marked(Document("あ\nい\n\n［＃ここから2字下げ］う［＃ここで字下げ終わり］［＃改ページ］［＃挿絵（f）入る］").to_pandoc()))["blocks"]
     assert [b["t"] for b in blocks] == ["Para", "Div", "HorizontalRule", "Para"]
-    assert [x["t"] for x in blocks[0]["c"]] == ["Str", "SoftBreak", "Str"] and blocks[1]["c"][0] == ["", ["aozora-container-indent"], [["amount", "2"]]]
+    assert [x["t"] for x in blocks[0]["c"]] == ["Str", "SoftBreak", "Str"] and blocks[1]["c"][0] == ["", ["@container-indent"], [["amount", "2"]]]
 
 
 def test_document_interface():
