@@ -1,7 +1,7 @@
 """Analytics of sampled call stacks in normalised tables.
 
 ``Trace`` holds the tables; indexes are per thread, so every join has the thread. Labels and libraries of frames are joined
-once (``frames``), stacks are unrolled by following parents one level at a time for all at once (``paths``).
+once (``frames``), stacks are unrolled for all at once (``paths``).
 """
 
 from __future__ import annotations
@@ -67,17 +67,21 @@ def _leaves(t: Trace) -> DataFrame:
 
 
 def paths(t: Trace) -> DataFrame:
-    """``tid, stack_idx, frames``: frame indexes from the leaf to the root. One join a level; a path never has more steps than its thread has stacks."""
-    done, level = None, t.stacks.select("tid", "stack_idx", F.col("prefix").alias("_next"), F.array("frame_idx").alias("frames"))
-    parents = t.stacks.select("tid", F.col("stack_idx").alias("_next"), F.col("prefix").alias("_up"), F.col("frame_idx").alias("_frame"))
+    """``tid, stack_idx, frames``: frame indexes from the leaf to the root.
+
+    Every round doubles what is known of each path, so the number of joins is the logarithm of the depth. A path has as many
+    frames as its thread has stacks at most, which ends parents that run in circles.
+    """
     sizes = t.stacks.groupBy("tid").agg(F.count("*").alias("_most"))
+    state = t.stacks.join(sizes, "tid").select("tid", "stack_idx", "_most", F.col("prefix").alias("_next"), F.array("frame_idx").alias("frames"))
     while True:
-        ended = level.filter("_next is null").select("tid", "stack_idx", "frames")
-        done = ended if done is None else done.unionByName(ended)
-        grown = level.filter("_next is not null").join(parents, ["tid", "_next"]).join(sizes, "tid").filter(F.size("frames") < F.col("_most"))
-        level = grown.select("tid", "stack_idx", F.col("_up").alias("_next"), F.concat("frames", F.array("_frame")).alias("frames"))
-        if not level.take(1):
-            return done
+        state = state.persist()
+        if not state.filter("_next is not null").take(1):
+            return state.select("tid", "stack_idx", "frames")
+        above = state.select("tid", F.col("stack_idx").alias("_next"), F.col("_next").alias("_after"), F.col("frames").alias("_more"))
+        grown = state.join(above, ["tid", "_next"], "left").withColumn("frames", F.coalesce(F.concat("frames", "_more"), "frames"))
+        full = F.size("frames") >= F.col("_most")
+        state = grown.select("tid", "stack_idx", "_most", F.when(~full, F.col("_after")).alias("_next"), F.slice("frames", F.lit(1), F.col("_most").cast("int")).alias("frames"))
 
 
 def labelled_paths(t: Trace) -> DataFrame:

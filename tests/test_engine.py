@@ -186,7 +186,14 @@ def test_profiles(spark, tmp_path):
 def test_parents_that_run_in_circles_end(spark):
     stacks = spark.createDataFrame([(1, 0, 1, 0), (1, 1, 0, 1), (1, 2, None, 2)], "tid long, stack_idx int, prefix int, frame_idx int")
     t = trace.Trace(spark.createDataFrame([(1, 2, 1)], "tid long, stack_idx int, weight long"), stacks, spark.createDataFrame([(1, 2, "x", None)], "tid long, frame_idx int, label string, library string"))
-    assert [r.stack_idx for r in trace.paths(t).collect()] == [2]
+    assert {r.stack_idx: r.frames for r in trace.paths(t).collect()} == {0: [0, 1, 0], 1: [1, 0, 1], 2: [2]}
+
+
+def test_deep_stacks_take_few_rounds(spark):
+    stacks = spark.range(200).selectExpr("1L AS tid", "int(id) AS stack_idx", "int(nullif(id, 0)) - 1 AS prefix", "int(id) AS frame_idx")
+    t = trace.Trace(None, stacks, None)
+    got = {r.stack_idx: r.frames for r in trace.paths(t).collect()}
+    assert got == {i: list(range(i, -1, -1)) for i in range(200)}
 
 
 def test_command_line(tmp_path, capsys):
