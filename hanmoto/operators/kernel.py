@@ -19,7 +19,7 @@ SENTINEL = re.compile("[\ue001-\ue004]")
 _RULE = re.compile("-{10,}|={10,}|_{10,}")
 _ACCENT = re.compile("|".join(map(re.escape, sorted(ACCENTS, key=len, reverse=True))))
 _TORTOISE = re.compile("〔([^〕]*)〕")
-_BASE = re.compile("[㐀-䶿一-鿿豈-﫿\U00020000-\U0002ffff々〆]*$")
+_BASE = re.compile("[㐀-䶿一-鿿豈-﫿\U00020000-\U0002ffff々〆]")
 _DIGITS = "([0-9０-９]+)"
 _LEAF_INDENT, _LEAF_ALIGN = re.compile(_DIGITS + "字下げ"), re.compile(f"地から{_DIGITS}字上げ")
 _OPEN_INDENT, _OPEN_ALIGN = re.compile(f"ここから{_DIGITS}字下げ"), re.compile(f"ここから地から{_DIGITS}字上げ")
@@ -171,6 +171,14 @@ def keyword(body: str) -> Node | None:
     return None
 
 
+def base_start(text: str) -> int:
+    """Where the trailing run of characters that may carry a reading begins."""
+    i = len(text)
+    while i and _BASE.match(text, i - 1):
+        i -= 1
+    return i
+
+
 class Recognizer:
     """``spans``: (kind, start, end, node) that tile the text; kinds plain, newline, node."""
 
@@ -178,6 +186,7 @@ class Recognizer:
         self.text = text
         self.events, self.closed, self.unclosed = pair_up(text)
         self.spans: list[tuple[str, int, int, Node | None]] = []
+        self.firsts: dict[str, int] = {}
         self.run: int | None = None  # where the plain run that isn't written yet begins
         self._walk()
 
@@ -265,7 +274,7 @@ class Recognizer:
             return None
         before = self.text[self.run : e.start]
         bar = before.rfind("｜")
-        start = self.run + bar if bar >= 0 else self.run + _BASE.search(before).start()
+        start = self.run + (bar if bar >= 0 else base_start(before))
         base = self.text[start + (bar >= 0) : e.start]
         if not base:
             return None
@@ -337,6 +346,12 @@ class Recognizer:
         own = node.kind == "annotation"
         return node, ("annotation", node.a["raw"] if own else raw, node.a["annotation_kind"] if own else "unknown")
 
+    def _first(self, target: str) -> int:
+        """Where a target occurs first, looked up once for each."""
+        if target not in self.firsts:
+            self.firsts[target] = self.text.find(target)
+        return self.firsts[target]
+
     def _forward(self, i: int) -> Node | None:
         """Emphasis, upright digits and headings, which name text that stands before them."""
         events, last = self.events, self.events[i].match
@@ -350,7 +365,7 @@ class Recognizer:
         if not targets:
             return None
         suffix = self.text[end : events[last].start].strip(WHITE)
-        there = lambda t: self.text.find(t, 0, events[i].start) >= 0
+        there = lambda t: 0 <= self._first(t) <= events[i].start - len(t)
         for lead, position in (("に", "right"), ("の左に", "left")):
             if suffix.startswith(lead) and (kind := suffix[len(lead) :]) in BOUTEN:
                 if all(map(there, targets)):
