@@ -4,8 +4,10 @@ Candidates are pairs of distinct texts that have one of PRINTS independent finge
 a pair is a link if the Jaccard similarity of its five-word shingles is SIMILAR or more. (Several fingerprints of a small radius find
 more of the pairs just above the similarity than one of a larger radius with as many tables.) The smallest key of each connected component stays.
 
-A first round with few tables and spanning links joins crowded groups. The second lists every pair within the radius that the first
-left apart, each in one table of a fingerprint only, and so misses none; what gets connected meanwhile isn't compared again.
+A first round with few tables and spanning links joins crowded groups. The second pairs what the first left apart, and what
+gets connected meanwhile isn't compared again. Where more than CROWDED texts that no link connects share a bucket, all their pairs would
+be as many as the square of a group of texts that are alike but not similar; there each text is paired with its nearest one in
+each of the PRINTS * 31 tables instead. This may miss a link inside such a group (and only there).
 
 Defined results: null and blank texts are equal texts if they are the same value, and alike (no shingles) otherwise; a null key
 counts as larger than any; repeated rows are exact copies; other columns are kept; an empty table gives an empty table.
@@ -26,8 +28,8 @@ from .simhash import components, fingerprints, links, masks, packed, shingle_has
 
 SIMILAR, SHINGLE = 0.8, 5
 CANDIDATE_SHINGLE, CANDIDATE_RADIUS, PRINTS = 2, 4, 4
-#: The first round's radius.
-FIRST_RADIUS = 2
+#: The first round's radius; members of a bucket beyond which only nearest ones are compared.
+FIRST_RADIUS, CROWDED = 2, 8
 
 
 def shingle_set(text: str | None) -> bytes:
@@ -62,7 +64,11 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _pairs(radius: int):
-    """All pairs within the radius whose labels differ, in blocks of rows; each pair comes from the first table in which it meets."""
+    """Pairs within the radius whose labels differ.
+
+    Small buckets give all of them, each from the first table in which it meets. In a crowded bucket each member is paired with the
+    nearest other one, so that a group of alike but not similar texts makes no more pairs than it has members, in each table.
+    """
     tables = masks(radius)
 
     def first_here(x: np.ndarray, y: np.ndarray, table: int) -> np.ndarray:
@@ -84,24 +90,25 @@ def _pairs(radius: int):
                 here = first_here(bits[i[of]], bits[j[of]], int(t))
                 found.append(np.stack([node[i[of]][here], node[j[of]][here]], 1))
 
-        for n in range(2, 9):
+        for n in range(2, CROWDED + 1):
             at = first[size == n]
             for j in range(n if len(at) else 0):
                 for i in range(j):
                     keep(at + i, at + j)
-        for k in np.flatnonzero(size > 8):
+        for k in np.flatnonzero(size > CROWDED):
             members = np.arange(first[k], last[k])
             if (label[members] == label[members[0]]).all():
                 continue
             for lo in range(0, len(members), 256):
                 x = members[lo : lo + 256]
-                near = (np.bitwise_count(bits[x][:, None] ^ bits[members][None, :]) <= radius) & (label[x][:, None] != label[members][None, :])
-                i, j = np.nonzero(near)
-                ordered = x[i] < members[j]
-                if ordered.any():
-                    keep(x[i[ordered]], members[j[ordered]])
+                far = np.bitwise_count(bits[x][:, None] ^ bits[members][None, :])
+                far[label[x][:, None] == label[members][None, :]] = 64
+                nearest = far.argmin(1)
+                ok = far[np.arange(len(x)), nearest] <= radius
+                found.append(np.stack([node[x[ok]], node[members[nearest[ok]]]], 1))
         both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         both.sort(axis=1)
+        both = np.unique(both, axis=0)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
     return f
