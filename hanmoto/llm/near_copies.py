@@ -1,13 +1,13 @@
 """One document of each group of exact and near copies, found by covering SimHash and verified by shingles.
 
-Candidates are pairs of distinct texts that have one of PRINTS independent fingerprints of two-word shingles within CANDIDATE_RADIUS bits;
-a pair is a link if the Jaccard similarity of its five-word shingles is SIMILAR or more. (Several fingerprints of a small radius find
-more of the pairs just above the similarity than one of a larger radius with as many tables.) The smallest key of each connected component stays.
+Candidates are distinct texts connected by fingerprints within CANDIDATE_RADIUS bits, in any of PRINTS independent fingerprints of two-word
+shingles. (Several fingerprints of a small radius find more of the pairs just above the similarity than one of a larger radius with as
+many tables.) Two texts of a candidate group are a link if the Jaccard similarity of their five-word shingles is SIMILAR or more. The
+smallest key of each connected component of links stays.
 
-A first round with few tables and spanning links joins crowded groups. The second pairs what the first left apart, and what
-gets connected meanwhile isn't compared again. Where more than CROWDED texts that no link connects share a bucket, all their pairs would
-be as many as the square of a group of texts that are alike but not similar; there each text is paired with its nearest one in
-each of the PRINTS * 31 tables instead. This may miss a link inside such a group (and only there).
+The links of fingerprints come as spanning forests and are verified first. Groups that these don't connect are cut into blocks of BLOCK
+texts, and every pair of blocks is compared whole, in one matrix product, so no link inside a group is missed. A pair of blocks is one row and
+gives a spanning forest of its links; a group of n texts makes (n / BLOCK)^2 / 2 such rows.
 
 Defined results: null and blank texts are equal texts if they are the same value, and alike (no shingles) otherwise; a null key
 counts as larger than any; repeated rows are exact copies; other columns are kept; an empty table gives an empty table.
@@ -15,6 +15,8 @@ counts as larger than any; repeated rows are exact copies; other columns are kep
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
-from .simhash import components, fingerprints, links, masks, packed, shingle_hashes, sorted_buckets
+from .common import materialize, running_total
+from .simhash import components, fingerprints, links, shingle_hashes
 
 SIMILAR, SHINGLE = 0.8, 5
 CANDIDATE_SHINGLE, CANDIDATE_RADIUS, PRINTS = 2, 4, 4
-#: The first round's radius; members of a bucket beyond which only nearest ones are compared.
-FIRST_RADIUS, CROWDED = 2, 8
+#: Texts of a block.
+BLOCK = 256
 
 
 def shingle_set(text: str | None) -> bytes:
@@ -63,55 +65,44 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(read_set(x), read_set(y)) >= SIMILAR for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _pairs(radius: int):
-    """Pairs within the radius whose labels differ.
-
-    Small buckets give all of them, each from the first table in which it meets. In a crowded bucket each member is paired with the
-    nearest other one, so that a group of alike but not similar texts makes no more pairs than it has members, in each table.
-    """
-    tables = masks(radius)
-
-    def first_here(x: np.ndarray, y: np.ndarray, table: int) -> np.ndarray:
-        out = np.ones(len(x), bool)
-        for m in tables[: table % len(tables)]:
-            out[out] = (x[out] ^ y[out]) & m != 0
-        return out
-
-    def f(group: pa.Table) -> pa.Table:
-        rows, first, last = sorted_buckets(group.column("rows"), radius)
-        bits, node, label, size = rows["bits"], rows["node"], rows["label"], last - first
-        found = []
-
-        def keep(i: np.ndarray, j: np.ndarray) -> None:
-            ok = (np.bitwise_count(bits[i] ^ bits[j]) <= radius) & (label[i] != label[j])
-            i, j = i[ok], j[ok]
-            for t in np.unique(rows["table"][i]):
-                of = rows["table"][i] == t
-                here = first_here(bits[i[of]], bits[j[of]], int(t))
-                found.append(np.stack([node[i[of]][here], node[j[of]][here]], 1))
-
-        for n in range(2, CROWDED + 1):
-            at = first[size == n]
-            for j in range(n if len(at) else 0):
-                for i in range(j):
-                    keep(at + i, at + j)
-        for k in np.flatnonzero(size > CROWDED):
-            members = np.arange(first[k], last[k])
-            if (label[members] == label[members[0]]).all():
-                continue
-            for lo in range(0, len(members), 256):
-                x = members[lo : lo + 256]
-                far = np.bitwise_count(bits[x][:, None] ^ bits[members][None, :])
-                far[label[x][:, None] == label[members][None, :]] = 64
-                nearest = far.argmin(1)
-                ok = far[np.arange(len(x)), nearest] <= radius
-                found.append(np.stack([node[x[ok]], node[members[nearest[ok]]]], 1))
-        both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        both.sort(axis=1)
-        both = np.unique(both, axis=0)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
-
-    return f
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 16) -> np.ndarray:
+    """How many values each set of a has in common with each of b; distinct values are taken ``width`` at a time."""
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    column = np.unique(np.concatenate([*a, *b]), return_inverse=True)[1]
+    out = np.zeros((len(a), len(b)))
+    for lo in range(0, int(column.max(initial=-1)) + 1, width):
+        here = (column >= lo) & (column < lo + width)
+        m = np.zeros((len(a) + len(b), width), np.float32)
+        m[owner[here], column[here] - lo] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From pairs of blocks (lists of node, label, shingles) a spanning forest of the links between different labels."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x, y = (batch.column(c)[i].as_py() for c in (0, 1))
+            sets = [[read_set(t["shingles"]) for t in side] for side in (x, y)]
+            size = [np.array([len(v) for v in side]) for side in sets]
+            common = common_counts(*sets)
+            union = size[0][:, None] + size[1][None, :] - common
+            similar = np.where(union > 0, common >= SIMILAR * union - 1e-9, True)
+            parent = {t["label"]: t["label"] for t in (*x, *y)}
+
+            def root(v: int, parent: dict[int, int] = parent) -> int:
+                while parent[v] != v:
+                    parent[v] = parent[parent[v]]
+                    v = parent[v]
+                return v
+
+            out = []
+            for p, q in zip(*np.nonzero(similar), strict=True):
+                u, v = root(x[p]["label"]), root(y[q]["label"])
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    out.append((x[p]["node"], y[q]["node"]))
+            yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
 
 
 def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -126,22 +117,28 @@ def _with_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(nodes.join(labels, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").filter("_a <> _b").select("a", "b")
+def block_links(prints: DataFrame, labels: DataFrame, candidates: DataFrame) -> DataFrame:
+    """All links (as spanning forests) inside candidate groups that hold more than one label."""
+    groups_of = candidates.select("node", F.col("label").alias("group")).join(labels, "node")
+    open_groups = groups_of.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("group")
+    members = materialize(groups_of.join(open_groups, "group"), "members")
+    numbered = running_total(members.withColumn("_one", F.lit(1)), ["group"], ["node"], "_one", "i").select("group", "node", "label", F.floor(F.col("i") / BLOCK).cast("int").alias("block"))
+    texts = numbered.join(prints.select("node", "shingles"), "node").groupBy("group", "block").agg(F.collect_list(F.struct("node", "label", "shingles")).alias("texts"))
+    blocks = materialize(texts, "blocks")
+    last = blocks.groupBy("group").agg(F.max("block").alias("n"))
+    each = last.select("group", F.explode(F.sequence(F.lit(0), "n")).alias("p"), "n").select("group", "p", F.explode(F.sequence("p", "n")).alias("q"))
+    x, y = (blocks.select("group", F.col("block").alias(c), F.col("texts").alias(f"_{c}")) for c in "pq")
+    met = each.join(x, ["group", "p"]).join(y, ["group", "q"]).select("_p", "_q")
+    return materialize(met.mapInArrow(_compare_blocks, "a long, b long"), "links")
 
 
 def groups(prints: DataFrame, radius: int = CANDIDATE_RADIUS) -> DataFrame:
     """``node, label`` from a written table of ``node, bits, shingles``."""
-    table = prints.select("node", F.posexplode("bits").alias("kind", "bits"))
-    linked = verified(links(materialize(table.filter("kind = 0").select("bits", "node"), "first"), FIRST_RADIUS), prints)
-    labels = _with_labels(prints.select("node"), linked)
-    known = materialize(table.join(labels, "node"), "labelled")
-    pairs = materialize(packed(known, radius).groupBy("part").applyInArrow(_pairs(radius), "a long, b long").distinct(), "pairs")
-    linked = linked.unionByName(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), prints))
+    table = materialize(prints.select("node", F.posexplode("bits").alias("kind", "bits")), "kinds")
+    near = materialize(links(table, radius), "near")
+    linked = verified(near, prints)
     labels = _with_labels(prints.select("node"), linked)
-    linked = linked.unionByName(verified(_apart(pairs, labels), prints))
-    return _with_labels(prints.select("node"), linked)
+    return _with_labels(prints.select("node"), linked.unionByName(block_links(prints, labels, components(near))))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -314,6 +314,28 @@ def test_near_copies_leave_one_of_each_group(spark, docs):
     assert near_copies.drop_near_copies(docs).columns == docs.columns
 
 
+def test_blocks_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 5)
+    r = np.random.default_rng(10)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in r.integers(0, 120, r.integers(1, 6)):
+            w[int(k)] = f"x{i}-{k}"
+        rows.append((i, " ".join(w)))
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [near_copies.read_set(near_copies.shingle_set(t)) for _, t in rows]
+    counts = near_copies.common_counts(sets[:9], sets[9:], 50)
+    assert counts.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[9:]] for a in sets[:9]]
+    root = components_by_hand(sets, lambda a, b: near_copies.jaccard(a, b) >= 0.8)
+    want = Counter(root)
+    monkeypatch.setattr(near_copies, "CANDIDATE_RADIUS", 4)
+    kept = {x.doc_id for x in near_copies.drop_near_copies(own).collect()}
+    missing = {min(i for i in range(60) if root[i] == g) for g in want} - kept
+    assert not missing and len(kept) <= len(want) + 3
+
+
 def test_shingle_sets_round_trip():
     s = near_copies.read_set(near_copies.shingle_set("a b c d e f g a b c d e"))
     assert len(s) == 7 and (np.diff(s.astype(np.int64)) > 0).all() and near_copies.jaccard(s, s) == 1
