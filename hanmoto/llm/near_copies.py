@@ -135,10 +135,14 @@ def block_links(prints: DataFrame, labels: DataFrame, candidates: DataFrame) ->
 def groups(prints: DataFrame, radius: int = CANDIDATE_RADIUS) -> DataFrame:
     """``node, label`` from a written table of ``node, bits, shingles``."""
     table = materialize(prints.select("node", F.posexplode("bits").alias("kind", "bits")), "kinds")
-    near = materialize(links(table, radius), "near")
-    linked = verified(near, prints)
+    # the first fingerprint connects most of a crowded group, so that the others add few links
+    first = materialize(links(table.filter("kind = 0").select("bits", "node"), radius), "near")
+    stars = _with_labels(prints.select("node"), first)
+    more = materialize(links(table.filter("kind > 0").join(stars, "node"), radius), "near")
+    candidates = components(stars.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    linked = verified(first.unionByName(more), prints)
     labels = _with_labels(prints.select("node"), linked)
-    return _with_labels(prints.select("node"), linked.unionByName(block_links(prints, labels, components(near))))
+    return _with_labels(prints.select("node"), linked.unionByName(block_links(prints, labels, candidates)))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

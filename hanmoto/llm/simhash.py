@@ -202,15 +202,20 @@ def _bucket_links(radius: int):
         twos = last - first == 2
         a, b = first[twos], first[twos] + 1
         close = np.bitwise_count(bits[a] ^ bits[b]) <= radius
-        left, right = [node[a[close]]], [node[b[close]]]
+        left, right = [a[close]], [b[close]]
         for i, j in zip(first[~twos], last[~twos], strict=True):
+            if (rows["label"][i:j] == rows["label"][i]).all():
+                continue
             m = int(mask_of(rows["table"][i], radius))
             free = np.array([k for k in range(64) if not m >> k & 1])
             p, c = _forest(bits[i:j], radius, free)
-            left.append(node[i:j][p])
-            right.append(node[i:j][c])
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            left.append(i + p)
+            right.append(i + c)
+        x, y = np.concatenate(left), np.concatenate(right)
+        pairs = np.sort(np.stack([rows["label"][x], rows["label"][y]], 1), axis=1)
+        keep = np.flatnonzero(pairs[:, 0] != pairs[:, 1])
+        keep = keep[np.unique(pairs[keep], axis=0, return_index=True)[1]]
+        return pa.table({"a": node[x[keep]], "b": node[y[keep]]})
 
     return f
 
@@ -227,7 +232,7 @@ def packed(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links ``a, b`` (distinct) whose connected components are those of all pairs within the radius."""
+    """Links ``a, b`` (distinct) whose connected components are those of all pairs within the radius, given that labels are connected already."""
     return packed(nodes, radius).groupBy("part").applyInArrow(_bucket_links(radius), "a long, b long").distinct()
 
 
