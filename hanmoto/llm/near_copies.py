@@ -65,7 +65,7 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(read_set(x), read_set(y)) >= SIMILAR for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def common_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 16) -> np.ndarray:
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 13) -> np.ndarray:
     """How many values each set of a has in common with each of b; distinct values are taken ``width`` at a time."""
     owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
     column = np.unique(np.concatenate([*a, *b]), return_inverse=True)[1]
