@@ -1,8 +1,9 @@
-"""One document of each group of exact and near copies, found by covering SimHash and verified by shingles.
+"""One document of each group of exact and near copies, found by covering SimHash and MinHash and verified by shingles.
 
 Candidates are distinct texts connected by fingerprints within CANDIDATE_RADIUS bits, in any of PRINTS independent fingerprints of two-word
-shingles. (Several fingerprints of a small radius find more of the pairs just above the similarity than one of a larger radius with as
-many tables.) Two texts of a candidate group are a link if the Jaccard similarity of their five-word shingles is SIMILAR or more. The
+shingles, or by one of BANDS equal bands of ROWS minima of their five-word shingles. Fingerprints join cheaply what differs in scattered
+words; two texts of similarity s share no band with probability (1 - s^ROWS)^BANDS, wherever they differ, which is 3 in a million at 0.8 and
+less above. Two texts of a candidate group are a link if the Jaccard similarity of their five-word shingles is SIMILAR or more. The
 smallest key of each connected component of links stays.
 
 The links of fingerprints come as spanning forests and are verified first. Groups that these don't connect are cut into blocks of BLOCK
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, running_total
-from .simhash import components, fingerprints, links, shingle_hashes
+from .simhash import KEY, SEED, _mixed, components, expand, fingerprints, links, parts_for, shingle_hashes, squeeze
 
 SIMILAR, SHINGLE = 0.8, 5
 CANDIDATE_SHINGLE, CANDIDATE_RADIUS, PRINTS = 2, 4, 4
+#: Bands of a text and minima in each.
+BANDS, ROWS = 32, 5
 #: Texts of a block.
 BLOCK = 256
 
@@ -55,6 +58,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """One 64-bit key a band, of the least values that ROWS permutations give the set; sets without values share all keys."""
+    r = np.random.default_rng(SEED)
+    odd, add = (r.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None] for _ in range(2))
+    odd, least = odd | np.uint32(1), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for lo in range(0, len(values), 4096):
+        least = np.minimum(least, (values[None, lo : lo + 4096] * odd + add).min(1))
+    key = np.zeros(BANDS, np.uint64)
+    for m in least.reshape(BANDS, ROWS).T:
+        key = _mixed((key + m) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return key
+
+
 @F.pandas_udf(T.StructType([T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())]))
 def _prints(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"bits": [fingerprints(t, CANDIDATE_SHINGLE, count=PRINTS) for t in texts], "shingles": [shingle_set(t) for t in texts]})
@@ -105,6 +121,50 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
 
 
+def _pack_bands(parts: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, label = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            keys = b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            rows = np.empty(len(keys), KEY)
+            rows["table"], rows["bits"] = np.tile(np.arange(BANDS, dtype=np.uint64), len(node)), keys
+            rows["node"], rows["label"] = np.repeat(node, BANDS), np.repeat(label, BANDS)
+            part = (_mixed(rows["bits"] + rows["table"]) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            rows, part = rows[order], part[order]
+            edges = np.flatnonzero(np.diff(part, prepend=-1))
+            blobs = [squeeze(rows[i:j]) for i, j in zip(edges, [*edges[1:], len(rows)], strict=True)]
+            yield pa.record_batch([pa.array(part[edges]), pa.array(blobs, pa.binary())], ["part", "rows"])
+
+    return f
+
+
+def _band_links(group: pa.Table) -> pa.Table:
+    """Every member of a bucket with the first one; of the links between the same labels one is enough."""
+    rows = np.concatenate([expand(x) for x in group.column("rows").to_pylist()])
+    rows = rows[np.lexsort((rows["node"], rows["bits"], rows["table"]))]
+    new = np.r_[True, (rows["bits"][1:] != rows["bits"][:-1]) | (rows["table"][1:] != rows["table"][:-1])]
+    first = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    pairs = np.sort(np.stack([first["label"], rows["label"]], 1), axis=1)
+    keep = np.flatnonzero(pairs[:, 0] != pairs[:, 1])
+    keep = keep[np.unique(pairs[keep], axis=0, return_index=True)[1]]
+    return pa.table({"a": first["node"][keep], "b": rows["node"][keep]})
+
+
+def _all_band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = [band_keys(read_set(x)).view(np.int64) for x in b.column(1).to_pylist()]
+        yield pa.record_batch([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "bands"])
+
+
+def band_links(prints: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links ``a, b`` between texts of different labels that share a band; those of the same label are connected already."""
+    parts = parts_for(prints.count() * BANDS // 31, 4, prints.sparkSession)  # as many keys as one fingerprint of radius 4 has
+    keys = prints.select("node", "shingles").mapInArrow(_all_band_keys, "node long, bands array<long>")
+    met = keys.join(labels, "node").select("node", "label", "bands").mapInArrow(_pack_bands(parts), "part long, rows binary")
+    return met.groupBy("part").applyInArrow(_band_links, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """Those of ``a, b`` that are similar. The smaller side's shingles travel with each pair, once."""
     left = pairs.join(prints.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
@@ -139,8 +199,11 @@ def groups(prints: DataFrame, radius: int = CANDIDATE_RADIUS) -> DataFrame:
     first = materialize(links(table.filter("kind = 0").select("bits", "node"), radius), "near")
     stars = _with_labels(prints.select("node"), first)
     more = materialize(links(table.filter("kind > 0").join(stars, "node"), radius), "near")
-    candidates = components(stars.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
-    linked = verified(first.unionByName(more), prints)
+    both = components(stars.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)).withColumnRenamed("node", "_n")
+    near = materialize(stars.select("node").join(both, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    bands = materialize(band_links(prints, near), "near")
+    candidates = components(near.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(bands))
+    linked = verified(first.unionByName(more).unionByName(bands), prints)
     labels = _with_labels(prints.select("node"), linked)
     return _with_labels(prints.select("node"), linked.unionByName(block_links(prints, labels, candidates)))
 

@@ -314,6 +314,21 @@ def test_near_copies_leave_one_of_each_group(spark, docs):
     assert near_copies.drop_near_copies(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("kind", ["replaced", "appended"])
+def test_near_copies_that_differ_by_a_passage_are_found(spark, kind):
+    r = np.random.default_rng(12)
+    words = lambda n: [f"w{x}" for x in r.integers(0, 50_000, n)]
+    rows = []
+    for g in range(40):
+        base, at = words(400), int(r.integers(0, 360))
+        other = [*base[:at], *words(36), *base[at + 36 :]] if kind == "replaced" else [*words(40), *base, *words(40)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    sets = [near_copies.read_set(near_copies.shingle_set(t)) for _, t in rows]
+    assert all(0.8 <= near_copies.jaccard(sets[2 * g], sets[2 * g + 1]) < 0.84 for g in range(40))
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in near_copies.drop_near_copies(own).collect()) == list(range(0, 80, 2))
+
+
 def test_blocks_find_every_link(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 5)
     r = np.random.default_rng(10)
