@@ -2,7 +2,8 @@
 
 Documents longer than a sequence are cut; the pieces' lengths are counted. On the histogram alone (as many entries as a
 sequence has tokens) lengths are placed longest first, each into the packs that are filled least, and a run of equal packs is
-kept as one pattern. Pieces then find their place by their rank among pieces of equal length.
+kept as one pattern; where none has room, as few packs are opened as the rest of the length needs. Pieces then find their place by their
+rank among pieces of equal length.
 
 Defined results: a null text is empty and gives the end id alone; repeated ids and rows are documents of their own; a null key is kept;
 other columns are ignored; an empty table gives an empty table. Order among equal lengths is that of the written pieces.
@@ -46,7 +47,7 @@ def plan(histogram: dict[int, int], most: int = SEQUENCE) -> list[Slot]:
             if packs and packs[0][0] + length <= most:
                 fill, first, n = heapq.heappop(packs)
             else:
-                fill, first, n = 0, sequences, left
+                fill, first, n = 0, sequences, -(-left // (most // length))
                 sequences += n
             k = min(n, left)
             slots.append(Slot(length, rank, k, first, fill))

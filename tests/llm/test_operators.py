@@ -484,6 +484,22 @@ def test_pack_plan_is_tight():
     assert packing.plan({}) == []
 
 
+@pytest.mark.parametrize("hot", [5, 100, 700])
+def test_pack_plan_is_tight_with_a_hot_length(hot):
+    r = np.random.default_rng(7)
+    counts = Counter([hot] * 10_000 + np.clip(np.exp(r.normal(np.log(300), 1, 20_000)), 1, 2048).astype(int).tolist())
+    for histogram in ({hot: counts[hot]}, dict(counts)):
+        slots = packing.plan(histogram)
+        used, placed = Counter(), Counter()
+        for s in slots:
+            placed[s.length] += s.count
+            for k in range(s.count):
+                assert used[s.sequence + k] == s.offset
+                used[s.sequence + k] += s.length
+        assert placed == histogram and max(used.values()) <= 2048 and sorted(used) == list(range(len(used)))
+        assert len(used) == -(-counts[hot] // (2048 // hot)) if len(histogram) == 1 else sum(used.values()) / (2048 * len(used)) > 0.95
+
+
 def test_fingerprints_and_next_documents(docs, texts):
     rows = doc_fingerprint.compare_with_next(docs).collect()
     assert len(rows) == len(texts)
