@@ -20,9 +20,10 @@ CLOSERS = {"］": "bracket", "》": "ruby", "》》": "doubleRuby", "〕": "tort
 # Private-use characters that stand for nodes in normalised text.
 SENTINELS = {"inline": "\ue001", "blockLeaf": "\ue002", "blockOpen": "\ue003", "blockClose": "\ue004"}
 
-# Prefix of class and element names in the output.
-CLASS_PREFIX = "aozora-"
-ELEMENT_PREFIX = "aozora_"
+# Prefix of class and element names in the output. Projections take another one where a caller needs it.
+CLASS_PREFIX = "notation-"
+ELEMENT_PREFIX = "notation_"
+# Element names.
 ELEMENTS = {
     "ruby": "ruby", "bouten": "bouten", "tateChuYoko": "tcy", "gaiji": "gaiji", "indent": "indent", "alignEnd": "align_end",
     "warichu": "warichu", "keigakomi": "keigakomi", "pageBreak": "page_break", "sectionBreak": "section_break", "heading": "heading",
@@ -59,6 +60,7 @@ SLUGS = [
     ("挿絵（{path}）入る", "Sashie", True, None), ("縦中横", "TateChuYoko", False, None),
     *[(k, "KaeritenSingle" if len(k) == 1 else "KaeritenCompound", False, None) for k in KAERITEN],
 ]
+# Fixed values: (variant, canonical slug).
 VARIANTS = [
     ("ぼうてん", "傍点"), ("にぼうてん", "傍点"), ("しろぼうてん", "白ゴマ傍点"), ("しろごまぼうてん", "白ゴマ傍点"), ("まるぼうてん", "丸傍点"), ("にまるぼうてん", "丸傍点"),
     ("しろまるぼうてん", "白丸傍点"), ("にしろまるぼうてん", "白丸傍点"), ("にじゅうまるぼうてん", "二重丸傍点"), ("じゃのめぼうてん", "蛇の目傍点"), ("ばつぼうてん", "ばつ傍点"),
@@ -68,14 +70,21 @@ VARIANTS = [
     ("そうにゅうえ", "挿絵（{path}）入る"), ("けいがこみ", "罫囲み"), ("けいがこみおわり", "罫囲み終わり"), ("わりちゅう", "割り注"), ("わりちゅうおわり", "割り注終わり"),
 ]
 
-# Accent notation by mark; a letter and its mark give the accented letter. Ligatures come first.
-LIGATURES = {"ae&": "æ", "AE&": "Æ", "oe&": "œ", "OE&": "Œ"}
-ACCENT_LETTERS = {
-    "`": ("aeinouAEINOU", "àèìǹòùÀÈÌǸÒÙ"), "'": ("aceilmnorsuyzACEILMNORSUYZ", "áćéíĺḿńóŕśúýźÁĆÉÍĹḾŃÓŔŚÚÝŹ"),
-    "^": ("aceghijosuACEGHIJOSU", "âĉêĝĥîĵôŝûÂĈÊĜĤÎĴÔŜÛ"), "~": ("aeinouAEINOU", "ãẽĩñõũÃẼĨÑÕŨ"), ":": ("aeiouyAEIOU", "äëïöüÿÄËÏÖÜ"),
-    "&": ("sauAU", "ßåůÅŮ"), "_": ("aeiouAEIOU", "āēīōūĀĒĪŌŪ"), ",": ("cstCST", "çşţÇŞŢ"), "/": ("dhiloDLO", "đħɨłøĐŁØ"),
+# Accent digraphs, a letter and its mark. Ligatures come first.
+ACCENTS = {
+    "ae&": "æ", "AE&": "Æ", "oe&": "œ", "OE&": "Œ", "a`": "à", "e`": "è", "i`": "ì", "n`": "ǹ", "o`": "ò", "u`": "ù",
+    "A`": "À", "E`": "È", "I`": "Ì", "N`": "Ǹ", "O`": "Ò", "U`": "Ù", "a'": "á", "c'": "ć", "e'": "é", "i'": "í",
+    "l'": "ĺ", "m'": "ḿ", "n'": "ń", "o'": "ó", "r'": "ŕ", "s'": "ś", "u'": "ú", "y'": "ý", "z'": "ź", "A'": "Á",
+    "C'": "Ć", "E'": "É", "I'": "Í", "L'": "Ĺ", "M'": "Ḿ", "N'": "Ń", "O'": "Ó", "R'": "Ŕ", "S'": "Ś", "U'": "Ú",
+    "Y'": "Ý", "Z'": "Ź", "a^": "â", "c^": "ĉ", "e^": "ê", "g^": "ĝ", "h^": "ĥ", "i^": "î", "j^": "ĵ", "o^": "ô",
+    "s^": "ŝ", "u^": "û", "A^": "Â", "C^": "Ĉ", "E^": "Ê", "G^": "Ĝ", "H^": "Ĥ", "I^": "Î", "J^": "Ĵ", "O^": "Ô",
+    "S^": "Ŝ", "U^": "Û", "a~": "ã", "e~": "ẽ", "i~": "ĩ", "n~": "ñ", "o~": "õ", "u~": "ũ", "A~": "Ã", "E~": "Ẽ",
+    "I~": "Ĩ", "N~": "Ñ", "O~": "Õ", "U~": "Ũ", "a:": "ä", "e:": "ë", "i:": "ï", "o:": "ö", "u:": "ü", "y:": "ÿ",
+    "A:": "Ä", "E:": "Ë", "I:": "Ï", "O:": "Ö", "U:": "Ü", "s&": "ß", "a&": "å", "u&": "ů", "A&": "Å", "U&": "Ů",
+    "a_": "ā", "e_": "ē", "i_": "ī", "o_": "ō", "u_": "ū", "A_": "Ā", "E_": "Ē", "I_": "Ī", "O_": "Ō", "U_": "Ū",
+    "c,": "ç", "s,": "ş", "t,": "ţ", "C,": "Ç", "S,": "Ş", "T,": "Ţ", "d/": "đ", "h/": "ħ", "i/": "ɨ", "l/": "ł",
+    "o/": "ø", "D/": "Đ", "L/": "Ł", "O/": "Ø",
 }
-ACCENTS = LIGATURES | {letter + mark: out for mark, (letters, outs) in ACCENT_LETTERS.items() for letter, out in zip(letters, outs, strict=True)}
 ACCENT_MARKERS = "'`^:~&,/_"
 
 # Out-of-set descriptions that name their own character.

@@ -478,6 +478,9 @@ class Parsed:
         return _Html(self).result
 
     def serialize(self) -> str:
+        """The canonical source. Private-use marks go before anything else is read, since what they kept apart may be notation without them."""
+        if SENTINEL.search(self.text):
+            return Parsed(SENTINEL.sub("", self.source)).serialize()
         put = lambda m: source_of(n) if (n := self.place.get(m.start())) else ""
         out = re.sub("\n{3,}", "\n\n", SENTINEL.sub(put, self.normalized))
         return isolate_rules(out) if _RULE.search(out) else out

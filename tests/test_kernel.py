@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from hanmoto.functions import tables as V
@@ -199,6 +199,9 @@ TEXTS = st.lists(PIECES, max_size=40).map("".join)
 
 
 @settings(max_examples=400, deadline=None)
+@example("\ue001\ufeff")
+@example("漢字\ue001《x》")
+@example("\ue001\r\ue003\n\n\n")
 @given(TEXTS)
 def test_any_text(text):
     p = Parsed(text)
