@@ -76,10 +76,11 @@ def host_verdicts(counted: DataFrame, host: str, max_rate: float = MAX_HOST_RATE
     """One row per host (``host, n, failed, rate, rejected``) from rows with ``base_failed``; written to the shared folder."""
     hosts = materialize(counted.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")), "hosts")
     share = F.col("failed") / F.col("n")
-    one = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("f"), F.sum(F.col("n") * share * share).alias("sq")).first()
+    one = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("f"), F.sum(F.col("n") * share * share).alias("sq"), F.count("*").alias("hosts")).first()
     n = one["n"] or 1
     mean = (one["f"] or 0) / n
-    variance = max(0.0, (one["sq"] or 0) / n - mean * mean)
+    # the spread of the hosts' true rates: what chance alone adds to rates of few documents is taken off
+    variance = (one["sq"] or 0) / n - mean * mean - mean * (1 - mean) * one["hosts"] / n
     weight = PRIOR_WEIGHT[1] if variance <= 0 else min(max(mean * (1 - mean) / variance - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
     rate = (F.col("failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
     return hosts.withColumn("rate", rate).withColumn("rejected", rate > max_rate)

@@ -104,7 +104,7 @@ b AS (SELECT d.rid, doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
   FROM d LEFT JOIN cov ON cov.rid = d.rid LEFT JOIN ln ON ln.rid = d.rid),
 f AS (SELECT *, n_words < {_Q.MIN_WORDS} OR 100 * n_repeat_words > {_Q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b),
 h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS bad FROM f GROUP BY source),
-m AS (SELECT sum(bad) / sum(n) AS mean, sum(n * (bad / n) * (bad / n)) / sum(n) - (sum(bad) / sum(n)) * (sum(bad) / sum(n)) AS v FROM h),
+m AS (SELECT sum(bad) / sum(n) AS mean, sum(n * (bad / n) * (bad / n)) / sum(n) - (sum(bad) / sum(n)) * (sum(bad) / sum(n)) - (sum(bad) / sum(n)) * (1 - sum(bad) / sum(n)) * count(*) / sum(n) AS v FROM h),
 p AS (SELECT mean, CASE WHEN v <= 0 THEN {_Q.PRIOR_WEIGHT[1]} ELSE least(greatest(mean * (1 - mean) / v - 1, {_Q.PRIOR_WEIGHT[0]}), {_Q.PRIOR_WEIGHT[1]}) END AS k FROM m),
 r AS (SELECT source FROM h, p WHERE (bad + mean * k) / (n + k) > {_Q.MAX_HOST_RATE})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
