@@ -4,15 +4,19 @@ Documents are written as blocks. In each window of LENGTH bytes the GRAM-byte sp
 anchor; windows in a row with the same anchor make a segment. Equal windows have equal anchors at equal places, so it is enough to
 compare segments with equal anchors. This happens in three rounds over the blocks, with packed values in between:
 
-1. Segments' hashes go to their anchor's part, where equal segments get the smallest document that holds them.
-   Each also carries short hashes of the SIDE bytes left and right of its anchor: a window has so many on one side at least,
-   so different segments with neither in common have no window in common.
-2. Other different segments of an anchor go to a part as text. There, windows with the same anchor and place are sorted as
-   suffixes: a mergesort whose comparisons find the longest common extension by binary search on prefix hashes. Neighbours with a
-   common extension of a whole window are verified byte by byte, and each class of windows gets its smallest document.
-3. Blocks mark the windows found in smaller documents and cut their bytes out.
-
-A block sends a string once, however often it holds it, so what a hot passage sends grows with blocks and not with rows.
+1. Segments' hashes go to their anchor's part, where it is decided which segments must meet as text: equal hashes, and different segments
+   that may share a window. Each carries short hashes of the SIDE bytes left and right of its anchor: a window has so many on one side
+   at least, so different segments with neither in common have no window in common.
+2. These meet in parts, an anchor in one. Equal texts are verified byte by byte and from then on are one. Of different ones the windows
+   with the same place of the anchor are sorted as suffixes: a mergesort whose comparisons find the longest common extension by binary
+   search on prefix hashes. Neighbours with a common extension of a whole window are verified byte by byte too, and each class of
+   windows gets its smallest document. (Unequal segments whose anchors and 48-bit hashes collide stay, and aren't sorted again.)
+3. Blocks mark the windows found in smaller documents and cut their bytes out. No byte goes unless it was compared with its equal.
+
+An anchor with more than HOT segments isn't one group: its equal segments are verified in groups of CROWD against a witness that goes to
+each, and its different ones are sent window by window to groups of windows with one hash. A block sends a string once, however often it
+holds it, so what a hot passage sends grows with blocks and not with rows. The first round holds 26 bytes for each segment of an
+anchor that differs between or within blocks.
 
 Defined results: a null text is empty; a null id counts as larger than any other; equal ids (repeated rows) aren't smaller
 than each other and so remove nothing of each other; texts shorter than a window keep everything; a text longer than a block is a block
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, tasks
-from .prefix_hash import PRIME, PrefixHash, WrapHash, mix, powers, reduce
+from .prefix_hash import PRIME, PrefixHash, WrapHash, mix, powers, reduce, wrap_hash
 
 #: Bytes of a window and of an anchor; grams in a window.
 LENGTH, GRAM = 50, 20
@@ -41,39 +45,44 @@ GRAMS = LENGTH - GRAM + 1
 SIDE = (LENGTH - GRAM) // 2
 #: Bytes of a block, windows hashed at once, bytes of a part, bytes that a packed segment takes about.
 BLOCK, CHUNK, PART, PACKED = 4 << 20, 1 << 16, 12 << 20, 18
+#: Segments of an anchor that are compared as one group, equal segments that are verified against one copy of their witness.
+HOT, CROWD = 4096, 2048
 LAST = np.int64((1 << 63) - 1)
 
 
 # Blocks
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
-    squeeze = zstandard.ZstdCompressor(level=3)
+def _blocks(most: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        squeeze = zstandard.ZstdCompressor(level=3)
 
-    def close() -> pa.RecordBatch:
-        data = squeeze.compress(b"".join(texts))
-        lengths = np.array([len(t) for t in texts], np.int64)
-        return pa.record_batch([pa.array([(part << 32) + n]), pa.array([size]), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([lengths.tobytes()]), pa.array([data], pa.binary())], ["block", "n_bytes", "ids", "lengths", "data"])
+        def close() -> pa.RecordBatch:
+            data = squeeze.compress(b"".join(texts))
+            lengths = np.array([len(t) for t in texts], np.int64)
+            return pa.record_batch([pa.array([(part << 32) + n]), pa.array([size]), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([lengths.tobytes()]), pa.array([data], pa.binary())], ["block", "n_bytes", "ids", "lengths", "data"])
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = (t or "").encode("utf-8", "surrogatepass")
+                if texts and size + len(t) > most:
+                    yield close()
+                    n, ids, texts, size = n + 1, [], [], 0
+                ids.append(LAST if i is None else i)
+                texts.append(t)
+                size += len(t)
+        if texts:
+            yield close()
 
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            t = (t or "").encode("utf-8", "surrogatepass")
-            if texts and size + len(t) > BLOCK:
-                yield close()
-                n, ids, texts, size = n + 1, [], [], 0
-            ids.append(LAST if i is None else i)
-            texts.append(t)
-            size += len(t)
-    if texts:
-        yield close()
+    return f
 
 
-def write_blocks(docs: DataFrame) -> DataFrame:
+def write_blocks(docs: DataFrame, most: int = BLOCK) -> DataFrame:
     """``block, n_bytes, ids, lengths, data``, bucketed by block so that the rounds join to it without moving texts."""
     spark = docs.sparkSession
     name = f"hanmoto_blocks_{uuid.uuid4().hex}"
-    table = docs.mapInArrow(_blocks, "block long, n_bytes long, ids binary, lengths binary, data binary")
+    table = docs.mapInArrow(_blocks(most), "block long, n_bytes long, ids binary, lengths binary, data binary")
     table.write.bucketBy(tasks(spark), "block").sortBy("block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "none").saveAsTable(name)
     return spark.table(name)
 
@@ -81,6 +90,23 @@ def write_blocks(docs: DataFrame) -> DataFrame:
 # Segments
 
 
+def spans_of(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All positions of spans, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether the spans of two lists have equal bytes, pair by pair."""
+    out = a_size == b_size
+    for at in range(0, len(a), 20_000):
+        i = at + np.flatnonzero(out[at : at + 20_000])
+        if len(i):
+            n = a_size[i]
+            differ = data[spans_of(a[i], n)] != data[spans_of(b[i], n)]
+            out[i] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    return out
+
+
 class Segments:
     """A block's segments in order: ``start``, ``count`` of windows, ``anchor`` (hash), ``place`` (of the anchor from the start), ``hash``, ``doc``,
     ``left`` and ``right``: hashes of the bytes beside the anchor, 0 where the segment holds too few."""
@@ -95,6 +121,10 @@ class Segments:
         self.anchor, self.hash, self.left, self.right = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.uint64) for i in (3, 4, 5, 6))
         self.doc = self.ids[np.searchsorted(self.ends, self.start, "right")] if found else np.empty(0, np.int64)
 
+    def equal(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether segments x and y have the same bytes, pair by pair."""
+        return same_bytes(self.data, self.start[x], self.count[x] + LENGTH - 1, self.start[y], self.count[y] + LENGTH - 1)
+
     def _chunk(self, at: int) -> tuple[np.ndarray, ...]:
         data = self.data[at : at + CHUNK + LENGTH - 1]
         n = len(data) - LENGTH + 1
@@ -142,7 +172,9 @@ class Records:
         part = (s.anchor % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((s.doc, s.hash, s.anchor, part))
         a, h = s.anchor[order], s.hash[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (h[1:] != h[:-1])] if len(a) else np.empty(0, bool)
+        new = np.ones(len(a), bool)
+        again = np.flatnonzero((a[1:] == a[:-1]) & (h[1:] == h[:-1])) + 1
+        new[again] = ~s.equal(order[again], order[again - 1])
         self.first = order[new]
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
@@ -171,7 +203,7 @@ def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[list]:
             yield [c[i].as_py() for c in b.columns]
 
 
-# Round 1: equal segments
+# Round 1: which segments meet
 
 
 def _send_segments(parts: int):
@@ -186,85 +218,124 @@ def _send_segments(parts: int):
     return f
 
 
-def _settle_segments(group: pa.Table) -> pa.Table:
-    """For each block what its records don't know: smaller documents with the same segment, and which records must be compared as text."""
-    blocks = group.column("block").to_pylist()
-    unpack = zstandard.ZstdDecompressor()
-    widths, counts = (8, 6, 8, 2, 2), []
-    columns: list[list[np.ndarray]] = [[] for _ in widths]
-    for x in group.column("rows").to_pylist():
-        raw = np.frombuffer(unpack.decompress(x), np.uint8)
-        n, at = len(raw) // sum(widths), 0
-        for c, w in zip(columns, widths, strict=True):
-            c.append(_numbers(raw[at : at + w * n], w))
-            at += w * n
-        counts.append(n)
-    anchor, h, doc, left, right = (np.concatenate(c) for c in columns)
-    doc = doc.view(np.int64)
-    order = np.lexsort((doc, h, anchor))
-    a, h, d = anchor[order], h[order], doc[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (h[1:] != h[:-1])]
-    first, number = np.flatnonzero(new), np.cumsum(new) - 1
-    different = np.zeros(len(first), bool)  # distinct segments that share an anchor and a side with another
-    for side in (left[order][first], right[order][first]):
-        there = np.flatnonzero(side)
-        by_side = there[np.lexsort((side[there], a[first][there]))]
-        x, y = a[first][by_side], side[by_side]
-        twin = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-        different[by_side[1:][twin]] = True
-        different[by_side[:-1][twin]] = True
-    least = d[first][number]
-    best, compare = np.empty_like(doc), np.zeros(len(doc), bool)
-    best[order] = least
-    compare[order] = different[number] & (least == d)
-    out, at = [], 0
-    for block, n in zip(blocks, counts, strict=True):
-        better = np.flatnonzero(best[at : at + n] < doc[at : at + n])
-        text = np.flatnonzero(compare[at : at + n])
-        if len(better) or len(text):
-            out.append((block, better.astype("<u4").tobytes(), best[at : at + n][better].tobytes(), text.astype("<u4").tobytes(), len(text)))
-        at += n
-    part = group.column("part")[0].as_py()
-    return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "part": pa.array([part] * len(out), pa.int64()), **{k: pa.array([o[i + 1] for o in out], pa.binary()) for i, k in enumerate(("better", "least", "compare"))}, "n": pa.array([o[4] for o in out], pa.int64())})
+def _settle_segments(most: int, crowded: int):
+    def f(group: pa.Table) -> pa.Table:
+        """For each block the records that must be compared as text: with their anchor's group, with a group of a given name, or window by window."""
+        blocks = group.column("block").to_pylist()
+        unpack = zstandard.ZstdDecompressor()
+        widths, counts = (8, 6, 8, 2, 2), []
+        columns: list[list[np.ndarray]] = [[] for _ in widths]
+        for x in group.column("rows").to_pylist():
+            raw = np.frombuffer(unpack.decompress(x), np.uint8)
+            n, at = len(raw) // sum(widths), 0
+            for c, w in zip(columns, widths, strict=True):
+                c.append(_numbers(raw[at : at + w * n], w))
+                at += w * n
+            counts.append(n)
+        anchor, h, doc, left, right = (np.concatenate(c) for c in columns)
+        doc = doc.view(np.int64)
+        order = np.lexsort((doc, h, anchor))
+        a, h, d = anchor[order], h[order], doc[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (h[1:] != h[:-1])]
+        first, number = np.flatnonzero(new), np.cumsum(new) - 1
+        last = np.r_[first[1:], len(a)] - 1
+        different = np.zeros(len(first), bool)  # distinct segments that share an anchor and a side with another
+        for side in (left[order][first], right[order][first]):
+            there = np.flatnonzero(side)
+            by_side = there[np.lexsort((side[there], a[first][there]))]
+            x, y = a[first][by_side], side[by_side]
+            twin = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+            different[by_side[1:][twin]] = True
+            different[by_side[:-1][twin]] = True
+        least = d[first][number]
+        copied = d[last] > d[first]  # classes that larger documents have too
+        to_verify = d > least
+        witness = np.zeros(len(d), bool)
+        witness[first] = copied
+        to_sort = different[number] & ~to_verify
+        go = to_verify | to_sort | witness
+        edges, stops = _runs(np.cumsum(np.r_[False, a[1:] != a[:-1]]))
+        hot = np.repeat(np.add.reduceat(go.astype(np.int64), edges) > most, stops - edges)
+        # of a hot anchor's class the members but the first documents', in crowds; the witness goes to each group
+        rank = np.cumsum(to_verify) - 1
+        rank -= rank[first][number] + (~to_verify[first][number]).astype(np.int64)
+        crowd = np.maximum(rank, 0) // crowded
+        name = mix(mix(a + h * np.uint64(0x9E3779B97F4A7C15)) + crowd.astype(np.uint64))
+        named = np.flatnonzero(to_verify & hot)
+        begins = named[rank[named] % crowded == 0]
+        pairs = [(order[named], name[named]), (order[first[number[begins]]], name[begins])]
+        picked = [(order[go & ~hot & ~to_sort], None), (order[to_sort & ~hot], None), tuple(np.concatenate(x) for x in zip(*pairs, strict=True)), (order[to_sort & hot], None)]
+        ends = np.cumsum(counts)
+        out = []
+        cut = []
+        for rows, names in picked:
+            by = np.argsort(rows, kind="stable")
+            cut.append((rows[by], None if names is None else names[by], np.searchsorted(rows[by], np.r_[0, ends])))
+        for k, block in enumerate(blocks):
+            at = ends[k] - counts[k]
+            lists = [rows[e[k] : e[k + 1]] - at for rows, _, e in cut]
+            if sizes := sum(len(x) * n for x, n in zip(lists, (LENGTH + GRAMS,) * 3 + (GRAMS * LENGTH // 2,), strict=True)):
+                names, e = cut[2][1:]
+                out.append((block, *(x.astype("<u4").tobytes() for x in lists), names[e[k] : e[k + 1]].tobytes(), sizes))
+        part = group.column("part")[0].as_py()
+        kinds = (*((k, pa.binary()) for k in (*LISTS, "names")), ("n", pa.int64()))
+        return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "part": pa.array([part] * len(out), pa.int64()), **{k: pa.array([o[i + 1] for o in out], t) for i, (k, t) in enumerate(kinds)}})
+
+    return f
 
 
-def _apply(r: Records, answers: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Each record's smallest document, and the records to compare as text, ascending."""
-    least, text, edge = r.doc.copy(), [], {p: i for p, i, _ in r.parts()}
-    for a in answers or ():
-        at = edge[a["part"]]
-        least[np.frombuffer(a["better"], "<u4") + at] = np.frombuffer(a["least"], np.int64)
-        text.append(np.frombuffer(a["compare"], "<u4").astype(np.int64) + at)
-    return least, np.sort(np.concatenate(text)) if text else np.empty(0, np.int64)
+#: Records that only meet their equals, that are sorted too, that meet in groups of a given name, that are sent window by window.
+LISTS = ("plain", "sorted", "named", "split")
+SETTLED = f"block long, part long, {', '.join(f'{k} binary' for k in LISTS)}, names binary, n long"
+#: Added to the place of an item that is sorted.
+SORTED = 128
 
 
 # Round 2: suffix sort
 
 
 def _send_texts(parts: int, text_parts: int):
-    """A value: number of records; anchors, documents, counts of windows, anchors' places; texts."""
+    """A value: number of items; names of groups, documents, counts of windows, anchors' places; texts. An item is a segment or a single window."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for block, ids, lengths, data, answers in _rows(batches):
             s = Segments(ids, lengths, data)
             r = Records(s, parts)
-            least, todo = _apply(r, answers)
-            part = (r.anchor[todo] // np.uint64(parts) % np.uint64(text_parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            todo, part = todo[order], part[order]
+            edge = {p: i for p, i, _ in r.parts()}
+            which: dict[str, np.ndarray] = {k: np.concatenate([np.frombuffer(a[k], "<u4").astype(np.int64) + edge[a["part"]] for a in answers]) for k in LISTS}
+            windows = s.count[r.first[which["split"]]]
+            own = np.concatenate([*(which[k] for k in LISTS[:3]), np.repeat(which["split"], windows)])
+            whole, lone = len(own) - int(windows.sum()), len(which["plain"])
+            nth = np.concatenate([np.zeros(whole, np.int64), np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)])
+            seg = r.first[own]
+            start, count, place = s.start[seg] + nth, s.count[seg], s.place[seg]
+            count[whole:], place[whole:] = 1, 0
+            place[lone : lone + len(which["sorted"])] += SORTED
+            names = [np.frombuffer(a["names"], "<u8") for a in answers]
+            singles = [window_hashes(s.data, start[i : i + 50_000]) for i in range(whole, len(start), 50_000)]
+            name = np.concatenate([r.anchor[which["plain"]], r.anchor[which["sorted"]], *names, *singles])
+            part = (mix(name + np.uint64(text_parts)) % np.uint64(text_parts)).astype(np.int64)
+            order = np.lexsort((name, part))
             out = []
-            for i, j in zip(*_runs(part), strict=True):
-                own, seg = todo[i:j], r.first[todo[i:j]]
-                size = s.count[seg] + LENGTH - 1
-                text = s.data[np.repeat(s.start[seg] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                raw = struct.pack("<I", len(own)) + r.anchor[own].tobytes() + least[own].tobytes() + s.count[seg].astype(np.uint8).tobytes() + s.place[seg].astype(np.uint8).tobytes() + text.tobytes()
-                out.append((int(part[i]), squeeze.compress(raw), own.astype("<u4").tobytes()))
-            yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["part", "block", "rows", "which"])
+            for i, j in zip(*_runs(part[order]), strict=True):
+                at = order[i:j]
+                text = s.data[spans_of(start[at], count[at] + LENGTH - 1)]
+                raw = struct.pack("<I", len(at)) + name[at].tobytes() + r.doc[own[at]].tobytes() + count[at].astype(np.uint8).tobytes() + place[at].astype(np.uint8).tobytes() + text.tobytes()
+                out.append((int(part[at[0]]), squeeze.compress(raw), own[at].astype("<u4").tobytes(), nth[at].astype(np.uint8).tobytes()))
+            kinds = (("part", pa.int64()), ("rows", pa.binary()), ("which", pa.binary()), ("nth", pa.binary()))
+            yield pa.record_batch({"block": pa.array([block] * len(out), pa.int64()), **{k: pa.array([o[i] for o in out], t) for i, (k, t) in enumerate(kinds)}})
 
     return f
 
 
+SENT = "block long, part long, rows binary, which binary, nth binary"
+
+
+def window_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix(wrap_hash(data[start[:, None] + np.arange(LENGTH)]))
+
+
 class SuffixSort:
     """Sorts positions of a text by the LENGTH bytes from there, within groups."""
 
@@ -332,38 +403,24 @@ def _compare_texts(group: pa.Table) -> pa.Table:
             at += width * n
         columns[4].append(np.frombuffer(raw, np.uint8, -1, at))
         counts.append(n)
-    anchor, doc, count, place, text = (np.concatenate(c) for c in columns)
+    name, doc, count, place, text = (np.concatenate(c) for c in columns)
     count, place = count.astype(np.int64), place.astype(np.int64)
     size = count + LENGTH - 1
     begin = np.cumsum(size) - size
-    # distinct anchors' numbers make the group keys small
-    number = np.unique(anchor, return_inverse=True)[1]
-    masks = np.zeros(len(anchor), np.uint32)
-    by_anchor = np.argsort(number, kind="stable")
-    edges = np.flatnonzero(np.diff(number[by_anchor], prepend=-1))
-    # as many whole anchors at once as keep the arrays small
-    windows = np.cumsum(count[by_anchor])
-    cut = [0, *(edges[1:][np.flatnonzero(np.diff(windows[edges[1:] - 1] // 400_000) > 0) + 1].tolist() if len(edges) > 1 else []), len(by_anchor)]
+    # distinct names' numbers make the group keys small
+    number = np.unique(name, return_inverse=True)[1]
+    masks = np.zeros(len(name), np.uint32)
+    by_name = np.argsort(number, kind="stable")
+    edges = np.flatnonzero(np.diff(number[by_name], prepend=-1))
+    # as many whole groups at once as keep the arrays small
+    windows = np.cumsum(count[by_name])
+    cut = [0, *(edges[1:][np.flatnonzero(np.diff(windows[edges[1:] - 1] // 400_000) > 0) + 1].tolist() if len(edges) > 1 else []), len(by_name)]
     for i, j in zip(cut[:-1], cut[1:], strict=True):
-        rec = by_anchor[i:j]
-        sub = np.repeat(begin[rec] - np.cumsum(size[rec]) + size[rec], size[rec]) + np.arange(size[rec].sum())
-        own_begin = np.cumsum(size[rec]) - size[rec]
-        k = np.repeat(np.arange(len(rec)), count[rec])
-        r = np.arange(len(k)) - np.repeat(np.cumsum(count[rec]) - count[rec], count[rec])
-        key = number[rec][k] * GRAMS + place[rec][k] - r
-        by_key = np.argsort(key, kind="stable")
-        k, r, key = k[by_key], r[by_key], key[by_key]
-        sorter = SuffixSort(text[sub])
-        order = sorter.sort(own_begin[k] + r, key)
-        k, r, key = k[order], r[order], key[order]
-        new = ~sorter.same_as_before(own_begin[k] + r, key)
-        d = doc[rec][k]
-        least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
-        hit = least < d
-        np.bitwise_or.at(masks, rec[k[hit]], np.uint32(1) << r[hit].astype(np.uint32))
+        rec = by_name[i:j]
+        masks[rec] = _compare(number[rec], doc[rec], count[rec], place[rec], text[spans_of(begin[rec], size[rec])])
     out, at = [], 0
-    for block, which, n in zip(group.column("block").to_pylist(), group.column("which").to_pylist(), counts, strict=True):
-        own = masks[at : at + n]
+    for block, which, nth, n in zip(*(group.column(c).to_pylist() for c in ("block", "which", "nth")), counts, strict=True):
+        own = masks[at : at + n] << np.frombuffer(nth, np.uint8).astype(np.uint32)
         some = np.flatnonzero(own)
         if len(some):
             out.append((block, np.frombuffer(which, "<u4")[some].tobytes(), own[some].tobytes()))
@@ -371,15 +428,56 @@ def _compare_texts(group: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "which": pa.array([o[1] for o in out], pa.binary()), "masks": pa.array([o[2] for o in out], pa.binary())})
 
 
+def _compare(group: np.ndarray, doc: np.ndarray, count: np.ndarray, place: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The windows (a bit each) of each item that a smaller document of its group has too; texts follow one another."""
+    size = count + LENGTH - 1
+    begin = np.cumsum(size) - size
+    to_sort, place = place >= SORTED, place % SORTED
+    sorter = SuffixSort(text)
+    # equal texts are one from here on
+    h = sorter.hashes.span(begin, size)
+    order = np.lexsort((~to_sort, doc, h, size, place, group))
+    x, y = order[1:], order[:-1]
+    again = (group[x] == group[y]) & (place[x] == place[y]) & (h[x] == h[y])
+    at = np.flatnonzero(again)
+    again[at] = same_bytes(text, begin[x[at]], size[x[at]], begin[y[at]], size[y[at]])
+    first = np.flatnonzero(np.r_[True, ~again])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(np.r_[True, ~again]) - 1
+    item = order[first]  # of each class one of its smallest document's
+    least = doc[item]
+    masks = np.zeros(len(item), np.uint32)
+    # classes that aren't alone in their group
+    rest = np.flatnonzero(to_sort[item])
+    own = group[item]
+    edge = np.flatnonzero(np.diff(own[rest], prepend=-1))
+    rest = rest[np.repeat(np.diff(np.r_[edge, len(rest)]) > 1, np.diff(np.r_[edge, len(rest)]))]
+    if len(rest):
+        n = count[item[rest]]
+        k = np.repeat(rest, n)
+        r = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+        key = own[k] * GRAMS + place[item[k]] - r
+        by_key = np.argsort(key, kind="stable")
+        k, r, key = k[by_key], r[by_key], key[by_key]
+        by = sorter.sort(begin[item[k]] + r, key)
+        k, r, key = k[by], r[by], key[by]
+        new = ~sorter.same_as_before(begin[item[k]] + r, key)
+        d = least[k]
+        hit = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1] < d
+        np.bitwise_or.at(masks, k[hit], np.uint32(1) << r[hit].astype(np.uint32))
+    every = ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    return np.where(doc > least[of], every, masks[of])
+
+
 # Round 3: cutting
 
 
-def removed(s: Segments, r: Records, least: np.ndarray, masks: np.ndarray) -> np.ndarray:
+def removed(s: Segments, r: Records, masks: np.ndarray) -> np.ndarray:
     """Which bytes of the block go."""
     hit = np.zeros(len(s.data) + 1, np.int32)
     k = np.repeat(np.arange(len(s.start)), s.count)
     j = np.arange(len(k)) - np.repeat(np.cumsum(s.count) - s.count, s.count)
-    bad = (least[r.of] < s.doc)[k] | (masks[r.of][k] >> j.astype(np.uint32) & np.uint32(1)).astype(bool)
+    bad = (r.doc[r.of] < s.doc)[k] | (masks[r.of][k] >> j.astype(np.uint32) & np.uint32(1)).astype(bool)
     hit[(s.start[k] + j)[bad] + 1] = 1
     total = np.cumsum(hit)
     before = np.concatenate([np.zeros(LENGTH - 1, np.int32), total])[: len(s.data)]
@@ -391,14 +489,13 @@ SPANS = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, ke
 
 def _cut(parts: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, lengths, data, answers, found in _rows(batches):
+        for _, ids, lengths, data, found in _rows(batches):
             s = Segments(ids, lengths, data)
             r = Records(s, parts)
-            least, _ = _apply(r, answers)
             masks = np.zeros(len(r.first), np.uint32)
             for x in found or ():
-                masks[np.frombuffer(x["which"], "<u4")] = np.frombuffer(x["masks"], np.uint32)
-            gone = removed(s, r, least, masks)
+                np.bitwise_or.at(masks, np.frombuffer(x["which"], "<u4"), np.frombuffer(x["masks"], np.uint32))
+            gone = removed(s, r, masks)
             out = []
             for i, b, e in zip(s.ids.tolist(), s.begins.tolist(), s.ends.tolist(), strict=True):
                 g = gone[b:e]
@@ -412,22 +509,21 @@ def _cut(parts: int):
     return f
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
     """Per document: ``doc_id, n_bytes, spans`` (removed runs) and ``kept`` (the remaining bytes)."""
     spark = docs.sparkSession
-    blocks = write_blocks(docs.select(F.col(key).cast("long"), text))
+    blocks = write_blocks(docs.select(F.col(key).cast("long"), text), block)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(tasks(spark), -(-total * PACKED * 2 // (GRAMS + 1) // PART))
     content = ["block", "ids", "lengths", "data"]
     sent = blocks.select(*content).mapInArrow(_send_segments(parts), "part long, block long, rows binary")
-    settled = materialize(sent.groupBy("part").applyInArrow(_settle_segments, "block long, part long, better binary, least binary, compare binary, n long"), "segments")
+    settled = materialize(sent.groupBy("part").applyInArrow(_settle_segments(hot, crowd), SETTLED), "segments")
     todo = settled.agg(F.sum("n")).first()[0] or 0
-    answers = settled.groupBy("block").agg(F.collect_list(F.struct("part", "better", "least", "compare")).alias("answers"))
-    text_parts = max(tasks(spark), -(-todo * (LENGTH + GRAMS) // PART))
-    texts = blocks.join(answers, "block").select(*content, "answers").mapInArrow(_send_texts(parts, text_parts), "part long, block long, rows binary, which binary")
+    answers = settled.groupBy("block").agg(F.collect_list(F.struct("part", *LISTS, "names")).alias("answers"))
+    texts = blocks.join(answers, "block").select(*content, "answers").mapInArrow(_send_texts(parts, max(tasks(spark), -(-todo // PART))), SENT)
     compared = materialize(texts.groupBy("part").applyInArrow(_compare_texts, "block long, which binary, masks binary"), "windows")
     found = compared.groupBy("block").agg(F.collect_list(F.struct("which", "masks")).alias("found"))
-    return blocks.join(answers, "block", "left").join(found, "block", "left").select(*content, "answers", "found").mapInArrow(_cut(parts), SPANS)
+    return blocks.join(found, "block", "left").select(*content, "found").mapInArrow(_cut(parts), SPANS)
 
 
 def digest(cut: DataFrame) -> DataFrame:
