@@ -4,7 +4,11 @@ A step is a word. Its input is a vector of the word itself (if the training samp
 character n-grams, so that unseen forms still have meaning. Windows of WINDOW words start every STRIDE words and so overlap; a document scores as its
 highest window. Only the document's label is known in training, so each document teaches through its highest windows.
 
-Training takes a bounded sample (MOST_TOXIC, MOST_CLEAN, MOST_BYTES) of the labelled rows; scoring reads every word of every text.
+A word's first component also carries evidence: how much more often than by chance its documents have one label. A document is trained with
+the evidence of other documents only, so that the network learns how far to trust it; with few labels that is most of what can be learned.
+
+Training takes a bounded sample (MOST_TOXIC, MOST_CLEAN, MOST_BYTES, SAMPLE_BYTES) of the labelled rows; scoring reads every word of every
+text. Of two windows in a row WINDOW - STRIDE words are common, so that a passage of up to WINDOW - STRIDE + 1 words is whole in one of them.
 
 Defined results: a null or blank text has no window and scores 0; a null id is never held out nor learned from; an id with
 several labels counts as toxic if one says so; repeated documents are scored each; without both kinds of labels every score is 0;
@@ -21,13 +25,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 1500, 3000, 100_000
-WINDOW, STRIDE, HIDDEN, DIM, ATTENTION = 32, 24, 8, 16, 8
+#: Texts of either label in the training sample, bytes of one of them, bytes of all of one label.
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES, SAMPLE_BYTES = 1500, 3000, 100_000, 24 << 20
+WINDOW, STRIDE, HIDDEN, DIM, ATTENTION = 32, 16, 8, 16, 8
 #: Rows of the n-gram table, n-gram lengths, documents a word needs to get its own vector, most such words.
 GRAMS, LENGTHS, FEWEST, MOST_WORDS = 1 << 15, (3, 4, 5, 6), 4, 30_000
 UPDATES, PASSES, BATCH, RATE = 420, 20, 16, 0.012
 THRESHOLD = 0.7
+#: Roots of likelihood ratios up to here are taken for chance; folds of the sample that judge one another's words.
+CHANCE, FOLDS = 2.5, 5
 #: Windows scored at once, words a worker remembers.
 GROUP, REMEMBERED = 768, 300_000
 
@@ -84,6 +92,16 @@ def sum_by(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[order[first]], np.add.reduceat(rows[order], first)
 
 
+def evidence_of(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """How surely words go with a label: the signed root of the likelihood ratio of their counts of documents, less what chance gives, from -2 to 2."""
+    n, share = np.maximum(toxic + clean, 1e-9), n_toxic / max(1, n_toxic + n_clean)
+    part = lambda k, q: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / (n * max(q, 1e-9))), 0.0)
+    root = np.sqrt(np.maximum(0.0, 2 * (part(toxic, share) + part(clean, 1 - share))))
+    out = (np.sign(toxic / n - share) * np.clip(root - CHANCE, 0, 2)).astype(np.float32)
+    out[0] = 0  # the place of all words that aren't known
+    return out
+
+
 class Network:
     """Arrays by name in ``p``; ``g`` tables hold gates' inputs: update, reset, candidate."""
 
@@ -95,11 +113,13 @@ class Network:
             self.p |= {f"in_{d}": new(DIM, 3 * HIDDEN), f"re_{d}": new(HIDDEN, 3 * HIDDEN), f"bias_{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"att": new(2 * HIDDEN, ATTENTION), "att_v": new(ATTENTION), "out": new(2 * HIDDEN), "out_b": np.zeros(1, np.float32)}
 
-    def inputs(self, word_ids: np.ndarray, gram_ids: np.ndarray, gram_of: np.ndarray) -> np.ndarray:
-        """A vector for each distinct word; ``gram_of`` gives each n-gram's word, ascending."""
+    def inputs(self, word_ids: np.ndarray, gram_ids: np.ndarray, gram_of: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+        """A vector for each distinct word; ``gram_of`` gives each n-gram's word, ascending; ``evidence`` of words enters the first component."""
         count = np.bincount(gram_of, minlength=len(word_ids)).astype(np.float32)
         first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
-        return self.p["word"][word_ids] + np.add.reduceat(self.p["gram"][gram_ids], first) / count[:, None]
+        x = self.p["word"][word_ids] + np.add.reduceat(self.p["gram"][gram_ids], first) / count[:, None]
+        x[:, 0] += evidence[word_ids]
+        return x
 
     def gates(self, x: np.ndarray) -> list[np.ndarray]:
         """For both directions the gates' inputs of each distinct word, and of the filler, which keeps the state, as the last row."""
@@ -199,15 +219,15 @@ class Vocabulary(dict):
 
 
 class Model:
-    def __init__(self, network: Network | None, known: dict[str, int], scale: float = 1.0, shift: float = 0.0):
-        self.network, self.known, self.scale, self.shift = network, known, scale, shift
+    def __init__(self, network: Network | None, known: dict[str, int], evidence: np.ndarray | None = None, scale: float = 1.0, shift: float = 0.0):
+        self.network, self.known, self.evidence, self.scale, self.shift = network, known, evidence, scale, shift
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """Each text's highest window; minus infinity where there's no word."""
         vocabulary, gates = self._remembered()
         codes = [vocabulary.codes(t) for t in texts]
         if vocabulary.new:
-            more = self.network.gates(self.network.inputs(*vocabulary.learn()))
+            more = self.network.gates(self.network.inputs(*vocabulary.learn(), self.evidence))
             gates = [np.concatenate([g[:-1], m]) for g, m in zip(gates, more, strict=True)] if gates else more
         self._memory = vocabulary, gates
         out, rows, of = np.full(len(texts), -np.inf), [], []
@@ -279,9 +299,19 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     common = count >= FEWEST
     network.p["gram"][~common] = 0
     del seen, distinct
-    groups = [np.array([i for i in np.flatnonzero(~aside & (labels == y)) if len(codes[i])]) for y in (0, 1)]
+    groups = [np.array([i for i in np.flatnonzero(~aside & (labels == y)) if len(codes[i])], int) for y in (0, 1)]
     if not all(map(len, groups)):
         return Model(None, {})
+    # a document learns from what the other folds' documents say of its words, since its own always agree with it
+    fold = np.arange(len(texts)) % FOLDS
+    seen_in = np.zeros((FOLDS, 2, len(known) + 1))
+    for i in np.concatenate(groups):
+        seen_in[fold[i], labels[i], np.unique(word_ids[codes[i]])] += 1
+    sizes = np.array([[np.count_nonzero(fold[g] == k) for g in groups] for k in range(FOLDS)])
+    judge = lambda rest: evidence_of(seen_in[rest, 1].sum(0), seen_in[rest, 0].sum(0), *sizes[rest].sum(0)[::-1])
+    judged = [judge(np.arange(FOLDS) != k) for k in range(FOLDS)]
+    own_fold = [[g[fold[g] == k] for g in groups] for k in range(FOLDS)]
+    full = [k for k in range(FOLDS) if all(map(len, own_fold[k]))]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
 
     updates = min(UPDATES, max(60, PASSES * -(-min(map(len, groups)) // BATCH)))
@@ -295,7 +325,8 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         network.p[name][at] -= rate * (m[at] / (1 - 0.9 ** (step + 1))) / (np.sqrt(v[at] / (1 - 0.99 ** (step + 1))) + 1e-6)
 
     for step in range(updates):
-        docs = np.concatenate([r.choice(g, min(BATCH, len(g)), replace=False) for g in groups])
+        k = full[step % len(full)] if full else 0
+        docs = np.concatenate([r.choice(g, min(BATCH, len(g)), replace=False) for g in (own_fold[k] if full else groups)])
         every = [windows(codes[i]) for i in docs]
         rows = np.concatenate(every)
         used, local = np.unique(rows, return_inverse=True)
@@ -304,7 +335,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         grams_used, owner = grams([bases[i] for i in used])
         length, words_used = np.bincount(owner, minlength=len(used)), word_ids[used].copy()
         words_used[r.random(len(used)) < 0.3] = 0  # now and then only the characters speak
-        x = network.inputs(words_used, grams_used, owner)
+        x = network.inputs(words_used, grams_used, owner, judged[k])
         gates = network.gates(x)
         logit = network.run(gates, local)
         chosen, target, at = [], [], 0
@@ -331,7 +362,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
             adam("word", *reversed(sum_by(words_used[touched][own], dx[own])), step)
         for name, g in grad.items():
             adam(name, g.astype(np.float32), None, step)
-    model = Model(network, known)
+    model = Model(network, known, judge(np.ones(FOLDS, bool)))
     held = aside if aside.any() and labels[aside].any() else np.ones(len(texts), bool)
     own = [t for t, h in zip(texts, held, strict=True) if h]
     logit = np.concatenate([model.logits(own[i : i + 200]) for i in range(0, len(own), 200)])
@@ -367,7 +398,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     short = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter(F.octet_length("_text") <= MOST_BYTES)
     chosen = [known.filter(F.col("_toxic") == y).orderBy(F.xxhash64("_key"), "_key").limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     sample = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("_doc") == F.col("_key"))  # at most MOST_TOXIC + MOST_CLEAN keys
-    one = sample.groupBy("_key", "_toxic").agg(F.min("_text").alias("_text")).orderBy(F.xxhash64("_key"), "_key").collect()
+    order = [F.xxhash64("_key"), F.col("_key")]
+    so_far = F.sum(F.octet_length("_text")).over(Window.partitionBy("_toxic").orderBy(*order))  # over the sample's rows
+    one = sample.groupBy("_key", "_toxic").agg(F.min("_text").alias("_text")).withColumn("_bytes", so_far).filter(F.col("_bytes") <= SAMPLE_BYTES).orderBy(*order).collect()
     return train([r["_text"] for r in one], [r["_toxic"] for r in one])
 
 
