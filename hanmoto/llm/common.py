@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -29,18 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-_scratch: list[str] | None = None
+_open: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("open", default=None)
 
 
 @contextlib.contextmanager
-def scratch(paths: list[str]):
-    """Adds the path of every table written inside to ``paths``."""
-    global _scratch
-    before, _scratch = _scratch, paths
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at the end, but for those written by the function that this gives; an enclosing block deletes these."""
+    outer, inner = _open.get(), []
+    token = _open.set(inner)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        path = inner.pop()
+        if outer is not None:
+            outer.append(path)
+        return out
+
     try:
-        yield
+        yield keep
     finally:
-        _scratch = before
+        _open.reset(token)
+        remove(spark, inner)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -53,8 +63,8 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scratch is not None:
-        _scratch.append(path)
+    if (inner := _open.get()) is not None:
+        inner.append(path)
     return path
 
 
@@ -69,6 +79,14 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with ``_`` added until no column is called so (in any case of letters)."""
+    there = {c.lower() for c in taken}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """All words of a text; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
