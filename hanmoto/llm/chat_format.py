@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 class Template:
     """``escapes``: control string -> letter; it is written as a backslash and that letter, a backslash as two.
 
+    Every control string that could end a text or a role must be in the escapes, and none may contain a backslash.
     The opening marker is ``open + role + separator``. ``moves``: state -> roles that may follow; a role's name is the next state.
     """
 
@@ -93,6 +94,6 @@ def parse_chats(formatted: DataFrame, template: Template = TEMPLATE) -> DataFram
         text = F.substring(rest, F.length(role) + F.lit(len(template.separator) + 1), F.length(rest))
         return F.struct(unescape(role, template.role_escapes).alias("role"), unescape(text, template.escapes).alias("text"))
 
-    pieces = F.split("formatted", template.close + template.end)
+    pieces = F.split("formatted", f"\\Q{template.close}{template.end}\\E")  # quoted; control strings hold no backslash
     trained = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template.escapes))
     return formatted.withColumn("turns", F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)).withColumn("loss_text", F.array_join(trained, ""))
