@@ -7,7 +7,7 @@ less above. Two texts of a candidate group are a link if the Jaccard similarity
 smallest key of each connected component of links stays.
 
 The links of fingerprints come as spanning forests and are verified first. Groups that these don't connect are cut into blocks of BLOCK
-texts, and every pair of blocks is compared whole, in one matrix product, so no link inside a group is missed. A pair of blocks is one row and
+texts (fewer of long ones), and every pair of blocks is compared whole, in one matrix product, so no link inside a group is missed. A pair of blocks is one row and
 gives a spanning forest of its links; a group of n texts makes (n / BLOCK)^2 / 2 such rows.
 
 Defined results: null and blank texts are equal texts if they are the same value, and alike (no shingles) otherwise; a null key
@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, running_total
+from .common import materialize, running_total, scratch
 from .simhash import KEY, SEED, _mixed, components, expand, fingerprints, links, parts_for, shingle_hashes, squeeze
 
 SIMILAR, SHINGLE = 0.8, 5
 CANDIDATE_SHINGLE, CANDIDATE_RADIUS, PRINTS = 2, 4, 4
 #: Bands of a text and minima in each.
 BANDS, ROWS = 32, 5
-#: Texts of a block.
-BLOCK = 256
+#: Texts of a block, and bytes of packed shingles that make it full with fewer.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 
 
 def shingle_set(text: str | None) -> bytes:
@@ -181,8 +181,9 @@ def block_links(prints: DataFrame, labels: DataFrame, candidates: DataFrame) ->
     """All links (as spanning forests) inside candidate groups that hold more than one label."""
     groups_of = candidates.select("node", F.col("label").alias("group")).join(labels, "node")
     open_groups = groups_of.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("group")
-    members = materialize(groups_of.join(open_groups, "group"), "members")
-    numbered = running_total(members.withColumn("_one", F.lit(1)), ["group"], ["node"], "_one", "i").select("group", "node", "label", F.floor(F.col("i") / BLOCK).cast("int").alias("block"))
+    weight = (1 + F.floor(F.octet_length("shingles") / (BLOCK_BYTES // BLOCK))).alias("_weight")
+    members = materialize(groups_of.join(open_groups, "group").join(prints.select("node", weight), "node"), "members")
+    numbered = running_total(members, ["group"], ["node"], "_weight", "i").select("group", "node", "label", F.floor(F.col("i") / BLOCK).cast("int").alias("block"))
     texts = numbered.join(prints.select("node", "shingles"), "node").groupBy("group", "block").agg(F.collect_list(F.struct("node", "label", "shingles")).alias("texts"))
     blocks = materialize(texts, "blocks")
     last = blocks.groupBy("group").agg(F.max("block").alias("n"))
@@ -215,10 +216,11 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     hashes = ["_h0", "_h1", "_h2"]
     first = F.min(F.struct(F.col("_key").isNull().alias("no"), F.col("_key").alias("key")))
     all_prints = own.select("_key", *hashes, _prints("_text").alias("p")).select("_key", *hashes, "p.*")
-    distinct = materialize(all_prints.groupBy(*hashes).agg(first.alias("least"), F.first(F.struct("bits", "shingles")).alias("p")).select(*hashes, "least", "p.*", F.monotonically_increasing_id().alias("node")), "distinct")
-    labels = groups(distinct.select("node", "bits", "shingles"))
-    ranked = distinct.select("node", "least", *hashes).join(labels, "node")
-    best = ranked.groupBy("label").agg(F.min(F.struct("least", "node")).alias("best")).select(F.col("best.node").alias("node"))
-    stay = materialize(ranked.join(best, "node").select(F.col("least.key").alias("_k"), *[F.col(h).alias(f"{h}_") for h in hashes]), "stay")
+    with scratch(docs.sparkSession) as keep:
+        distinct = materialize(all_prints.groupBy(*hashes).agg(first.alias("least"), F.first(F.struct("bits", "shingles")).alias("p")).select(*hashes, "least", "p.*", F.monotonically_increasing_id().alias("node")), "distinct")
+        labels = groups(distinct.select("node", "bits", "shingles"))
+        ranked = distinct.select("node", "least", *hashes).join(labels, "node")
+        best = ranked.groupBy("label").agg(F.min(F.struct("least", "node")).alias("best")).select(F.col("best.node").alias("node"))
+        stay = keep(ranked.join(best, "node").select(F.col("least.key").alias("_k"), *[F.col(h).alias(f"{h}_") for h in hashes]), "stay")
     met = own.join(stay, (F.col("_h0") == F.col("_h0_")) & (F.col("_h1") == F.col("_h1_")) & (F.col("_h2") == F.col("_h2_")) & F.col("_key").eqNullSafe(F.col("_k")))
     return met.dropDuplicates(["_key", *hashes]).select("_doc.*")

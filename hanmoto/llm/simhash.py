@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tasks
+from .common import materialize, scratch, tasks
 
 WORDS_PER_SHINGLE, RADIUS, SEED = 3, 3, 42
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -262,10 +262,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS_PER_SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per document: key, ``bits`` (the fingerprint) and ``component_id``, the smallest key that is reachable by links."""
-    prints = materialize(docs.select(key, fingerprint_column(F.col(text), k).alias("bits")), "prints")
-    each = materialize(prints.groupBy("bits").agg(F.min(key).alias("least")), "nodes")
-    labels = components(links(each.select("bits", F.col("bits").alias("node")), radius))
-    named = each.join(labels, F.col("bits") == F.col("node"), "left").select("bits", "least", F.coalesce("label", "bits").alias("label"))
-    names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = materialize(named.join(names, "label").select(F.col("bits").alias("_bits"), "component_id"), "named")
+    with scratch(docs.sparkSession) as keep:
+        prints = keep(docs.select(key, fingerprint_column(F.col(text), k).alias("bits")), "prints")
+        each = materialize(prints.groupBy("bits").agg(F.min(key).alias("least")), "nodes")
+        labels = components(links(each.select("bits", F.col("bits").alias("node")), radius))
+        named = each.join(labels, F.col("bits") == F.col("node"), "left").select("bits", "least", F.coalesce("label", "bits").alias("label"))
+        names = named.groupBy("label").agg(F.min("least").alias("component_id"))
+        of = keep(named.join(names, "label").select(F.col("bits").alias("_bits"), "component_id"), "named")
     return prints.join(of, F.col("bits") == F.col("_bits")).select(key, "bits", "component_id")
