@@ -53,12 +53,21 @@ def test_ranges_ascend_and_keep_equals_together(spark):
     assert common.range_of(df.limit(0), "id", "part").count() == 0
 
 
-def test_written_tables_can_be_removed(spark):
-    paths = []
-    with common.scratch(paths):
-        df = common.materialize(spark.range(3), "gone")
-    assert df.count() == 3 and len(paths) == 1
-    path = paths[0]
-    common.remove(spark, paths)
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    assert paths == [] and not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
+def there(spark, df):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+    return lambda: path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    with common.scratch(spark) as keep:
+        gone = there(spark, common.materialize(spark.range(3), "gone"))
+        with common.scratch(spark) as inner:
+            soon = there(spark, common.materialize(spark.range(4), "soon"))
+            own = inner(spark.range(5), "own")
+        assert not soon() and own.count() == 5 and gone()
+        kept = keep(spark.range(6), "kept")
+    assert not gone() and there(spark, kept)() and kept.count() == 6
+
+
+def test_free_names():
+    assert common.free_name("n", ["a"]) == "n" and common.free_name("n", ["N", "n_"]) == "n__"

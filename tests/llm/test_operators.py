@@ -1,12 +1,15 @@
 """Operators against brute force on a small table, and on rows that are awkward in every way."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hanmoto.llm import chat_format, doc_fingerprint, line_dedup, mixing, near_copies, packing, quality_rules, simhash, sstable, suffix_dedup, toxicity
 from hanmoto.llm.prefix_hash import PrefixHash, WrapHash
@@ -61,11 +64,51 @@ def cut_by_hand(docs):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [1 << 22, 3000])
-def test_suffix_dedup_matches_brute_force(spark, docs, texts, monkeypatch, block):
-    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-    got = Counter(tuple(r) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs)).collect())
-    assert got == cut_by_hand(texts)
+@pytest.mark.parametrize("how", [{}, {"block": 3000}, {"block": 3000, "hot": 3, "crowd": 2}])
+def test_suffix_dedup_matches_brute_force(docs, texts, how):
+    assert Counter(tuple(r) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs, **how)).collect()) == cut_by_hand(texts)
+
+
+@pytest.mark.parametrize("hot", [2, suffix_dedup.HOT])
+def test_hot_phrases_lose_no_window(spark, hot):
+    r = np.random.default_rng(21)
+    prose = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8)).decode()
+    phrase, passage, contexts = prose(45), prose(130), [prose(6) for _ in range(8)]
+    rows = []
+    for i in range(300):
+        lead, tail = contexts[int(r.integers(0, 8))], contexts[int(r.integers(0, 8))]
+        rows.append((i % 290, prose(40) + lead + phrase + tail + prose(30) + (passage[int(r.integers(0, 40)) :] if i % 3 else "")))
+    own = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(x) for x in suffix_dedup.digest(suffix_dedup.remove_repeats(own, block=2000, hot=hot, crowd=7)).collect())
+    assert got == cut_by_hand(rows) and sum(x[2] for x in got) > 10_000
+
+
+def packed_segments(n, hashes, docs):
+    """As many segments of one anchor as hashes, in blocks of 1,000."""
+    import zstandard
+
+    blocks = [slice(i, i + 1000) for i in range(0, n, 1000)]
+    side = np.full(n, 77, np.uint64)
+    columns = ((np.full(n, 5, np.uint64), 8), (hashes.astype(np.uint64), 6), (docs.astype(np.int64).view(np.uint64), 8), (side, 2), (side, 2))
+    rows = [zstandard.ZstdCompressor(level=1).compress(b"".join(suffix_dedup._planes(c[b].copy(), w) for c, w in columns)) for b in blocks]
+    return pa.table({"part": [0] * len(blocks), "block": list(range(len(blocks))), "rows": pa.array(rows, pa.binary())})
+
+
+def test_a_hot_anchor_is_many_groups():
+    n = 100_000
+    lists = lambda t, k, kind="<u4": [np.frombuffer(x, kind) for x in t.column(k).to_pylist()]
+    settle = suffix_dedup._settle_segments(4096, 2048)
+    # in 10^5 contexts: each window goes to its own group
+    apart = settle(packed_segments(n, np.arange(n), np.arange(n)))
+    assert sum(map(len, lists(apart, "split"))) == n and not any(len(x) for k in ("plain", "sorted", "named") for x in lists(apart, k))
+    # in 10^5 copies: crowds, each with the witness
+    equal = settle(packed_segments(n, np.full(n, 9), np.arange(n)))
+    names = np.concatenate(lists(equal, "names", "<u8"))
+    crowds = Counter(names.tolist())
+    assert max(crowds.values()) == 2049 and sum(crowds.values()) == n - 1 + len(crowds) and len(crowds) == -(-(n - 1) // 2048)
+    assert len(lists(equal, "named")[0]) == 999 + len(crowds)
+    few = settle(packed_segments(3000, np.arange(3000) // 2, np.arange(3000)))
+    assert sum(map(len, lists(few, "sorted"))) == 1500 == sum(map(len, lists(few, "plain")))
 
 
 def test_suffix_dedup_gives_spans_and_bytes(spark):
@@ -149,6 +192,48 @@ def test_toxicity_learns_words_and_characters(spark):
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.7) for x in got.values())
 
 
+def score_by_hand(model, text):
+    """A plain loop over windows and words."""
+    p, own = model.network.p, text.lower().split()
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n, width = len(own), toxicity.WINDOW
+    if not own:
+        return 0.0
+    starts = sorted({*range(0, max(1, n - width), toxicity.STRIDE), max(0, n - width)})
+    best = -np.inf
+    for s in starts:
+        xs = []
+        for w in own[s : s + width]:
+            core = toxicity.base(w)
+            k = model.known.get(core, 0)
+            x = p["word"][k] + np.mean([p["gram"][g] for g in toxicity.grams([core])[0]], axis=0)
+            xs.append(x + np.eye(toxicity.DIM)[0] * model.evidence[k])
+        sides = []
+        for d in "fb":
+            h, seen = np.zeros(toxicity.HIDDEN), []
+            for x in xs if d == "f" else xs[::-1]:
+                gate, back, m = x @ p[f"in_{d}"] + p[f"bias_{d}"], h @ p[f"re_{d}"], toxicity.HIDDEN
+                z, r = sigmoid(gate[:m] + back[:m]), sigmoid(gate[m : 2 * m] + back[m : 2 * m])
+                h = z * h + (1 - z) * np.tanh(gate[2 * m :] + r * back[2 * m :])
+                seen.append(h)
+            sides.append(seen if d == "f" else seen[::-1])
+        states = np.concatenate([np.array(x) for x in sides], axis=1)
+        e = np.exp(np.tanh(states @ p["att"]) @ p["att_v"])
+        best = max(best, float((e / e.sum()) @ states @ p["out"] + p["out_b"][0]))
+    return float(sigmoid(model.scale * best + model.shift))
+
+
+def test_scores_are_those_of_a_plain_loop():
+    r = np.random.default_rng(17)
+    word = lambda: "".join(r.choice(list("abcde"), r.integers(1, 5)))
+    texts = [" ".join(["vile" if i % 2 and k % 19 == 7 else word() for k in range(int(r.integers(1, 150)))]) for i in range(240)]
+    model = toxicity.train(texts, [i % 2 for i in range(240)])
+    some = [*texts[:40], "", " ", "one", " ".join(texts[:9]), "Vile, (vile) 日本語 été"]
+    want = [score_by_hand(model, t) for t in some]
+    assert model.evidence.max() > 0 and model.scores(some) == pytest.approx(want, abs=1e-4)
+    assert model.scores([None]).tolist() == [0.0]
+
+
 def test_network_gradients():
     r = np.random.default_rng(0)
     net = toxicity.Network(5)
@@ -171,9 +256,18 @@ def test_network_gradients():
     assert out.shape == (4,) and set(used) == set(codes[codes >= 0])
 
 
+def test_awkward_rows_are_scored(spark, docs):
+    known = spark.createDataFrame([(i, i % 2) for i in range(100, 120)] + [(None, 1), (1, 0), (1, 1)], "doc_id long, toxic int")
+    rows = toxicity.score(docs, toxicity.fit(docs, known)).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    assert {r.score for r in rows if r.doc_id in (4, 5, 6)} == {0.0} and not any(r.held_out for r in rows if r.doc_id is None)
+
+
 def test_windows_cover_everything():
     for n in (1, 31, 32, 33, 55, 56, 57, 200):
         w = toxicity.windows(np.arange(n))
+        passage = toxicity.WINDOW - toxicity.STRIDE + 1
+        assert all(any(set(range(i, i + passage)) <= set(row.tolist()) for row in w) for i in range(n - passage + 1))
         assert set(w[w >= 0].ravel().tolist()) == set(range(n))
         assert all((np.diff(row[row >= 0]) == 1).all() for row in w)
 
@@ -390,6 +484,7 @@ def test_mix_meets_its_targets(spark, docs):
         s = by[r.source_size]
         assert r.target == pytest.approx(want[s], rel=1e-9)
         taken[s] += r.taken
+    # few documents of very different sizes: one of them is rounded alone
     largest = max(r.size for r in rows)
     assert all(abs(taken[s] - want[s]) <= largest for s in sizes)
 
@@ -397,11 +492,14 @@ def test_mix_meets_its_targets(spark, docs):
 def test_pivot_keeps_the_sum():
     r = np.random.default_rng(9)
     size, p = r.integers(1, 500, 300), np.full(300, 0.37)
-    out = mixing.pivot(p, size, r.random(300))
+    out = mixing.pivot(p, size, r)
     assert (out * size).sum() == pytest.approx((p * size).sum())
     assert np.count_nonzero((out > 0) & (out < 1)) <= 1
-    mean = np.mean([mixing.pivot(p[:6], size[:6], np.random.default_rng(k).random(6)) for k in range(3000)], axis=0)
+    mean = np.mean([mixing.pivot(p[:6], size[:6], np.random.default_rng(k)) for k in range(3000)], axis=0)
     assert np.abs(mean - 0.37).max() < 0.05
+    own = np.array([0.9, 0.2, 0.5, 0.7, 0.05])
+    mean = np.mean([mixing.pivot(own, np.array([900, 80, 70, 5, 1]), np.random.default_rng(k)) for k in range(4000)], axis=0)
+    assert np.abs(mean - own).max() < 0.05
 
 
 def test_mixing_in_many_slices(spark, monkeypatch):
@@ -413,7 +511,35 @@ def test_mixing_in_many_slices(spark, monkeypatch):
     for r in rows:
         taken[r.doc_id % 4] += r.taken
         target[r.doc_id % 4] = r.target
-    assert all(abs(taken[s] - target[s]) <= 17 for s in range(4))
+    assert all(abs(taken[s] - target[s]) <= 2 for s in range(4))
+
+
+def test_what_is_left_fractional_is_small(spark):
+    r = np.random.default_rng(13)
+    sizes = np.clip(np.exp(r.normal(4, 1, 6000)), 1, 5000).astype(int).tolist()
+    own = spark.createDataFrame([(i, "w " * n, "ab"[i % 3 == 0]) for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for x in mixing.mix_plan(own).collect():
+        taken[x.source_size] += x.taken
+        target[x.source_size] = x.target
+    assert len(target) == 2 and all(abs(taken[s] - target[s]) <= 5 for s in target)  # the median document has 55 words
+
+
+def test_equal_rows_are_counted_before_they_are_rounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 10)
+    rows = [(7, "same words here", "a", i) for i in range(300)] + [(1000 + i, "w " * (2 + i % 9), "ab"[i % 2], i) for i in range(100)] + [(None, "x", None, 0)] * 5
+    own = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    for docs in (own, own.repartition(7)):
+        got = mixing.mix_plan(docs).collect()
+        assert len(got) == len(rows)
+        equal = Counter(r.taken for r in got if r.doc_id == 7)
+        assert len(equal) <= 2 and sum(equal.values()) == 300
+        taken, target = Counter(), {}
+        for r in got:
+            taken[r.source_size] += r.taken
+            target[r.source_size] = r.target
+        assert all(abs(taken[s] - target[s]) <= 3 for s in taken)
+    assert mixing.mix(own).filter("doc_id = 7").count() * 3 == sum(r.taken for r in got if r.doc_id == 7)
 
 
 def test_mixed_documents_are_whole_rows(spark, docs):
@@ -431,6 +557,20 @@ def test_site_lines_are_dropped(spark, docs):
     assert got[3].text == "unique 3\n " and (got[3].n_lines, got[3].n_dropped) == (5, 3)
     assert got[101].text == "Menu\nother 1" and got[200].text is None
     assert line_dedup.drop_site_lines(docs).columns == [*docs.columns, "n_lines", "n_dropped"]
+    clash = own.withColumn("n_lines", F.lit(-1)).withColumn("_host", F.lit("x"))
+    out = line_dedup.drop_site_lines(clash)
+    assert out.columns == ["doc_id", "text", "source", "n_lines", "_host", "n_lines_", "n_dropped"]
+    assert out.filter("doc_id = 3 and n_lines = -1 and _host = 'x' and n_lines_ = 5 and n_dropped = 3").count() == 1
+
+
+def test_pages_of_many_lines_take_time_in_proportion(spark):
+    long = [(i, "\n".join([f"menu {k}" for k in range(2000)] + [f"{i} {k}" for k in range(250_000)]), "h") for i in range(6)]
+    own = spark.createDataFrame(long, "doc_id long, text string, source string").repartition(6)
+    began = time.monotonic()
+    rows = line_dedup.drop_site_lines(own).select("doc_id", "n_lines", "n_dropped", F.length("text").alias("n")).collect()
+    assert time.monotonic() - began < 60
+    assert {(r.n_lines, r.n_dropped) for r in rows} == {(252_000, 2000)}
+    assert {r.doc_id: r.n for r in rows} == {i: len("\n".join(t.split("\n")[2000:])) for i, t, _ in long}
 
 
 def test_chats_read_back_and_are_validated(spark):
@@ -448,6 +588,16 @@ def test_chats_read_back_and_are_validated(spark):
     assert chat_format.format_chats(own.limit(0)).count() == 0
 
 
+def test_templates_with_marks_that_regular_expressions_know(spark):
+    marks = {"<|im_end|>": "e", "<|im_start|>": "s", "[.*]": "x"}
+    template = chat_format.Template(open="<|im_start|>", separator="[.*]", close="<|im_end|>", end="$", escapes=marks, role_escapes=marks)
+    turns = [(1, 1, "user", "a <|im_end|>$ b | [.*] \\E \\e"), (1, 2, "assistant", "<|im_start|>user[.*]"), (2, 1, "[.*]", "im_end")]
+    own = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.parse_chats(chat_format.format_chats(own, template), template).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [x[2:] for x in turns[:2]] and got[1].valid and got[1].loss_text == turns[1][3]
+    assert [(t.role, t.text) for t in got[2].turns] == [("[.*]", "im_end")]
+
+
 def test_packing_places_every_id_once(spark, docs, texts):
     rows = packing.pack(docs, public_path(BYTE)).collect()
     encode = tokenizer(BYTE)
@@ -536,7 +686,48 @@ def test_likeness_estimates_the_common_share(monkeypatch):
     assert f(a) == whole
 
 
-@pytest.mark.parametrize("name", ["suffix", "quality", "good", "simhash", "near", "plan", "mix", "lines", "pack", "prints", "shards"])
+def dice(a, b, k):
+    """The exact share of distinct k-byte spans."""
+    x, y = ({t[i : i + k] for i in range(len(t) - k + 1)} for t in (a.encode(), b.encode()))
+    return 2 * len(x & y) / max(1, len(x) + len(y))
+
+
+def test_likeness_is_near_the_exact_share():
+    r = np.random.default_rng(31)
+    word = lambda: "".join(r.choice(list("abcdefghij"), int(r.integers(2, 9))))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    f = doc_fingerprint.fingerprint
+    errors, plain = [], []
+    for _ in range(60):
+        a, b = prose(int(r.integers(80, 3000))), prose(int(r.integers(80, 3000)))
+        cut = int(r.integers(0, len(a)))
+        others = [doc_fingerprint.edited(a, b), a[:cut] + prose(9) + a[cut:], prose(5) + a + prose(200), a[cut:] + a[:cut], b]
+        for other in others:
+            exact = dice(a, other, doc_fingerprint.SPAN)
+            errors.append(abs(doc_fingerprint.likeness(f(a), f(other)) - exact))
+            plain.append(abs(doc_fingerprint.spans_in_common(f(a).split("."), f(other).split(".")) - exact))
+    assert np.mean(errors) < 0.025 and np.max(errors) < 0.2 and np.mean(errors) < np.mean(plain)
+    edits = errors[::5]
+    assert np.quantile(edits, 0.95) < 0.06 and np.mean(edits) < 0.025
+
+
+def test_extensions_are_those_of_the_texts():
+    r = np.random.default_rng(33)
+    f = lambda t: doc_fingerprint.fingerprint(t).split(".")
+    letters = lambda n: bytes(r.integers(97, 101, n).astype(np.uint8)).decode()
+    for _ in range(300):
+        n, m = (int(x) for x in r.integers(1, 5000, 2))
+        head, tail = int(r.integers(0, n)), int(r.integers(0, n))
+        a = letters(n)
+        b = a[:head] + "#" + letters(m) + "%" + (a[n - tail :] if tail else "")
+        x, y = f(a), f(b)
+        step = max(doc_fingerprint.space(n), doc_fingerprint.space(len(b)))
+        front = doc_fingerprint.extension(x[2], y[2], n, len(b))
+        back = doc_fingerprint.extension(x[3], y[3], n, len(b))
+        assert abs(front - head) <= step and abs(back - tail) <= step
+
+
+@pytest.mark.parametrize("name", ["suffix", "quality", "good", "simhash", "near", "plan", "mix", "lines", "pack", "prints", "shards", "toxic", "toxic without labels", "chats"])
 def test_empty_tables(spark, docs, name):
     none = docs.limit(0)
 
@@ -544,7 +735,12 @@ def test_empty_tables(spark, docs, name):
         folder, manifest = sstable.write_shards(d, public_path(WORD))
         return sstable.read_shards(spark, folder, manifest)
 
+    def toxic(d):
+        known = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+        return toxicity.score(d, toxicity.fit(d, known))
+
     f = {
+        "toxic": toxic, "toxic without labels": lambda d: toxicity.score(d, toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))), "chats": lambda d: chat_format.parse_chats(chat_format.format_chats(d.selectExpr("doc_id AS conv_id", "rows AS turn", "lang AS role", "text"))),
         "suffix": suffix_dedup.remove_repeats, "quality": quality_rules.quality, "good": quality_rules.keep_good, "simhash": simhash.near_groups, "near": near_copies.drop_near_copies, "plan": mixing.mix_plan,
         "mix": mixing.mix, "lines": line_dedup.drop_site_lines, "pack": lambda d: packing.pack(d, public_path(BYTE)), "prints": doc_fingerprint.compare_with_next, "shards": shards,
     }[name]
