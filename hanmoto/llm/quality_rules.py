@@ -99,8 +99,10 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", key: str
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that pass, with their own columns. Texts are read twice and never shuffled if the rejected hosts are few."""
+    """The documents that pass, with their own columns. Texts are counted once; what passes the base rules is written until the hosts are
+    judged, and of what fails only the host. Texts are never shuffled if the rejected hosts are few."""
     own = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"), F.col(host).alias("_of"))
     judged = own.select("_doc", "_of", counts(F.col("_text"))["base_failed"].alias("base_failed"))
+    judged = materialize(judged.select(F.when(~F.col("base_failed"), F.col("_doc")).alias("_doc"), "_of", "base_failed"), "judged")
     verdicts = host_verdicts(judged.select("_of", "base_failed"), "_of")
-    return _join_verdicts(judged, verdicts, "_of").filter("kept").select("_doc.*")
+    return _join_verdicts(judged.filter("not base_failed"), verdicts, "_of").filter("kept").select("_doc.*")
