@@ -53,7 +53,7 @@ def lit(x):
 # Tokens
 
 
-@query("SELECT doc_id, CAST(2 + octet_length(encode(text)) * 0 + len(regexp_extract_all(text, '\\n|[^\\n]+')) - 2 AS BIGINT) AS n_tokens, CAST(len(text) - len(replace(text, chr(10), '')) AS BIGINT) AS n_newlines, CAST(octet_length(encode(text)) AS BIGINT) AS last_end FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '\\n|[^\\n]+')) AS BIGINT) AS n_tokens, CAST(len(text) - len(replace(text, chr(10), '')) AS BIGINT) AS n_newlines, CAST(octet_length(encode(text)) AS BIGINT) AS last_end FROM documents WHERE text <> ''")
 def document_tokens(spark, d):
     """Byte spans of all tokens of all documents."""
     found = parse.tokens(documents(spark, d))
