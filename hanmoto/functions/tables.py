@@ -31,6 +31,9 @@ ELEMENTS = {
     "container": "container",
 }
 NODE_KINDS = [*ELEMENTS, "containerOpen", "containerClose"]
+# Kinds that stand where a paragraph does, and those of them that hold running text.
+BLOCK_KINDS = ["indent", "alignEnd", "warichu", "keigakomi", "pageBreak", "sectionBreak", "heading", "sashie", "container"]
+HOLDER_KINDS = ["heading", "alignEnd", "warichu", "keigakomi", "indent"]
 PAIR_KINDS = ["bracket", "ruby", "doubleRuby", "tortoise", "quote"]
 SEVERITIES = ["error", "warning", "note"]
 DIAGNOSTICS = ["source_contains_pua", "unclosed_bracket", "unmatched_close"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.tables import GAIJI_DESCRIPTIONS, table
+from ..functions.tables import BLOCK_KINDS, GAIJI_DESCRIPTIONS, HOLDER_KINDS, table
 
 
 def canonical_slug(df: DataFrame, slug: str, out: str = "canonical") -> DataFrame:
@@ -70,6 +70,16 @@ def count_by_ref(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("node_ref").agg(F.count("*").alias("n"))
 
 
+def is_block(kind: Column) -> Column:
+    """Whether nodes of the kind stand where a paragraph does; null for null."""
+    return kind.isin(BLOCK_KINDS)
+
+
+def contains_inlines(kind: Column) -> Column:
+    """Whether nodes of the kind hold running text of their own; a container holds blocks. Null for null."""
+    return kind.isin(HOLDER_KINDS)
+
+
 def targets_precede(df: DataFrame, text: str, cutoff: str, targets: str, out: str = "precede") -> DataFrame:
     """Whether every target occurs before the byte ``cutoff`` of the text."""
     before = X.byte_slice(F.col(text), F.lit(0), F.col(cutoff))

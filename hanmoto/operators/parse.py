@@ -103,6 +103,13 @@ def diagnostics(df: DataFrame, key: str = "doc_id", source: str = "source", inte
     return found if internal else found.filter("source <> 'internal'")
 
 
+def check(df: DataFrame, key: str = "doc_id", source: str = "source", strict: bool = False) -> DataFrame:
+    """A row for each document: ``n_diagnostics, n_errors, passed``. Errors fail a document, with ``strict`` every diagnostic does; null sources have none."""
+    found = parse(df.select(key, source), ["diagnostics"], source).select(key, F.coalesce("parsed.diagnostics", F.array()).alias("d"))
+    counted = found.select(key, F.size("d").alias("n_diagnostics"), F.size(F.filter("d", lambda x: x.severity == "error")).alias("n_errors"))
+    return counted.withColumn("passed", F.col("n_diagnostics" if strict else "n_errors") == 0)
+
+
 def cst(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
     """The lossless tree, preorder."""
     return _exploded(df, "cst", key, source).drop("seq")

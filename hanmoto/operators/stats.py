@@ -1,7 +1,8 @@
 """Corpus statistics: size bands, quantiles of three kinds, histograms, counters.
 
-Exact quantiles rank rows inside each group with a window; a group that is most of the table would be one task, so the rank is taken
-from counts per value first: equal values are one row, and the running count is over distinct values only.
+Exact quantiles rank no whole group in one task: equal values are counted first, counts are summed by bin (about a 256th of the
+value wide, at most a few hundred thousand a group, however many rows), and only the bins that hold a wanted rank are sorted by value.
+Values are numbers; nulls are left out, groups without other values are absent, NaN is the largest value, a null key is a group.
 """
 
 from __future__ import annotations
@@ -23,29 +24,45 @@ def _listed(df: DataFrame, labels: list[str], name: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(x, i) for i, x in enumerate(labels)], f"{name} string, ord int"))
 
 
-def _at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, out: str) -> DataFrame:
-    """The value at a 1-based rank, which may use ``_n``, the group's count. Values are counted before they are ranked."""
-    values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy(value)
-    ranked = values.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    return ranked.filter((F.col("_hi") >= rank) & (F.col("_hi") - F.col("_c") < rank)).select(*keys, F.col(value).alias(out))
+def _bin(value: Column) -> Column:
+    """A number that never falls when the value rises: logarithmic, finer than 2^-20 near zero."""
+    x = value.cast("double")
+    size = F.least(F.log1p(F.abs(x) * 2.0**20) * 256, F.lit(1e6))
+    return F.floor(F.when(x < 0, -size).otherwise(size))
+
+
+def _at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """The values at 1-based ranks, which may use ``_n``, the group's count: one column each, all from one pass over the rows."""
+    values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_bin", _bin(F.col(value)))
+    group = Window.partitionBy(*keys)
+    bins = values.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_in"))
+    bins = bins.withColumn("_upto", F.sum("_in").over(group.orderBy("_bin"))).withColumn("_n", F.sum("_in").over(group))
+    wanted = reduce(lambda a, b: a | b, [(r <= F.col("_upto")) & (r > F.col("_upto") - F.col("_in")) for r in ranks.values()])
+    hit = bins.filter(wanted).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"), (F.col("_upto") - F.col("_in")).alias("_base"), "_n")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_bin") == F.col("_b"))
+    ranked = values.join(hit, same).withColumn("_hi", F.col("_base") + F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy(value)))
+    return ranked.groupBy(*keys).agg(*[F.max(F.when((F.col("_hi") >= r) & (F.col("_hi") - F.col("_c") < r), F.col(value))).alias(k) for k, r in ranks.items()])
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
     """Element n div 2 of the sorted values, from 0."""
-    return _at_rank(df, keys, value, F.floor(F.col("_n") / 2) + 1, out)
+    return _at_ranks(df, keys, value, {out: F.floor(F.col("_n") / 2) + 1})
+
+
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Elements round((n - 1) * p), halves away from zero, a column for each name."""
+    return _at_ranks(df, keys, value, {k: F.round((F.col("_n") - 1) * F.lit(p)).cast("long") + 1 for k, p in quantiles.items()})
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float, out: str) -> DataFrame:
     """Element round((n - 1) * p), halves away from zero."""
-    return _at_rank(df, keys, value, F.round((F.col("_n") - 1) * F.lit(p)).cast("long") + 1, out)
+    return nearest_ranks(df, keys, value, {out: p})
 
 
 def midpoint_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
     """The middle value, or the whole part of the mean of the two in the middle."""
-    lo = _at_rank(df, keys, value, F.floor((F.col("_n") + 1) / 2), "_lo")
-    hi = _at_rank(df, keys, value, F.floor(F.col("_n") / 2) + 1, "_up")
-    return lo.join(hi, keys).select(*keys, F.floor((F.col("_lo") + F.col("_up")) / 2).cast("long").alias(out))
+    both = _at_ranks(df, keys, value, {"_lo": F.floor((F.col("_n") + 1) / 2), "_up": F.floor(F.col("_n") / 2) + 1})
+    return both.select(*keys, F.floor((F.col("_lo") + F.col("_up")) / 2).cast("long").alias(out))
 
 
 def band_statistics(df: DataFrame, n_bytes: str, stored: str) -> DataFrame:
@@ -70,7 +87,47 @@ def labelled_histogram(df: DataFrame, value: Column, edges: list[tuple[str, floa
 
 DIAGNOSTIC_BANDS = [("0", 1), ("1-5", 6), ("6-20", 21), ("21-100", 101), ("100+", float("inf"))]
 RATIO_BANDS = [("0-1", 1.0), ("1-2", 2.0), ("2-4", 4.0), ("4-8", 8.0), ("8-16", 16.0), (">16", float("inf"))]
-DEDUP_BANDS = [("0-0.2", 0.2), ("0.2-0.4", 0.4), ("0.4-0.6", 0.6), ("0.6-0.8", 0.8), ("0.8-0.9", 0.9), ("0.9-1", 1.0001)]
+DEDUP_BANDS = [("0.00-0.20", 0.2), ("0.20-0.40", 0.4), ("0.40-0.60", 0.6), ("0.60-0.80", 0.8), ("0.80-0.95", 0.95), ("0.95-1.00", 1.0001)]
+
+
+def diagnostic_distribution(df: DataFrame, n: str, ns: str) -> DataFrame:
+    """Documents by their number of diagnostics, with the mean microseconds a document takes: ``band, n, pct, mean_us``; 0 in empty bands."""
+    found = labelled_histogram(df, F.col(n), DIAGNOSTIC_BANDS, {"mean_us": F.avg(ns) / 1000})
+    return found.withColumn("mean_us", F.coalesce("mean_us", F.lit(0.0)))
+
+
+def ratio_statistics(df: DataFrame, value: str) -> DataFrame:
+    """One row: ``n, p50, p90, p99, max, mean`` of a ratio, quantiles by nearest rank; nulls are left out, an empty table gives zeros."""
+    sums = df.agg(F.count(value).alias("n"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    at = nearest_ranks(df, [], value, {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    full = sums.join(F.broadcast(at))  # one row and one row
+    return full.select("n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50", "p90", "p99", "max", "mean")])
+
+
+def dedup_histogram(df: DataFrame, reuses: str, calls: str) -> DataFrame:
+    """Documents by the share of calls that found a string already there; documents without calls are left out."""
+    return labelled_histogram(df.filter(F.col(calls) > 0), F.col(reuses) / F.col(calls), DEDUP_BANDS)
+
+
+def slowest(df: DataFrame, phases: list[str], key: str, n_bytes: str, n: int = 5) -> DataFrame:
+    """The first n documents by each of the phases, ties by key: ``phase, rank, key, ns, total_ns, n_bytes``.
+
+    Every phase is a sort with a limit, which Spark cuts in each task, so no phase is ranked whole.
+    """
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(p), F.lit(0)) for p in phases])
+    found = [top(df.select(F.lit(p).alias("phase"), F.col(key), F.col(p).alias("ns"), total.alias("total_ns"), F.col(n_bytes).alias("n_bytes")), n, F.desc("ns"), F.asc(key)) for p in phases]
+    order = Window.partitionBy("phase").orderBy(F.desc("ns"), F.asc(key))
+    return reduce(DataFrame.unionByName, found).select("phase", F.row_number().over(order).alias("rank"), key, "ns", "total_ns", "n_bytes")
+
+
+def corpus_counters(df: DataFrame, decoded: Column, counters: list[str]) -> DataFrame:
+    """One row over all documents: ``documents`` and ``decode_errors``, the sum of each counter of decoded ones and its share of the first in percent.
+
+    Counters are null where a document wasn't decoded; an empty table and a first counter of zero give zeros.
+    """
+    sums = df.agg(F.count_if(decoded).alias("documents"), F.count_if(~F.coalesce(decoded, F.lit(False))).alias("decode_errors"), *[F.coalesce(F.sum(F.when(decoded, F.col(c))), F.lit(0)).alias(c) for c in counters])
+    share = lambda c: F.when(F.col(counters[0]) == 0, 0.0).otherwise(100.0 * F.col(c) / F.col(counters[0]))
+    return sums.select("*", *[share(c).alias(f"{c}_pct") for c in counters[1:]])
 
 
 def log_histogram(df: DataFrame, value: str, buckets: int, least: float, most: float) -> DataFrame:
@@ -109,8 +166,7 @@ def phase_totals(df: DataFrame, phases: list[str], n_bytes: str) -> DataFrame:
     """Per phase (a column of ns each): total, share of all, MB a second, and nearest-rank p50, p90, p99."""
     long = df.select(F.col(n_bytes).alias("_b"), F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), F.col(p).alias("ns")) for p in phases])).alias("x")).select("_b", "x.*")
     sums = long.groupBy("phase").agg(F.sum("ns").alias("total_ns"), F.sum("_b").alias("_bytes"))
-    for name, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)):
-        sums = sums.join(nearest_rank(long, ["phase"], "ns", p, name), "phase", "left")
+    sums = sums.join(nearest_ranks(long, ["phase"], "ns", {"p50": 0.5, "p90": 0.9, "p99": 0.99}), "phase", "left")
     whole = F.sum("total_ns").over(Window.partitionBy())
     return sums.select("phase", "total_ns", (100.0 * F.col("total_ns") / whole).alias("pct"), (F.col("_bytes") * 1000.0 / F.col("total_ns")).alias("mb_s"), "p50", "p90", "p99")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,12 @@ def parts_with(spark, d, source) -> DataFrame:
     return t(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_brand", "p_size", source.alias("source"))
 
 
+def _new_folder(spark, name) -> str:
+    """A path that isn't there yet in the shared folder; in a temporary one only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def lit(x):
     return F.lit(x)
 
@@ -448,8 +456,7 @@ def band_stats_upper_median(spark, d):
 SELECT l_returnflag, max(v) FILTER (WHERE i = CAST(round((n - 1) * 0.5) AS INT) + 1) AS p50, max(v) FILTER (WHERE i = CAST(round((n - 1) * 0.9) AS INT) + 1) AS p90, max(v) FILTER (WHERE i = CAST(round((n - 1) * 0.99) AS INT) + 1) AS p99 FROM r GROUP BY l_returnflag""")
 def nearest_rank_quantiles(spark, d):
     own = t(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
-    a, b, c = (stats.nearest_rank(own, ["l_returnflag"], "l_extendedprice", p, f"p{round(p * 100)}") for p in (0.5, 0.9, 0.99))
-    return a.join(b, "l_returnflag").join(c, "l_returnflag")
+    return stats.nearest_ranks(own, ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
 @query("""SELECT event_type AS job, CAST(user_id % 10 AS BIGINT) AS step, CAST(floor(median(CAST(floor(value * 100) AS BIGINT))) AS BIGINT) AS median, count(*) AS n FROM events GROUP BY ALL""")
@@ -480,6 +487,59 @@ def ratio_histogram(spark, d):
     return stats.labelled_histogram(own, F.col("r"), stats.RATIO_BANDS)
 
 
+@query("""WITH x AS (SELECT CASE WHEN k < 1 THEN '0' WHEN k < 6 THEN '1-5' WHEN k < 21 THEN '6-20' WHEN k < 101 THEN '21-100' ELSE '100+' END AS band, ns FROM (SELECT len(text) - len(replace(text, chr(10), '')) AS k, strlen(text) * 7 AS ns FROM documents)), g AS (SELECT band, count(*) AS n, avg(ns) / 1000 AS m FROM x GROUP BY band)
+SELECT band, coalesce(n, 0) AS n, 100.0 * coalesce(n, 0) / (SELECT count(*) FROM x) AS pct, coalesce(m, 0) AS mean_us FROM (VALUES ('0'), ('1-5'), ('6-20'), ('21-100'), ('100+')) AS v(band) LEFT JOIN g USING (band)""")
+def diagnostic_distribution(spark, d):
+    """Diagnostics as in ``count_histogram``, with seven nanoseconds a byte as the time taken."""
+    own = t(spark, d, "documents").select((F.octet_length("text") * 7).alias("ns"), F.replace("text", lit("\n"), lit("」")).alias("source"))
+    found = parse.parse(parse.spread(own), ["diagnostics"]).select("ns", F.size("parsed.diagnostics").alias("n"))
+    return stats.diagnostic_distribution(found, "n", "ns")
+
+
+@query("""SELECT doc_id, CAST(len(text) - len(replace(text, chr(10), '')) AS INTEGER) AS n_diagnostics, CAST(strlen(text) * 7 AS BIGINT) AS ns FROM documents ORDER BY 2 DESC, doc_id LIMIT 5""")
+def most_diagnostics(spark, d):
+    own = t(spark, d, "documents").select("doc_id", (F.octet_length("text") * 7).cast("long").alias("ns"), F.replace("text", lit("\n"), lit("」")).alias("source"))
+    found = parse.parse(parse.spread(own), ["diagnostics"]).select("doc_id", F.size("parsed.diagnostics").alias("n_diagnostics"), "ns")
+    return stats.top(found, 5, F.desc("n_diagnostics"), F.asc("doc_id"))
+
+
+@query("""SELECT CAST(s_suppkey AS BIGINT) AS doc_id, CASE s_suppkey % 3 WHEN 2 THEN 0 ELSE 1 END AS n_diagnostics, CASE s_suppkey % 3 WHEN 2 THEN 0 WHEN 1 THEN 0 ELSE 1 END AS n_errors, s_suppkey % 3 = 2 AS passed FROM supplier""")
+def strict_check(spark, d):
+    """Clean, an open bracket (an error), a private-use mark (a warning)."""
+    k = F.col("s_suppkey")
+    tail = F.when(k % 3 == 0, "「").when(k % 3 == 1, "\ue001").otherwise("")
+    return parse.check(t(spark, d, "supplier").select(k.alias("doc_id"), F.concat("s_name", tail).alias("source")), strict=True)
+
+
+@query("""WITH r AS (SELECT l_extendedprice / l_quantity / 100 AS v FROM lineitem), i AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS c FROM r)
+SELECT count(*) AS n, max(v) FILTER (WHERE i = CAST(round((c - 1) * 0.5) AS INT) + 1) AS p50, max(v) FILTER (WHERE i = CAST(round((c - 1) * 0.9) AS INT) + 1) AS p90, max(v) FILTER (WHERE i = CAST(round((c - 1) * 0.99) AS INT) + 1) AS p99, max(v) AS max, avg(v) AS mean FROM i""")
+def ratio_statistics(spark, d):
+    return stats.ratio_statistics(t(spark, d, "lineitem").select((F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("r")), "r")
+
+
+@query("""WITH x AS (SELECT p_size % 10 / (p_partkey % 10) AS r FROM part WHERE p_partkey % 10 > 0), y AS (SELECT least(r, 1.0) AS r FROM x), g AS (SELECT CASE WHEN r < 0.2 THEN '0.00-0.20' WHEN r < 0.4 THEN '0.20-0.40' WHEN r < 0.6 THEN '0.40-0.60' WHEN r < 0.8 THEN '0.60-0.80' WHEN r < 0.95 THEN '0.80-0.95' ELSE '0.95-1.00' END AS band, count(*) AS n FROM y GROUP BY 1)
+SELECT band, coalesce(n, 0) AS n, 100.0 * coalesce(n, 0) / (SELECT count(*) FROM y) AS pct FROM (VALUES ('0.00-0.20'), ('0.20-0.40'), ('0.40-0.60'), ('0.60-0.80'), ('0.80-0.95'), ('0.95-1.00')) AS v(band) LEFT JOIN g USING (band)""")
+def dedup_histogram(spark, d):
+    calls = F.col("p_partkey") % 10
+    return stats.dedup_histogram(t(spark, d, "part").select(calls.alias("calls"), F.least(F.col("p_size") % 10, calls).alias("reuses")), "reuses", "calls")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, CAST(o_custkey * 10 AS BIGINT) AS a, CAST(floor(o_totalprice) AS BIGINT) AS b FROM orders), u AS (SELECT 'parse' AS phase, k, a AS ns, a + b AS total_ns, b AS n_bytes FROM x UNION ALL SELECT 'render', k, b, a + b, b FROM x)
+SELECT phase, CAST(i AS INTEGER) AS rank, CAST(k AS BIGINT) AS doc_id, ns, total_ns, n_bytes FROM (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY ns DESC, k) AS i FROM u) WHERE i <= 5""")
+def slowest_documents(spark, d):
+    price = F.floor("o_totalprice")
+    own = t(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), (F.col("o_custkey") * 10).cast("long").alias("parse"), price.alias("render"), price.alias("n"))
+    return stats.slowest(own, ["parse", "render"], "doc_id", "n")
+
+
+@query("""WITH x AS (SELECT c_custkey % 7 <> 0 AS ok, c_custkey AS calls, c_custkey % 5 AS cache_hits, c_custkey % 3 AS allocs FROM customer), g AS (SELECT count(*) FILTER (WHERE ok) AS documents, count(*) FILTER (WHERE NOT ok) AS decode_errors, CAST(sum(calls) FILTER (WHERE ok) AS BIGINT) AS calls, CAST(sum(cache_hits) FILTER (WHERE ok) AS BIGINT) AS cache_hits, CAST(sum(allocs) FILTER (WHERE ok) AS BIGINT) AS allocs FROM x)
+SELECT *, 100.0 * cache_hits / calls AS cache_hits_pct, 100.0 * allocs / calls AS allocs_pct FROM g""")
+def corpus_counters(spark, d):
+    k = F.col("c_custkey")
+    own = t(spark, d, "customer").select((k % 7 != 0).alias("ok"), k.alias("calls"), (k % 5).alias("cache_hits"), (k % 3).alias("allocs"))
+    return stats.corpus_counters(own, F.col("ok"), ["calls", "cache_hits", "allocs"])
+
+
 @query(r"""WITH x AS (SELECT CAST(contains(text, chr(10)) AS INT) + 2 * CAST(regexp_matches(text, '[0-9]') AS INT) + 4 * CAST(contains(text, '''') AS INT) AS mask, strlen(text) AS b, strlen(text) * (1 + doc_id % 7) AS ns FROM documents WHERE text <> ''),
 g AS (SELECT mask, count(*) AS n, sum(b) AS bytes, sum(ns) AS ns, list_sort(list(ns / b))[CAST(floor(count(*) / 2) AS INT) + 1] AS m FROM x GROUP BY mask)
 SELECT v.mask, v.label, coalesce(n, 0) AS n, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes, CAST(coalesce(ns, 0) AS BIGINT) AS ns, ns / bytes AS ns_per_byte, m AS median_ns_per_byte FROM (VALUES (0, 'none'), (1, 'newline'), (2, 'digit'), (3, 'newline+digit'), (4, 'quote'), (5, 'newline+quote'), (6, 'digit+quote'), (7, 'newline+digit+quote')) AS v(mask, label) LEFT JOIN g ON g.mask = v.mask""")
@@ -635,6 +695,19 @@ def node_kinds(spark, d):
     return V.table(spark, "kinds")
 
 
+@query("""SELECT kind, kind IN ('indent', 'alignEnd', 'warichu', 'keigakomi', 'pageBreak', 'sectionBreak', 'heading', 'sashie', 'container') AS is_block, kind IN ('heading', 'alignEnd', 'warichu', 'keigakomi', 'indent') AS contains_inlines
+FROM (VALUES ('ruby'), ('bouten'), ('tateChuYoko'), ('gaiji'), ('indent'), ('alignEnd'), ('warichu'), ('keigakomi'), ('pageBreak'), ('sectionBreak'), ('heading'), ('headingHint'), ('sashie'), ('kaeriten'), ('annotation'), ('doubleRuby'), ('container'), ('containerOpen'), ('containerClose')) AS v(kind)""")
+def block_kinds(spark, d):
+    return V.table(spark, "kinds").select("kind", lookup.is_block(F.col("kind")).alias("is_block"), lookup.contains_inlines(F.col("kind")).alias("contains_inlines"))
+
+
+@query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE '｜漢《' || c_name || '》' END AS source, c_custkey % 3 = 1 AS changed FROM customer""")
+def formatted_corpus(spark, d):
+    """A corpus written in canonical form to a new folder and read from there."""
+    own = t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.when(F.col("c_custkey") % 3 == 1, "").otherwise("｜"), lit("漢《"), "c_name", lit("》"))).alias("source"))
+    return corpus.write_formatted(own, _new_folder(spark, "formatted"))
+
+
 _PARTNERS = ", ".join(f"('{a}', '{p}', '{next(s[3] for s in V.SLUGS if s[0] == p)}')" for a, _, _, p in V.SLUGS if p)
 
 
@@ -662,14 +735,10 @@ def render_ratios(spark, d):
 @query("""SELECT doc_id, CAST(len(text) - len(replace(text, chr(10), '')) AS INTEGER) AS n FROM documents""")
 def stream_diagnostics(spark, d):
     """The documents as a stream, each line end a stray closer."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     schema = t(spark, d, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*").select("doc_id", F.replace("text", lit("\n"), lit("」")).alias("source"))
     found = watch.parse_stream(stream, ["diagnostics"]).select("doc_id", F.size("parsed.diagnostics").alias("n"))
-    return watch.run_once(found, f"{shared}/stream-{uuid.uuid4().hex}")
+    return watch.run_once(found, _new_folder(spark, "stream"))
 
 
 # Throughput

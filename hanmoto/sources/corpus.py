@@ -190,6 +190,16 @@ def format_check(df: DataFrame, source: str = "source") -> DataFrame:
     return found.withColumn("changed", ~F.col("serialized").eqNullSafe(bare))
 
 
+def write_formatted(df: DataFrame, path: str, source: str = "source") -> DataFrame:
+    """Writes the table in canonical form to a new path and gives it back as read from there, with ``changed``.
+
+    The input is read while this writes, so it is never overwritten: a path that exists is an error. Null sources stay null and unchanged.
+    """
+    columns = [F.when(F.col(source).isNotNull(), F.col("serialized")).alias(c) if c == source else F.col(c) for c in df.columns]
+    format_check(df, source).select(*columns, (F.col("changed") & F.col(source).isNotNull()).alias("changed")).write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def synthetic(unit: str, n_bytes: int) -> str:
     """A unit repeated until the size is reached."""
     return unit * -(-n_bytes // len(unit.encode()))

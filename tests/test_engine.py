@@ -50,6 +50,41 @@ def test_parts_of_all_rows(docs):
     assert parse.nodes(docs.limit(0)).count() == 0
 
 
+def test_quantiles_of_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    values = [-inf, -1e300, -3.0, -1e-9, 0.0, 0.0, 1e-9, 2.0, 2.0000001, 1e300, inf, nan, None]
+    df = spark.createDataFrame([(k, v) for k in ("a", None) for v in values], "k string, v double").repartition(3)
+    asked = {f"p{i}": i / 11 for i in range(12)}
+    rows = {r.k: r for r in stats.nearest_ranks(df, ["k"], "v", asked).collect()}
+    assert set(rows) == {"a", None}
+    for r in rows.values():
+        assert [str(r[f"p{i}"]) for i in range(12)] == [str(v) for v in values[:12]]
+    assert stats.nearest_ranks(df.limit(0), ["k"], "v", asked).count() == 0
+    assert stats.ratio_statistics(df.limit(0), "v").first() == (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_reports_on_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, a long, b long, ok boolean")
+    assert stats.corpus_counters(empty, F.col("ok"), ["a", "b"]).first() == (0, 0, 0, 0, 0.0)
+    assert stats.slowest(empty, ["a", "b"], "doc_id", "a").count() == 0
+    assert [r.n for r in stats.dedup_histogram(empty, "a", "b").collect()] == [0] * 6
+    assert [r.mean_us for r in stats.diagnostic_distribution(empty, "a", "b").collect()] == [0.0] * 5
+
+
+def test_check_and_formatted(spark, docs, tmp_path):
+    lenient = {r.doc_id: r for r in parse.check(docs).collect()}
+    assert lenient[2].passed and lenient[2].n_diagnostics == 0
+    mark = spark.createDataFrame([(1, "\ue001"), (2, "「")], "doc_id long, source string")
+    assert [(r.passed, r.n_diagnostics) for r in parse.check(mark).orderBy("doc_id").collect()] == [(True, 1), (False, 1)]
+    assert [r.passed for r in parse.check(mark, strict=True).collect()] == [False, False]
+    path = str(tmp_path / "formatted")
+    got = {r.doc_id: r for r in corpus.write_formatted(docs, path).collect()}
+    assert got[2].source is None and not got[2].changed
+    assert all(r.source == Parsed(TEXTS[i]).serialize() for i, r in got.items() if i != 2)
+    with pytest.raises(Exception, match="(?i)exist"):
+        corpus.write_formatted(docs, path)
+
+
 def test_parsing_does_not_shuffle(docs, spark):
     plan = parse.parse(docs, ["html"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "MapInArrow" in plan  # the one of the fixture's repartition
