@@ -32,7 +32,7 @@ def _bin(value: Column) -> Column:
 
 
 def _at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """The values at 1-based ranks, which may use ``_n``, the group's count: one column each, all from one pass over the rows."""
+    """The values at 1-based ranks, which may use ``_n``, the group's count: one column each, all from two reads of the rows (counts by bin, then the bins asked for)."""
     values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_bin", _bin(F.col(value)))
     group = Window.partitionBy(*keys)
     bins = values.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_in"))
