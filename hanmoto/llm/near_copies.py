@@ -211,7 +211,7 @@ def groups(prints: DataFrame, radius: int = CANDIDATE_RADIUS) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents that stay, with their own columns. Besides packed keys and shingles, texts are shuffled once, at the end."""
-    same = [F.xxhash64(F.col(text)), F.xxhash64(F.col(text), F.lit(1)), F.col(text).isNull()]
+    same = [F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text)), F.col(text).isNull()]  # a text after 1 is hashed from another seed, not from the first hash
     own = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"), F.col(key).alias("_key"), *[c.alias(f"_h{i}") for i, c in enumerate(same)])
     hashes = ["_h0", "_h1", "_h2"]
     first = F.min(F.struct(F.col("_key").isNull().alias("no"), F.col("_key").alias("key")))

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, tasks
@@ -69,7 +69,7 @@ def _blocks(most: int):
                 if texts and size + len(t) > most:
                     yield close()
                     n, ids, texts, size = n + 1, [], [], 0
-                ids.append(LAST if i is None else i)
+                ids.append(i)
                 texts.append(t)
                 size += len(t)
         if texts:
@@ -504,15 +504,37 @@ def _cut(parts: int):
                     continue
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
                 out.append((i, e - b, [{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()], s.data[b:e][~g].tobytes()))
-            yield pa.record_batch([pa.array([None if o[0] == LAST else o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([o[3] for o in out], pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([o[3] for o in out], pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return f
 
 
+def coded_ids(docs: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """``docs`` with LAST for null ids, which is then larger than any other, and the expression that gives ``doc_id`` back.
+
+    Only where LAST is an id too, beside null, ids above the first free number move down by one.
+    """
+    found = docs.agg(F.max(F.col(key).isNull()).alias("none"), F.max(key).alias("most"), F.min(key).alias("least")).first()
+    id_, last = F.col("doc_id"), F.lit(int(LAST))
+    if not found["none"]:
+        return docs, id_
+    back = F.when(id_ == last, None).otherwise(id_)
+    if found["most"] == LAST:
+        free = found["least"] - 1
+        if free < -(1 << 63):
+            ids, at, step, free = docs.select(F.col(key).alias("id")).distinct(), found["least"], 1 << 20, None
+            while free is None:
+                free, at = docs.sparkSession.range(at, at + step).join(ids, "id", "left_anti").agg(F.min("id")).first()[0], at + step
+        docs = docs.withColumn(key, F.when(F.col(key) > free, F.col(key) - 1).otherwise(F.col(key)))
+        back = F.when(id_ == last, None).when(id_ >= free, id_ + 1).otherwise(id_)
+    return docs.withColumn(key, F.coalesce(F.col(key), last)), back
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
     """Per document: ``doc_id, n_bytes, spans`` (removed runs) and ``kept`` (the remaining bytes)."""
     spark = docs.sparkSession
-    blocks = write_blocks(docs.select(F.col(key).cast("long"), text), block)
+    coded, doc_id = coded_ids(docs.select(F.col(key).cast("long").alias(key), text), key)
+    blocks = write_blocks(coded, block)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(tasks(spark), -(-total * PACKED * 2 // (GRAMS + 1) // PART))
     content = ["block", "ids", "lengths", "data"]
@@ -523,7 +545,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", blo
     texts = blocks.join(answers, "block").select(*content, "answers").mapInArrow(_send_texts(parts, max(tasks(spark), -(-todo // PART))), SENT)
     compared = materialize(texts.groupBy("part").applyInArrow(_compare_texts, "block long, which binary, masks binary"), "windows")
     found = compared.groupBy("block").agg(F.collect_list(F.struct("which", "masks")).alias("found"))
-    return blocks.join(found, "block", "left").select(*content, "found").mapInArrow(_cut(parts), SPANS)
+    return blocks.join(found, "block", "left").select(*content, "found").mapInArrow(_cut(parts), SPANS).withColumn("doc_id", doc_id)
 
 
 def digest(cut: DataFrame) -> DataFrame:

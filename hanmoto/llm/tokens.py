@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, with a bounded cache of words.
 
 A text is cut where the tokenizer's own first step cuts, and equal pieces are encoded once. Texts of Latin letters are cut all the
-way, into words, numbers and marks; others only at white space, before the last blank of a run. The ids are those of the
-whole text. Strings of special tokens are ordinary text.
+way, into words, numbers and marks; others only at white space, before the last blank of a run. Before that a text is cut at the strings of
+added tokens, which the library gives their own ids wherever they stand. The ids are those of the whole text.
 """
 
 from __future__ import annotations
@@ -56,8 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, added))})") if added else None
         self.kind = "word" if self.tokenizer.encode("a  b", add_special_tokens=False).ids == self.tokenizer.encode("a b", add_special_tokens=False).ids else "byte"
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if self.kind == "word":
@@ -73,6 +74,12 @@ class Encoder:
         self.length, self.start, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def _pieces(self, text: str) -> list[str]:
+        if self.added and self.added.search(text):
+            parts = self.added.split(text)
+            return [p for i, x in enumerate(parts) for p in ([x] if i % 2 else self._ordinary(x))]
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> list[str]:
         if _beyond_latin(text):
             return PIECES[self.kind].findall(text)
         return LATIN[self.kind].findall(text.lower() if self.kind == "word" else text)

@@ -34,7 +34,6 @@ def tokenizer(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_path(name))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -69,6 +68,14 @@ def test_suffix_dedup_matches_brute_force(docs, texts, how):
     assert Counter(tuple(r) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs, **how)).collect()) == cut_by_hand(texts)
 
 
+def test_texts_with_one_equal_hash_stay(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(near_copies.F, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 else real(*c))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(6)] + [(9, " ".join(f"w3x{k}" for k in range(20)))]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(6))
+
+
 @pytest.mark.parametrize("hot", [2, suffix_dedup.HOT])
 def test_hot_phrases_lose_no_window(spark, hot):
     r = np.random.default_rng(21)
@@ -83,6 +90,14 @@ def test_hot_phrases_lose_no_window(spark, hot):
     assert got == cut_by_hand(rows) and sum(x[2] for x in got) > 10_000
 
 
+def test_the_largest_id_is_not_null(spark):
+    text, least, most = "".join(map(str, range(60))), -(2**63), 2**63 - 1
+    for rows in ([(most, text[:88]), (None, text[:88] + "!!")], [(most, text), (None, text), (least, "a" * 70), (least + 1, "b" * 70), (None, "b" * 80)], [(most, text), (3, text)]):
+        own = spark.createDataFrame(rows, "doc_id long, text string")
+        got = Counter(tuple(x) for x in suffix_dedup.digest(suffix_dedup.remove_repeats(own)).collect())
+        assert got == cut_by_hand(rows) and sum(x[2] for x in got) > 50
+
+
 def packed_segments(n, hashes, docs):
     """As many segments of one anchor as hashes, in blocks of 1,000."""
     import zstandard
