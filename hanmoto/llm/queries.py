@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, doc_fingerprint, line_dedup, mixing, packing, quality_rules, simhash, sstable, suffix_dedup, toxicity
+from . import chat_format, doc_fingerprint, line_dedup, mixing, packing, periodic_runs, quality_rules, simhash, sstable, suffix_dedup, toxicity, whitening
 from .tokens import public_path
 
 
@@ -76,6 +76,15 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return periodic_runs.digest(periodic_runs.find_runs(docs.select("doc_id", periodic_runs.with_periods(F.col("text"), F.col("doc_id")).alias("text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -87,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
     "op10_doc_fingerprint": op10_doc_fingerprint,
+    "op11_whitening": op11_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _Q = quality_rules
