@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, doc_fingerprint, line_dedup, mixing, packing, periodic_runs, quality_rules, simhash, sstable, suffix_dedup, toxicity, whitening
+from . import chat_format, doc_fingerprint, line_dedup, mixing, packing, periodic_runs, pii, quality_rules, simhash, sstable, suffix_dedup, toxicity, whitening
 from .tokens import public_path
 
 
@@ -80,6 +80,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return pii.digest(pii.find_spans(docs, pii.fit(docs)))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return periodic_runs.digest(periodic_runs.find_runs(docs.select("doc_id", periodic_runs.with_periods(F.col("text"), F.col("doc_id")).alias("text"))))
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_doc_fingerprint": op10_doc_fingerprint,
     "op11_whitening": op11_whitening,
+    "op12_pii": op12_pii,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
