@@ -1,13 +1,11 @@
-"""Text functions as Column expressions; only accent notation needs Python, and only for texts that have its bracket."""
+"""Text functions as Column expressions, without Python."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .tables import ACCENTS, CLOSERS, OPENERS, SENTINELS, TRIGGERS
 
@@ -41,16 +39,11 @@ def isolate_rules(c: Column) -> Column:
     return F.when(c.rlike("-{10}|={10}|_{10}"), F.array_join(out, "\n")).otherwise(c)
 
 
-@F.pandas_udf(T.StringType())
-def _accents(texts: pd.Series) -> pd.Series:
-    from ..operators.kernel import rewrite_accents
-
-    return texts.map(lambda t: t if t is None else rewrite_accents(t))
-
-
 def rewrite_accents(c: Column) -> Column:
-    """Digraphs inside tortoise-shell brackets become accented letters, longest match first. The kernel skips texts without the bracket."""
-    return _accents(c)
+    """Digraphs inside tortoise-shell brackets become accented letters, longest match first; a bracket ends at the first closer, one without a closer is text."""
+    pieces = F.regexp_extract_all(c, F.lit("〔[^〕]*〕|[^〔]+|〔"), F.lit(0))
+    inside = lambda x: x.startswith("〔") & x.endswith("〕")
+    return F.when(c.contains("〔"), F.array_join(F.transform(pieces, lambda x: F.when(inside(x), decompose(x)).otherwise(x)), "")).otherwise(c)
 
 
 def decompose(fragment: Column) -> Column:

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import text as X
+from . import pairs
+
 _PART = "array<struct<seg_kind:string,text:string,ucs:string,mencode:string,annotation_kind:string>>"
 _ATTRS = f"struct<base:{_PART},reading:{_PART},explicit:boolean,bouten_kind:string,position:string,content:{_PART},description:string,ucs:string,mencode:string,amount:smallint,offset:smallint,section:string,level:smallint,target:string,file:string,mark:string,raw:string,annotation_kind:string,container:string>"
 #: Parts of a parsed document: type, and how to get it.
@@ -81,8 +84,8 @@ def pair_events(df: DataFrame, key: str = "doc_id", source: str = "source") -> D
 
 
 def pair_links(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """Pairs in the order of their closers."""
-    return _exploded(df, "pair_links", key, source)
+    """Pairs in the order of their closers, without Python."""
+    return pairs.exploded(df, pairs.links(X.sanitize(F.col(source))), key)
 
 
 def spans(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -98,15 +101,15 @@ def container_pairs(df: DataFrame, key: str = "doc_id", source: str = "source")
 
 
 def diagnostics(df: DataFrame, key: str = "doc_id", source: str = "source", internal: bool = False) -> DataFrame:
-    """Without those of internal origin unless asked for; the kernel makes none."""
-    found = _exploded(df, "diagnostics", key, source)
+    """Without those of internal origin unless asked for (there are none); no Python."""
+    found = pairs.exploded(df, pairs.diagnostics(X.sanitize(F.col(source))), key)
     return found if internal else found.filter("source <> 'internal'")
 
 
 def check(df: DataFrame, key: str = "doc_id", source: str = "source", strict: bool = False) -> DataFrame:
     """A row for each document: ``n_diagnostics, n_errors, passed``. Errors fail a document, with ``strict`` every diagnostic does; null sources have none."""
-    found = parse(df.select(key, source), ["diagnostics"], source).select(key, F.coalesce("parsed.diagnostics", F.array()).alias("d"))
-    counted = found.select(key, F.size("d").alias("n_diagnostics"), F.size(F.filter("d", lambda x: x.severity == "error")).alias("n_errors"))
+    found = df.select(key, X.let(pairs.diagnostics(X.sanitize(F.col(source))), lambda d: F.struct(F.size(d).alias("n"), F.size(F.filter(d, lambda x: x["severity"] == "error")).alias("e"))).alias("d"))
+    counted = found.select(key, F.coalesce("d.n", F.lit(0)).alias("n_diagnostics"), F.coalesce("d.e", F.lit(0)).alias("n_errors"))
     return counted.withColumn("passed", F.col("n_diagnostics" if strict else "n_errors") == 0)
 
 
@@ -117,8 +120,6 @@ def cst(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame
 
 def tokens(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
     """Tokens with byte spans, without Python or a shuffle: ``idx, token_kind, trigger_kind, start, end``."""
-    from ..functions import text as X
-
     starts = lambda t: X.let(F.transform(t, lambda x: F.octet_length(x).cast("long")), lambda n: X.running_sums(n))
     both = X.let(X.tokens(F.coalesce(F.col(source), F.lit(""))), lambda t: F.arrays_zip(t.alias("t"), starts(t).alias("s")))
     each = df.select(key, F.posexplode(both).alias("idx", "_x")).select(key, "idx", F.col("_x.t").alias("t"), F.col("_x.s").alias("start"))

@@ -100,6 +100,30 @@ def pair_diagnostics(spark, d):
     return parse.diagnostics(own).select("doc_id", "kind", "pair_kind", "start", "end")
 
 
+# Pairs of three shapes: nested to the depth of the key's last digit, crossing (the inner closer finds another kind on top), and closers alone.
+_SHAPES = """WITH x AS (SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_custkey % 10 + 1 AS INTEGER) AS n, CAST(strlen(c_name) AS INTEGER) AS m, c_custkey % 3 AS shape FROM customer)"""
+
+
+def _shapes(spark, d):
+    n = (F.col("c_custkey") % 10 + 1).cast("int")
+    nested = F.concat(F.repeat(lit("「［"), n), "c_name", F.repeat(lit("］」"), n))
+    crossing = F.concat(F.repeat(lit("［"), n), lit("「"), "c_name", F.repeat(lit("］"), n), lit("」"))
+    alone = F.concat(F.repeat(lit("」"), n), "c_name", lit("《《"), "c_name", lit("》》"))
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 3 == 0, nested).when(F.col("c_custkey") % 3 == 1, crossing).otherwise(alone).alias("source"))
+
+
+@query(_SHAPES + """ SELECT k AS doc_id, CAST(i AS INTEGER) AS seq, CASE WHEN i % 2 = 0 THEN 'bracket' ELSE 'quote' END AS kind, CAST(6 * n - 3 * i - 3 AS INTEGER) AS open_start, CAST(6 * n + m + 3 * i AS INTEGER) AS close_start FROM x, range(20) AS r(i) WHERE shape = 0 AND i < 2 * n
+UNION ALL SELECT k, 0, 'quote', 3 * n, 3 * n + 3 + m + 3 * n FROM x WHERE shape = 1 UNION ALL SELECT k, 0, 'doubleRuby', 3 * n + m, 3 * n + m + 6 + m FROM x WHERE shape = 2""")
+def pair_shapes(spark, d):
+    return parse.pair_links(_shapes(spark, d)).select("doc_id", "seq", "kind", "open_start", "close_start")
+
+
+@query(_SHAPES + """ SELECT k AS doc_id, 'unmatched_close' AS kind, 'bracket' AS pair_kind, CAST(i AS INTEGER) AS seq, CAST(3 * n + 3 + m + 3 * i AS INTEGER) AS "start" FROM x, range(10) AS r(i) WHERE shape = 1 AND i < n
+UNION ALL SELECT k, 'unclosed_bracket', 'bracket', CAST(n + i AS INTEGER), CAST(3 * (n - 1 - i) AS INTEGER) FROM x, range(10) AS r(i) WHERE shape = 1 AND i < n UNION ALL SELECT k, 'unmatched_close', 'quote', CAST(i AS INTEGER), CAST(3 * i AS INTEGER) FROM x, range(10) AS r(i) WHERE shape = 2 AND i < n""")
+def pair_shape_diagnostics(spark, d):
+    return parse.diagnostics(_shapes(spark, d)).select("doc_id", "kind", "pair_kind", "seq", "start")
+
+
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'source_contains_pua' AS kind, 'warning' AS severity, CAST(strlen(n_name) AS INTEGER) AS "start", CAST(strlen(n_name) + 3 AS INTEGER) AS "end", chr(57345 + n_nationkey % 4) AS codepoint FROM nation""")
 def private_use_diagnostics(spark, d):
     mark = X.from_code(F.col("n_nationkey").cast("long") % 4 + 0xE001)

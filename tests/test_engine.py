@@ -2,9 +2,11 @@
 
 import gzip
 import json
+import random
 import subprocess
 import sys
 import textwrap
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -271,3 +273,39 @@ def test_the_engine_stands_without_the_training_subpackage():
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=root, check=True)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_native_pairs_are_the_kernels(spark):
+    r = random.Random(3)
+    tokens = "《《|》》|｜|《|》|［|］|＃|※|〔|〕|「|」|\n|a|日|𠮷|||〔e'〕".split("|")
+    back = {"［": "］", "「": "」", "《": "》", "〔": "〕"}
+    deep = "".join(r.choice("［「〔") for _ in range(5000))
+    rows = [(i, "".join(r.choice(tokens) for _ in range(r.randint(0, 70)))) for i in range(250)]
+    rows += [(900, deep + "".join(back[c] for c in reversed(deep))), (901, "「" * 5000 + "］" * 40 + "」" * 4000), (902, None), (903, ""), (904, "".join(r.choice("「「「」［］") for _ in range(12_000)))]
+    rows += [(1000 + n, "".join(r.choice("「「」") for _ in range(n))) for n in (31, 32, 33, 1023, 1024, 1025)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    found = {}
+    for name, f in (("links", parse.pair_links), ("diagnostics", parse.diagnostics)):
+        out = f(df)
+        assert "Python" not in _plan(out) and "Arrow" not in _plan(out)
+        for x in out.orderBy("doc_id", "seq").collect():
+            found.setdefault((name, x[0]), []).append(tuple(x)[2:])
+    for i, s in rows:
+        p = Parsed(s or "")
+        assert found.get(("links", i), []) == [tuple(q.values()) for q in p.pair_links()], i
+        assert found.get(("diagnostics", i), []) == [tuple(q.values()) for q in p.diagnostics()], i
+
+
+def test_native_pairs_take_linear_time(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, "「" * n + "」" * n)], "doc_id long, source string")
+        began = time.perf_counter()
+        assert parse.pair_links(df).count() == n
+        return time.perf_counter() - began
+
+    seconds(2000)
+    assert seconds(80_000) < 12 * max(seconds(10_000), 1.0)
