@@ -5,8 +5,11 @@ Vocabulary tables have a fixed number of rows (4,354 at most) and are broadcast
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.tables import BLOCK_KINDS, GAIJI_DESCRIPTIONS, HOLDER_KINDS, table
@@ -54,11 +57,48 @@ def merge_preferring(first: DataFrame, second: DataFrame, key: str) -> DataFrame
     return first.unionByName(second.join(first.select(key), key, "left_anti"))
 
 
-def node_at(points: DataFrame, nodes: DataFrame, key: str = "doc_id", offset: str = "offset") -> DataFrame:
-    """The node whose source span holds each point, or nulls. The last start at or before the point decides; joined by document."""
-    spans = nodes.select(F.col(key).alias("_k"), F.col("kind").alias("node_kind"), F.col("start").alias("node_start"), F.col("end").alias("node_end"))
-    within = (F.col(key) == F.col("_k")) & (F.col("node_start") <= F.col(offset)) & (F.col(offset) < F.col("node_end"))
-    return points.join(spans, within, "left").drop("_k")
+#: Positions of a document that are looked up in one group; it holds as many distinct points and starts at most.
+STRETCH = 1 << 16
+
+
+def _so_far(events: DataFrame, keys: list[str], value: str, how, order: list[str], out: str) -> DataFrame:
+    """Adds ``out``: ``how`` (a running sum or maximum) of ``value`` over the events so far among those with equal ``keys``.
+
+    Keys are cut into stretches of positions (``_p``): what came before a stretch is an aggregate of one row for each, so that no key is one group.
+    """
+    events = events.withColumn("_s", F.floor(F.col("_p") / STRETCH))
+    parts = events.groupBy(*keys, "_s").agg(how(value).alias("_part"))
+    before = parts.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("_s").alias("_s_"), how("_part").over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)).alias("_base"))
+    own = how(value).over(Window.partitionBy(*keys, "_s").orderBy("_p", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = events.withColumn("_own", own).join(before, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{k}_") for k in keys], F.col("_s") == F.col("_s_")))
+    both = F.coalesce(F.col("_own") + F.col("_base"), "_own", "_base") if how is F.sum else F.greatest("_own", "_base")
+    return met.withColumn(out, both).drop("_own", "_base", "_s", "_s_", *[f"{k}_" for k in keys])
+
+
+def node_at(points: DataFrame, nodes: DataFrame, key: str = "doc_id", offset: str = "offset", nested: bool = False) -> DataFrame:
+    """The node whose source span holds each point, or nulls: ``node_kind, node_start, node_end``.
+
+    The last start at or before the point decides (of equal starts the shortest span, of equal spans the last kind): if that node has ended, none holds the point. With ``nested``
+    the innermost of properly nested spans does, which is the last one opened at the depth that the point has. Distinct points
+    and starts are one ordered union, so that a document with n nodes and m points takes n + m rows; points with a null key or offset get nulls.
+    """
+    asked = points.select(F.col(key).alias("_k"), F.col(offset).cast("long").alias("_p")).filter("_k is not null and _p is not null").distinct()
+    spans = nodes.filter(F.col(key).isNotNull() & (F.col("start") < F.col("end"))).select(F.col(key).alias("_k"), F.struct(F.col("start").cast("long").alias("s"), (-F.col("end").cast("long")).alias("e"), F.col("kind").alias("k")).alias("_span"))
+    opens = spans.select("_k", F.col("_span.s").alias("_p"), F.lit(1).alias("_turn"), "_span")
+    wanted = asked.select("_k", "_p", F.lit(0).alias("_turn"), F.lit(None).cast(spans.schema["_span"].dataType).alias("_span"))
+    if nested:
+        closes = spans.select("_k", (-F.col("_span.e")).alias("_p"), F.lit(-1).alias("_turn"), F.lit(None).cast(spans.schema["_span"].dataType).alias("_span"))
+        # at one position spans end, then begin, the longest first, then points are asked for
+        events = opens.unionByName(closes).unionByName(wanted).withColumn("_rank", F.when(F.col("_turn") == 0, 2).otherwise(F.col("_turn")))
+        deep = _so_far(events, ["_k"], "_turn", F.sum, ["_rank", "_span"], "_depth").filter("_turn >= 0")
+        found = _so_far(deep, ["_k", "_depth"], "_span", F.max, ["_rank", "_span"], "_last").filter("_turn = 0")
+    else:
+        events = opens.unionByName(wanted).withColumn("_rank", F.when(F.col("_turn") == 0, 2).otherwise(1))
+        found = _so_far(events, ["_k"], "_span", F.max, ["_rank"], "_last").filter("_turn = 0")
+    kind = nodes.schema["kind"].dataType
+    holds = F.col("_p") < -F.col("_last.e")
+    answers = found.filter(holds).select("_k", "_p", F.col("_last.k").cast(kind).alias("node_kind"), F.col("_last.s").cast(nodes.schema["start"].dataType).alias("node_start"), (-F.col("_last.e")).cast(nodes.schema["end"].dataType).alias("node_end"))
+    return points.join(answers, (F.col(key) == F.col("_k")) & (F.col(offset).cast("long") == F.col("_p")), "left").drop("_k", "_p")
 
 
 def node_at_normalized(points: DataFrame, nodes: DataFrame, key: str = "doc_id", offset: str = "offset") -> DataFrame:

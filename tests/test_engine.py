@@ -309,3 +309,37 @@ def test_native_pairs_take_linear_time(spark):
 
     seconds(2000)
     assert seconds(80_000) < 12 * max(seconds(10_000), 1.0)
+
+
+def test_lookups_of_nested_spans(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "STRETCH", 64)
+    r, spans = random.Random(1), [(None, "x", 0, 900), (1, "empty", 10, 10), (4, "twice", 700, 710), (4, "twice", 700, 710)]
+
+    def nest(k, lo, hi, depth):
+        while lo < hi and depth:
+            s = lo + r.randint(0, 3)
+            lo = min(hi, s + r.randint(1, 40))
+            if s < lo:
+                spans.append((k, f"n{len(spans)}", s, lo))
+                nest(k, s, lo, depth - 1)
+
+    for k in range(5):
+        nest(k, 0, 600, 3)
+    asked = [(r.choice([0, 1, 2, 3, 4, 5, None]), r.choice([None, *range(-3, 720)]), i) for i in range(900)]
+    nodes, points = spark.createDataFrame(spans, "doc_id long, kind string, start int, `end` int"), spark.createDataFrame(asked, "doc_id long, offset int, _k int")
+    for nested in (False, True):
+        want = []
+        for k, o, i in asked:
+            begun = [s for s in spans if k is not None and s[0] == k and o is not None and s[2] <= o and s[2] < s[3] and (not nested or o < s[3])]
+            best = max(begun, key=lambda s: (s[2], -s[3], s[1]), default=None)
+            want.append((k, o, i, *((None,) * 3 if best is None or o >= best[3] else best[1:])))
+        got = lookup.node_at(points.withColumnRenamed("_k", "i"), nodes, nested=nested)
+        assert sorted(map(tuple, got.collect()), key=lambda q: q[2]) == want
+        assert lookup.node_at(points.withColumnRenamed("_k", "i").limit(0), nodes, nested=nested).isEmpty() and lookup.node_at(points.withColumnRenamed("_k", "i"), nodes.limit(0), nested=nested).count() == 900
+
+
+def test_lookups_in_one_document_are_in_proportion(spark):
+    n = 200_000
+    nodes = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit("r").alias("kind"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 7).alias("end"))
+    points = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), ((F.col("id") * 7919) % (n * 10)).alias("offset"))
+    assert lookup.node_at(points, nodes).filter("node_kind is not null").count() == n * 7 // 10
