@@ -421,15 +421,16 @@ def node_at_normalized(spark, d):
 
 
 # Spans from orders (0 to 100) and in them from their lines (from 10 times the line's number, one to nine long), and points from part keys.
-_SPANS = """WITH n AS (SELECT o_orderkey AS k, 'order' AS kind, 0 AS s, 100 AS e FROM orders UNION ALL SELECT l_orderkey, 'line' || l_linenumber, 10 * l_linenumber, 10 * l_linenumber + 1 + CAST(l_quantity AS INTEGER) % 9 FROM lineitem),
-p AS (SELECT l_orderkey AS k, CAST(l_linenumber AS INTEGER) AS line, CAST(l_partkey % 120 AS INTEGER) AS o FROM lineitem)"""
+_SPANS = """WITH n AS (SELECT o_orderkey AS k, 'order' AS kind, 0 AS s, 100 AS e FROM orders UNION ALL SELECT l_orderkey, 'line' || l_linenumber, 10 * l_linenumber, 10 * l_linenumber + 1 + CAST(min(l_quantity) AS INTEGER) % 9 FROM lineitem GROUP BY l_orderkey, l_linenumber),
+p AS (SELECT DISTINCT l_orderkey AS k, CAST(l_linenumber AS INTEGER) AS line, CAST(l_partkey % 120 AS INTEGER) AS o FROM lineitem)"""
 
 
 def _spans_and_points(spark, d):
     lines = t(spark, d, "lineitem")
-    own = lines.select(F.col("l_orderkey").alias("doc_id"), F.concat(lit("line"), "l_linenumber").alias("kind"), (F.col("l_linenumber") * 10).cast("int").alias("start"), (F.col("l_linenumber") * 10 + 1 + F.col("l_quantity").cast("int") % 9).cast("int").alias("end"))
+    each = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    own = each.select(F.col("l_orderkey").alias("doc_id"), F.concat(lit("line"), "l_linenumber").alias("kind"), (F.col("l_linenumber") * 10).cast("int").alias("start"), (F.col("l_linenumber") * 10 + 1 + F.col("q").cast("int") % 9).cast("int").alias("end"))
     orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), lit("order").alias("kind"), lit(0).alias("start"), lit(100).alias("end"))
-    return orders.unionByName(own), lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("line"), (F.col("l_partkey") % 120).cast("int").alias("offset"))
+    return orders.unionByName(own), lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("line"), (F.col("l_partkey") % 120).cast("int").alias("offset")).distinct()
 
 
 @query(_SPANS + """ SELECT p.k AS doc_id, line, o AS "offset", arg_max(kind, s) AS node_kind FROM p LEFT JOIN n ON n.k = p.k AND s <= o AND o < e GROUP BY ALL""")
