@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone")
 #: Documents of the training sample, with and without marks of personal data, and bytes that one of them may have.
 MOST_MARKED, MOST_OTHER, MOST_BYTES = 600, 150, 50_000
-#: Characters of a window and those it shares with the next, characters run through the network at once, score that a span needs.
-WINDOW, OVERLAP, GROUP, MARGIN = 512, 64, 1 << 20, 3.0
+#: Characters of a window and those it shares with the next, characters run through the network at once, score that a span needs, texts taken together.
+WINDOW, OVERLAP, GROUP, MARGIN, ROWS = 512, 64, 1 << 20, 3.0, 1024
 HIDDEN, LENGTH, BATCH, UPDATES, RATE, SEED = 8, 96, 64, 700, 0.02, 7
 TAGS = len(KINDS) + 1
 
@@ -291,11 +291,15 @@ def train(texts: list[str], updates: int = UPDATES) -> dict | None:
 
 
 def fit(docs: DataFrame, text: str = "text") -> dict | None:
-    """The network, from the base spans of a bounded sample that depends on the texts alone."""
+    """The network, from the base spans of a bounded sample that depends on the texts alone: distinct ones with the least hashes, up to a bound set by their number."""
     own = docs.select(F.col(text).alias("t")).filter((F.octet_length("t") <= MOST_BYTES) & (F.length("t") > 0))
     marked = F.col("t").rlike(r"@|\+[0-9]|[0-9]{13}|[0-9]\.[0-9]+\.[0-9]|[0-9]{4}[ -][0-9]{4}")
-    found = [own.filter(w).orderBy(F.xxhash64("t"), "t").limit(n).collect() for w, n in ((marked, MOST_MARKED), (~marked, MOST_OTHER))]
-    return train([q.t for rows in found for q in rows])
+    own = own.select("t", F.xxhash64("t").alias("h"), marked.alias("m"))
+    most, there = {True: MOST_MARKED, False: MOST_OTHER}, {q["m"]: q["n"] for q in own.groupBy("m").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    bound = {m: min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * 1.5 * most[m] / max(1, n))) for m, n in there.items()}
+    near = F.when(F.col("m"), F.lit(bound.get(True, 0))).otherwise(F.lit(bound.get(False, 0)))
+    found = sorted((q["h"], q["t"], q["m"]) for q in own.filter(F.col("h") <= near).distinct().collect())
+    return train([t for m, n in most.items() for t in [t for _, t, own in found if own == m][:n]])
 
 
 # Decoding
@@ -463,8 +467,8 @@ def find_spans(docs: DataFrame, model: dict | None, text: str = "text", key: str
         decoder = None if model is None else Decoder(model)
         shown = lambda rows: pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in q] for q in rows], kind)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, ROWS):
+                b = batch.slice(lo, ROWS)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 base = [base_spans(t) for t in texts]
                 found = decoder.candidates(texts) if decoder else [[]] * len(texts)
