@@ -1,7 +1,8 @@
 """Corpus statistics: size bands, quantiles of three kinds, histograms, counters.
 
 Exact quantiles rank no whole group in one task: equal values are counted first, counts are summed by bin (about a 256th of the
-value wide, at most a few hundred thousand a group, however many rows), and only the bins that hold a wanted rank are sorted by value.
+value wide, at most a few hundred thousand a group, however many rows), bins that hold a wanted rank and too many different values are cut
+into ever narrower ones, and only the last of these are sorted by value.
 Values are numbers; nulls are left out, groups without other values are absent, NaN is the largest value, a null key is a group.
 """
 
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import size_band
+from .settle import settled
 
+#: Distinct values that are sorted together, parts into which a bin of more is cut.
+MOST, PARTS = 1 << 16, 4096
 BANDS = ["small", "medium", "large", "pathological"]
 
 
@@ -31,16 +35,49 @@ def _bin(value: Column) -> Column:
     return F.floor(F.when(x < 0, -size).otherwise(size))
 
 
+def _holds(ranks: dict[str, Column], upto: Column, n: Column) -> Column:
+    return reduce(lambda a, b: a | b, [(r <= upto) & (r > upto - n) for r in ranks.values()])
+
+
+def _refined(values: DataFrame, keys: list[str], zones: DataFrame, ranks: dict[str, Column]) -> DataFrame:
+    """The parts of the zones that hold a wanted rank, each zone cut into PARTS of equal width: a histogram of what lies in it."""
+    zones = zones.withColumn("_zone", F.col("_lo"))
+    x = F.col("_x")
+    part = F.when(x == F.col("_hi"), PARTS).otherwise(F.least(F.lit(PARTS - 1), F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS)))
+    within = _in_zones(values, keys, zones).withColumn("_part", F.when(F.col("_lo") == F.col("_hi"), 0).otherwise(part))
+    cut = within.groupBy(*keys, "_bin", "_zone", "_part").agg(*_summary(), F.first("_base").alias("_base"), F.first("_n").alias("_n"))
+    upto = F.col("_base") + F.sum("_in").over(Window.partitionBy(*keys, "_bin", "_zone").orderBy("_part"))
+    found = cut.withColumn("_upto", upto).filter(_holds(ranks, F.col("_upto"), F.col("_in")))
+    return found.select(*keys, "_bin", "_lo", "_hi", "_d", "_n", (F.col("_upto") - F.col("_in")).alias("_base"))
+
+
+def _in_zones(values: DataFrame, keys: list[str], zones: DataFrame) -> DataFrame:
+    own = zones.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"), *[c for c in zones.columns if c not in (*keys, "_bin", "_d")])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_bin") == F.col("_b"))
+    return values.join(own, same & (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).drop("_b", *[f"_k{i}" for i in range(len(keys))])
+
+
+def _summary() -> list[Column]:
+    return [F.sum("_c").alias("_in"), F.count("*").alias("_d"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
+
+
 def _at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """The values at 1-based ranks, which may use ``_n``, the group's count: one column each, all from two reads of the rows (counts by bin, then the bins asked for)."""
-    values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_bin", _bin(F.col(value)))
+    """The values at 1-based ranks, which may use ``_n``, the group's count: one column each.
+
+    A first read counts by bin; a bin that holds a wanted rank and more than MOST distinct values is cut again, as often as it takes (each time
+    from a small written table of what was found); a last read sorts what is left, MOST values at most but for those that are equal as doubles.
+    """
+    x = F.col(value).cast("double")
+    values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_bin", _bin(x)).withColumn("_x", x)
     group = Window.partitionBy(*keys)
-    bins = values.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_in"))
+    bins = values.groupBy(*keys, "_bin").agg(*_summary())
     bins = bins.withColumn("_upto", F.sum("_in").over(group.orderBy("_bin"))).withColumn("_n", F.sum("_in").over(group))
-    wanted = reduce(lambda a, b: a | b, [(r <= F.col("_upto")) & (r > F.col("_upto") - F.col("_in")) for r in ranks.values()])
-    hit = bins.filter(wanted).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"), (F.col("_upto") - F.col("_in")).alias("_base"), "_n")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_bin") == F.col("_b"))
-    ranked = values.join(hit, same).withColumn("_hi", F.col("_base") + F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy(value)))
+    zones = bins.filter(_holds(ranks, F.col("_upto"), F.col("_in"))).select(*keys, "_bin", "_lo", "_hi", "_d", "_n", (F.col("_upto") - F.col("_in")).alias("_base"))
+    zones, before = settled(zones), None
+    while (most := zones.filter((F.col("_d") > MOST) & (F.col("_lo") < F.col("_hi"))).agg(F.max("_d"), F.sum("_d")).first())[0] is not None and most != before:
+        zones, before = settled(_refined(values, keys, zones, ranks)), most
+    sorted_ = Window.partitionBy(*keys, "_bin", "_lo").orderBy(value)
+    ranked = _in_zones(values, keys, zones).withColumn("_hi", F.col("_base") + F.sum("_c").over(sorted_))
     return ranked.groupBy(*keys).agg(*[F.max(F.when((F.col("_hi") >= r) & (F.col("_hi") - F.col("_c") < r), F.col(value))).alias(k) for k, r in ranks.items()])
 
 

@@ -6,7 +6,6 @@ once (``frames``), stacks are unrolled for all at once (``paths``).
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import frame_label, row_kind
 from .lookup import compare_shares
+from .settle import settled
 
 UNATTRIBUTED = "(unattributed)"
 
@@ -67,15 +67,6 @@ def _leaves(t: Trace) -> DataFrame:
     return t.samples.join(t.stacks, ["tid", "stack_idx"]).join(t.frames, ["tid", "frame_idx"]).select("label", "library", "weight")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the folder that ``spark.checkpoint.dir`` names, a temporary one only where it is unset."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hanmoto-shared-"))
-    return df.checkpoint()
-
-
 def paths(t: Trace) -> DataFrame:
     """``tid, stack_idx, frames``: frame indexes from the leaf to the root.
 
@@ -86,7 +77,7 @@ def paths(t: Trace) -> DataFrame:
     state = t.stacks.join(sizes, "tid").select("tid", "stack_idx", "_most", F.col("prefix").alias("_next"), F.array("frame_idx").alias("frames"))
     while True:
         # written, not cached: a lost executor costs nothing, and the last round's plan doesn't hold those before
-        state = _written(state)
+        state = settled(state)
         if not state.filter("_next is not null").take(1):
             return state.select("tid", "stack_idx", "frames")
         above = state.select("tid", F.col("stack_idx").alias("_next"), F.col("_next").alias("_after"), F.col("frames").alias("_more"))

@@ -343,3 +343,26 @@ def test_lookups_in_one_document_are_in_proportion(spark):
     nodes = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit("r").alias("kind"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 7).alias("end"))
     points = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), ((F.col("id") * 7919) % (n * 10)).alias("offset"))
     assert lookup.node_at(points, nodes).filter("node_kind is not null").count() == n * 7 // 10
+
+
+def test_quantiles_of_a_narrow_spread_are_refined(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MOST", 50)
+    monkeypatch.setattr(stats, "PARTS", 8)
+    rounds, refined, sizes = [], stats._refined, []
+    monkeypatch.setattr(stats, "_refined", lambda *a: rounds.append(1) or refined(*a))
+    settle = stats.settled
+    monkeypatch.setattr(stats, "settled", lambda df: sizes.append(settle(df)) or sizes[-1])
+    r = random.Random(4)
+    nan, inf = float("nan"), float("inf")
+    groups = {"narrow": [1000 + r.random() for _ in range(3000)], "wide": [r.expovariate(1) * 10 ** r.randint(-12, 12) for _ in range(2000)], "odd": [inf, -inf, nan, 0.0, -0.0, 5e-324] * 3, "copies": [7.5] * 900 + [7.5 + i * 1e-9 for i in range(400)], None: [2.0 + i * 2**-50 for i in range(500)]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("odd", None)], "k string, v double").repartition(3)
+    asked = {f"p{i}": i / 13 for i in range(14)}
+    rows = {q.k: q for q in stats.nearest_ranks(df, ["k"], "v", asked).collect()}
+    for k, vs in groups.items():
+        ordered = sorted(vs, key=lambda v: (v != v, v))
+        for name, p in asked.items():
+            got, want = rows[k][name], ordered[int((len(vs) - 1) * p + 0.5)]
+            assert got == want or (got != got and want != want), (k, name)
+    assert len(rounds) >= 2 and sizes[-1].filter("_lo < _hi").agg(F.max("_d")).first()[0] <= 50
+    whole = spark.range(20_000).select((F.col("id") % 3).alias("k"), (F.col("id") + 10**15).alias("v"))
+    assert {q.k: q.m for q in stats.upper_median(whole, ["k"], "v", "m").collect()} == {k: sorted(range(k, 20_000, 3))[len(range(k, 20_000, 3)) // 2] + 10**15 for k in range(3)}
