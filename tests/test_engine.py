@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hanmoto.functions import text as X
 from hanmoto.operators import lookup, parse, pattern, stats, trace, wire
 from hanmoto.operators.kernel import Parsed, pair_up, sanitize
-from hanmoto.sources import corpus
+from hanmoto.sources import corpus, packed
 from hanmoto.streaming import watch
 
 TEXTS = [
@@ -366,3 +366,41 @@ def test_quantiles_of_a_narrow_spread_are_refined(spark, monkeypatch):
     assert len(rounds) >= 2 and sizes[-1].filter("_lo < _hi").agg(F.max("_d")).first()[0] <= 50
     whole = spark.range(20_000).select((F.col("id") % 3).alias("k"), (F.col("id") + 10**15).alias("v"))
     assert {q.k: q.m for q in stats.upper_median(whole, ["k"], "v", "m").collect()} == {k: sorted(range(k, 20_000, 3))[len(range(k, 20_000, 3)) // 2] + 10**15 for k in range(3)}
+
+
+@pytest.mark.parametrize("zstd", ["true", "false"])
+def test_packed_source(spark, tmp_path, zstd):
+    packed.register(spark)
+    r = random.Random(2)
+    items = [(f"card{i % 7}/文{i}.txt", i - 5, bytes(r.randrange(256) for _ in range(r.choice([0, 10, 3000])))) for i in range(600)]
+    rows = corpus.archive_rows(spark.createDataFrame(items, "label string, mtime_ns long, content binary").repartition(3), utf8=False)
+    path = str(tmp_path / "arc")
+    rows.write.format("packed_corpus").option("zstd", zstd).mode("append").save(path)
+    assert sorted(p.suffix for p in (tmp_path / "arc").iterdir()) == [".bin"] * 3
+    read = spark.read.format("packed_corpus").option("rangeBytes", 20_000).load(path)
+    assert read.rdd.getNumPartitions() > 3
+    want = sorted((label, t, content) for label, t, content in items)
+    assert sorted((q.label, q.mtime_ns, bytes(q.payload)) for q in read.collect()) == want
+    assert sorted((q.label, bytes(q.payload)) for q in corpus.read_packed(spark, f"{path}/*.bin").collect()) == [(a, c) for a, _, c in want]
+    one = read.filter(F.col("label") == items[77][0])
+    assert [bytes(q.payload) for q in one.collect()] == [items[77][2]] and one.rdd.getNumPartitions() == 1
+    assert {q.label for q in read.filter(F.col("label").startswith("card3/") & (F.col("mtime_ns") > 100)).collect()} == {a for a, t, _ in items if a.startswith("card3/") and t > 100}
+    assert read.filter(F.col("label").isin("no", items[5][0])).count() == 1 and read.filter("label = 'no'").count() == 0
+    rows.limit(2).write.format("packed_corpus").mode("overwrite").save(path)
+    assert spark.read.format("packed_corpus").load(path).count() == 2
+
+
+def test_packed_source_leaves_nothing_of_failed_writes(spark, tmp_path):
+    packed.register(spark)
+    path = str(tmp_path / "arc")
+    schema = corpus.ARCHIVE
+    good = spark.createDataFrame([("a", 1, None, 0, 0, b"x"), (None, None, None, None, None, None)], schema)
+    good.write.format("packed_corpus").mode("append").save(path)
+    broken = spark.range(4).select(*[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) if x[:5] != "label" else F.when(F.col("id") < 3, "b").otherwise(F.raise_error(F.lit("no"))).alias("label") for x in schema.split(", ")])
+    with pytest.raises(Exception, match="no"):
+        broken.repartition(4).write.format("packed_corpus").mode("append").save(path)
+    assert all(p.suffix == ".bin" for p in (tmp_path / "arc").iterdir())
+    assert sorted((q.label, bytes(q.payload)) for q in spark.read.format("packed_corpus").load(path).collect()) == [("", b""), ("a", b"x")]
+    (tmp_path / "bad").write_bytes(b"AOZC\x02\0\0\0")
+    with pytest.raises(Exception, match="not a packed corpus"):
+        spark.read.format("packed_corpus").load(str(tmp_path / "bad")).count()
