@@ -179,11 +179,23 @@ def base_start(text: str) -> int:
     return i
 
 
+def first_quotes(text: str, least: int) -> dict[str, int] | None:
+    """Where each quoted text (from an opening quote to the next closing one) is first opened; none if there are fewer than ``least`` different ones."""
+    out, end = {}, -1
+    for m in re.finditer("「", text):
+        if end < m.end() and (end := text.find("」", m.end())) < 0:
+            break
+        if m.end() < end:
+            out.setdefault(text[m.end() : end], m.start())
+    return out if len(out) >= least else None
+
+
 class Recognizer:
     """``spans``: (kind, start, end, node) that tile the text; kinds plain, newline, node."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, quoted_from: int | None = None):
         self.text = text
+        self.quoted = None if quoted_from is None else first_quotes(text, quoted_from)
         self.events, self.closed, self.unclosed = pair_up(text)
         self.spans: list[tuple[str, int, int, Node | None]] = []
         self.firsts: dict[str, int] = {}
@@ -365,7 +377,10 @@ class Recognizer:
         if not targets:
             return None
         suffix = self.text[end : events[last].start].strip(WHITE)
-        there = lambda t: 0 <= self._first(t) <= events[i].start - len(t)
+        if self.quoted is None:
+            there = lambda t: 0 <= self._first(t) <= events[i].start - len(t)
+        else:
+            there = lambda t: self.quoted.get(t, len(self.text)) < events[i].start
         for lead, position in (("に", "right"), ("の左に", "left")):
             if suffix.startswith(lead) and (kind := suffix[len(lead) :]) in BOUTEN:
                 if all(map(there, targets)):
@@ -398,12 +413,12 @@ class Offsets:
 class Parsed:
     """Everything about one source text. Spans of nodes, pairs and diagnostics are bytes of the sanitised text, container pairs of the normalised."""
 
-    def __init__(self, source: str):
-        self.source = source
+    def __init__(self, source: str, quoted_from: int | None = None):
+        self.source, self.quoted_from = source, quoted_from
         self.text = sanitize(source)
         trivial = not TOKEN.search(self.text)
         self.at = Offsets(self.text)
-        r = None if trivial else Recognizer(self.text)
+        r = None if trivial else Recognizer(self.text, quoted_from)
         self.events, self.closed, self.unclosed = (r.events, r.closed, r.unclosed) if r else ([Event("text", "", 0, len(self.text))] if self.text else [], [], [])
         self.spans = r.spans if r else ([("plain", 0, len(self.text), None)] if self.text else [])
         self.nodes = [s[3] for s in self.spans if s[0] == "node"]
@@ -480,7 +495,7 @@ class Parsed:
     def serialize(self) -> str:
         """The canonical source. Private-use marks go before anything else is read, since what they kept apart may be notation without them."""
         if SENTINEL.search(self.text):
-            return Parsed(SENTINEL.sub("", self.source)).serialize()
+            return Parsed(SENTINEL.sub("", self.source), self.quoted_from).serialize()
         put = lambda m: source_of(n) if (n := self.place.get(m.start())) else ""
         out = re.sub("\n{3,}", "\n\n", SENTINEL.sub(put, self.normalized))
         return isolate_rules(out) if _RULE.search(out) else out

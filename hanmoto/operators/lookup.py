@@ -120,10 +120,41 @@ def contains_inlines(kind: Column) -> Column:
     return kind.isin(HOLDER_KINDS)
 
 
-def targets_precede(df: DataFrame, text: str, cutoff: str, targets: str, out: str = "precede") -> DataFrame:
-    """Whether every target occurs before the byte ``cutoff`` of the text."""
+#: Different quoted texts of a document from which the stricter rule for targets, where it is asked for, looks at quotes only.
+QUOTED_FROM = 64
+
+
+def quoted_texts(text: Column) -> Column:
+    """``body, at`` for each opening quote: the text up to the next closing quote, if there is any, and the byte where the quote is opened."""
+    none = F.array().cast("array<struct<body:string,at:bigint>>")
+    after = lambda p, k: F.array_join(F.slice(p, k, F.size(p)), "「")
+    before = lambda p, k: F.octet_length(F.array_join(F.slice(p, F.lit(1), k - 1), "「"))
+
+    def opened(stretch: Column, at: Column) -> Column:
+        each = lambda p: F.transform(F.sequence(F.lit(2), F.size(p)), lambda k: F.struct(after(p, k).alias("body"), (at + before(p, k)).alias("at")))
+        return F.when(stretch.contains("「"), X.let(F.split(stretch, "「"), each)).otherwise(none)
+
+    def all_of(stretches: Column) -> Column:
+        sizes = F.transform(stretches, lambda x: (F.octet_length(x) + 3).cast("long"))
+        starts = X.let(sizes, lambda n: X.running_sums(n))
+        return X.let(starts, lambda s: F.flatten(F.transform(stretches, lambda x, i: opened(x, F.get(s, i)))))
+
+    closed = X.let(F.split(text, "」"), lambda p: F.slice(p, F.lit(1), F.size(p) - 1))
+    return F.filter(X.let(closed, all_of), lambda q: q["body"] != "")
+
+
+def targets_precede(df: DataFrame, text: str, cutoff: str, targets: str, out: str = "precede", quoted_from: int | None = None) -> DataFrame:
+    """Whether every target occurs before the byte ``cutoff`` of the text.
+
+    With ``quoted_from``, in texts with at least so many different quoted texts a target must be one of these, opened before the cutoff.
+    """
     before = X.byte_slice(F.col(text), F.lit(0), F.col(cutoff))
-    return df.withColumn(out, F.forall(targets, lambda t: F.position(t, before) > 0))
+    anywhere = F.forall(targets, lambda t: F.position(t, before) > 0)
+    if quoted_from is None:
+        return df.withColumn(out, anywhere)
+    quoted = lambda q: F.forall(targets, lambda t: F.exists(q, lambda x: (x["body"] == t) & (x["at"] < F.col(cutoff))))
+    many = lambda q: F.size(F.array_distinct(F.transform(q, lambda x: x["body"]))) >= quoted_from
+    return df.withColumn(out, X.let(quoted_texts(F.col(text)), lambda q: F.when(many(q), quoted(q)).otherwise(anywhere)))
 
 
 def compare_shares(before: DataFrame, after: DataFrame, key: str, share: str) -> DataFrame:

@@ -43,8 +43,11 @@ def schema_of(parts: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(k, T._parse_datatype_string(PARTS[k][0])) for k in parts])
 
 
-def parse(df: DataFrame, parts: Sequence[str], source: str = "source", out: str = "parsed") -> DataFrame:
-    """Adds the struct ``out`` with the named parts."""
+def parse(df: DataFrame, parts: Sequence[str], source: str = "source", out: str = "parsed", quoted_from: int | None = None) -> DataFrame:
+    """Adds the struct ``out`` with the named parts.
+
+    With ``quoted_from``, targets of forward annotations must have been quoted before in texts with at least so many different quotes.
+    """
     struct = schema_of(parts)
     schema = T.StructType([*df.schema.fields, T.StructField(out, struct)])
     arrow, at = to_arrow_type(struct), df.columns.index(source)
@@ -58,7 +61,7 @@ def parse(df: DataFrame, parts: Sequence[str], source: str = "source", out: str
                 b = batch.slice(lo, ROWS)
                 rows = []
                 for text in b.column(at).to_pylist():
-                    p = None if text is None else Parsed(text)
+                    p = None if text is None else Parsed(text, quoted_from)
                     rows.append({k: None if p is None else make(p) for k, make in makers})
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, arrow)], [*b.schema.names, out])
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import tables as V
 from ..functions import text as X
 from ..operators import conformance, lookup, parse, pattern, stats, trace, wire
-from ..sources import corpus
+from ..sources import corpus, packed
 from ..streaming import watch
+from .fixed_cases import FIXED_CASES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -327,6 +328,27 @@ def html_plain(spark, d):
     return p.select("doc_id", F.sha2("parsed.html", 256).alias("html"))
 
 
+@query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'bouten' AS anywhere, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 'annotation' ELSE 'bouten' END AS quoted FROM customer""")
+def quoted_targets(spark, d):
+    """A name with emphasis after many or few quotes, itself quoted or not: by the plain rule, and by the one that asks for a quote where there are many."""
+    many = F.array_join(F.transform(F.sequence(lit(1), F.when(F.col("c_custkey") % 2 == 0, 70).otherwise(10)), lambda i: F.concat(lit("「q"), i.cast("string"), lit("」"))), "")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(lit("「"), "c_name", lit("」"))).otherwise(F.col("c_name"))
+    own = t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(many, name, lit("［＃「"), "c_name", lit("」に傍点］")).alias("source"))
+    both = parse.parse(parse.parse(own, ["nodes"], out="_a"), ["nodes"], out="_b", quoted_from=lookup.QUOTED_FROM)
+    return both.select("doc_id", F.element_at("_a.nodes.kind", -1).alias("anywhere"), F.element_at("_b.nodes.kind", -1).alias("quoted"))
+
+
+@query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, true AS anywhere, c_custkey % 3 = 0 AS quoted FROM customer""")
+def quoted_targets_precede(spark, d):
+    """The same test on columns: names that stand as text or as a quote before a cutoff, among so many quotes that these decide."""
+    many = F.array_join(F.transform(F.sequence(lit(1), lit(80)), lambda i: F.concat(lit("「q"), i.cast("string"), lit("」"))), "")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(lit("「"), "c_name", lit("」"))).otherwise(F.col("c_name"))
+    own = t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(many, name).alias("before"), F.array("c_name").alias("targets"))
+    own = own.select("doc_id", "targets", F.octet_length("before").alias("cut"), F.concat("before", lit("「"), F.col("targets")[0], lit("」")).alias("text"))
+    both = lookup.targets_precede(lookup.targets_precede(own, "text", "cut", "targets", "anywhere"), "text", "cut", "targets", "quoted", quoted_from=lookup.QUOTED_FROM)
+    return both.select("doc_id", "anywhere", "quoted")
+
+
 @query(r"""SELECT doc_id, sha256(regexp_replace(replace(text, chr(10), repeat(chr(10), CAST(1 + doc_id % 4 AS INT))), '\n\n\n+', chr(10) || chr(10), 'g')) AS serialized FROM documents""")
 def serialize_plain(spark, d):
     raw = F.replace("text", lit("\n"), F.repeat(lit("\n"), (F.col("doc_id") % 4 + 1).cast("int")))
@@ -680,6 +702,16 @@ def incremental_pack(spark, d):
     return corpus.pack_plan(new, old).groupBy("action").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT CAST(doc_id AS VARCHAR) || '.txt' AS label, CAST(doc_id AS BIGINT) AS mtime_ns, CAST(strlen(text) AS BIGINT) AS decoded_len, sha256(text) AS payload FROM documents""")
+def packed_archive(spark, d):
+    """All documents written as packed files and read back in ranges of entries."""
+    packed.register(spark)
+    own = t(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), lit(".txt")).alias("label"), F.col("doc_id").alias("mtime_ns"), F.encode("text", "UTF-8").alias("content"))
+    path = _new_folder(spark, "packed")
+    corpus.archive_rows(own, utf8=False).write.format("packed_corpus").mode("append").save(path)
+    return spark.read.format("packed_corpus").load(path).select("label", "mtime_ns", "decoded_len", F.sha2("payload", 256).alias("payload"))
+
+
 # Traces, with events as samples: a frame for each type, every second one called from the one before
 
 
@@ -825,6 +857,29 @@ def golden_cases(spark, d):
     return p.select("case", "k", "parsed.html", "parsed.serialized", F.size("parsed.diagnostics").alias("n_diagnostics"), F.size("parsed.container_pairs").alias("n_container_pairs"))
 
 
+_CASE_COLUMNS = ["html", "serialized", "nodes_json", "pairs_json", "diagnostics_json", "container_pairs_json"]
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_CASES_SQL = ", ".join(f"({i}, {', '.join(map(_quoted, (c[0], *c[3:])))})" for i, c in enumerate(FIXED_CASES))
+
+
+@query(f"""SELECT CAST(c_custkey AS BIGINT) AS doc_id, "case", {", ".join(_CASE_COLUMNS)} FROM customer JOIN (VALUES {_CASES_SQL}) AS v(i, "case", {", ".join(_CASE_COLUMNS)}) ON c_custkey % {len(FIXED_CASES)} = i""")
+def fixed_cases(spark, d):
+    """Each customer's case (a fixed list, broadcast) through all six projections."""
+    cases = F.broadcast(spark.createDataFrame([(i, c[0], c[2]) for i, c in enumerate(FIXED_CASES)], "i int, case string, source string"))
+    own = t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id")).join(cases, F.col("doc_id") % len(FIXED_CASES) == F.col("i")).select("doc_id", "case", "source")
+    p = parse.parse(own, ["html", "serialized", "nodes", "pair_links", "diagnostics", "container_pairs"])
+    json = {"nodes": "nodes", "pairs": "pair_links", "diagnostics": "diagnostics", "container_pairs": "container_pairs"}
+    return p.select("doc_id", "case", "parsed.html", "parsed.serialized", *[wire.wire_column(n, F.col(f"parsed.{k}")).alias(f"{n}_json") for n, k in json.items()])
+
+
+@query(f"""SELECT level, coalesce(n, 0) AS total, coalesce(n, 0) AS passed, 0 AS failed FROM (VALUES ('must'), ('should'), ('may')) AS l(level) LEFT JOIN (SELECT level, count(*) AS n FROM customer JOIN (VALUES {", ".join(f"({i}, '{c[1]}')" for i, c in enumerate(FIXED_CASES))}) AS v(i, level) ON c_custkey % {len(FIXED_CASES)} = i GROUP BY level) USING (level)""")
+def fixed_cases_summary(spark, d):
+    """The same cases by level: all pass."""
+    prefixed = lambda x: x.replace("@class-", V.CLASS_PREFIX).replace("@element_", V.ELEMENT_PREFIX)
+    cases = F.broadcast(spark.createDataFrame([(i, c[0], c[1], c[2], prefixed(c[3]), c[4]) for i, c in enumerate(FIXED_CASES)], "i int, case string, level string, source string, html string, serialized string"))
+    return conformance.summary(t(spark, d, "customer").select("c_custkey").join(cases, F.col("c_custkey") % len(FIXED_CASES) == F.col("i")).drop("c_custkey", "i"))
+
+
 @query("""SELECT level, coalesce(n, 0) AS total, coalesce(p, 0) AS passed, coalesce(n, 0) - coalesce(p, 0) AS failed FROM (VALUES ('must'), ('should'), ('may')) AS v(level) LEFT JOIN (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'may' ELSE 'must' END AS level, count(*) AS n, count(*) FILTER (WHERE c_custkey % 10 <> 0) AS p FROM customer GROUP BY 1) USING (level)""")
 def conformance_run(spark, d):
     """Cases whose expected output is made by hand; every tenth is wrong."""
