@@ -78,6 +78,22 @@ def match(numbers: Column) -> Column:
     return X.let(numbers, lambda d: F.when(F.size(d) > 0, folded(d)).when(d.isNotNull(), empty))
 
 
+def containers(nodes: Column) -> Column:
+    """Pairs of container openers and closers among a document's nodes, in the order of the closers, with the opener's kind and numbers.
+
+    A closer takes the last open container of any kind; closers without one and containers that stay open make no pair. This is the same fold:
+    a node's place in the array is its number, and all are of one kind.
+    """
+    numbers = F.transform(nodes, lambda n, i: F.when(n["node_ref"] == "blockOpen", i.cast("bigint") * 16 + 1).when(n["node_ref"] == "blockClose", i.cast("bigint") * 16))
+    own = F.filter(numbers, lambda n: n.isNotNull())
+
+    def row(p: Column) -> Column:
+        o, c = (F.get(nodes, F.shiftright(p[x], 4).cast("int")) for x in ("o", "c"))
+        return F.struct(o["attrs"]["container"].alias("kind"), o["attrs"]["amount"].alias("amount"), o["attrs"]["offset"].alias("offset"), o["norm_pos"].alias("open_norm"), c["norm_pos"].alias("close_norm"))
+
+    return F.transform(F.filter(match(own)["pairs"], lambda p: p["o"].isNotNull()), row)
+
+
 def kind(n: Column) -> Column:
     return F.get(F.array(*map(F.lit, PAIR_KINDS)), F.shiftright(n, 1).bitwiseAND(7).cast("int"))
 

@@ -100,7 +100,9 @@ def nodes(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFra
 
 
 def container_pairs(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-    return _exploded(df, "container_pairs", key, source)
+    """Containers by the order of their closers, matched in Column expressions over the nodes; documents without a bracket don't reach Python."""
+    own = df.select(key, source).filter(F.col(source).contains("［＃"))
+    return pairs.exploded(parse(own, ["nodes"], source).select(key, X.let(F.col("parsed.nodes"), pairs.containers).alias("_c")), F.col("_c"), key)
 
 
 def diagnostics(df: DataFrame, key: str = "doc_id", source: str = "source", internal: bool = False) -> DataFrame:

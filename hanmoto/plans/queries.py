@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as V
 from ..functions import text as X
-from ..operators import conformance, lookup, parse, pattern, stats, trace, wire
+from ..operators import conformance, lookup, parse, pattern, render, stats, trace, wire
 from ..sources import corpus, packed
 from ..streaming import watch
 from .fixed_cases import FIXED_CASES
@@ -267,6 +267,18 @@ def container_pairs(spark, d):
     return parse.container_pairs(own).drop("offset")
 
 
+@query("""WITH x AS (SELECT CAST(c_custkey AS BIGINT) AS k, CAST(strlen(c_name) AS INTEGER) AS n, c_custkey % 3 AS shape FROM customer)
+SELECT k AS doc_id, 0 AS seq, CASE shape WHEN 0 THEN 'alignEnd' ELSE 'indent' END AS kind, CASE shape WHEN 1 THEN 2 WHEN 2 THEN 3 END AS amount, CASE shape WHEN 2 THEN 16 + n ELSE 9 END AS open_norm, CASE shape WHEN 2 THEN 24 + n ELSE 16 + n END AS close_norm FROM x
+UNION ALL SELECT k, 1, 'keigakomi', NULL, 2, 23 + n FROM x WHERE shape < 2""")
+def container_shapes(spark, d):
+    """Nested containers, crossing ones (a closer ends the last open one of any kind), and a closer and an opener alone."""
+    nested = F.concat(lit("［＃罫囲み］［＃ここから地付き］"), "c_name", lit("［＃ここで地付き終わり］［＃罫囲み終わり］"))
+    crossing = F.concat(lit("［＃罫囲み］［＃ここから2字下げ］"), "c_name", lit("［＃罫囲み終わり］［＃ここで字下げ終わり］"))
+    alone = F.concat(lit("［＃ここで字下げ終わり］［＃罫囲み］"), "c_name", lit("［＃ここから3字下げ］a［＃ここで字下げ終わり］"))
+    own = t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 3 == 0, nested).when(F.col("c_custkey") % 3 == 1, crossing).otherwise(alone).alias("source"))
+    return parse.container_pairs(own).drop("offset")
+
+
 @query("""SELECT node_ref, n FROM (VALUES ('blockClose', 1), ('blockOpen', 1), ('inline', 1)) AS v(node_ref, k), (SELECT count(*) AS n FROM customer)""")
 def nodes_by_reference(spark, d):
     own = customers(spark, d).select("doc_id", F.concat(lit("［＃罫囲み］"), "source", lit("［＃罫囲み終わり］")).alias("source"))
@@ -324,8 +336,7 @@ def html_escape(spark, d):
 @query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), '\n\n+'), lambda x: trim(x, chr(10))), lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, sha256(coalesce(array_to_string(list_transform(l, lambda x: '<p>' || replace(x, chr(10), '<br />' || chr(10)) || '</p>' || chr(10)), ''), '')) AS html FROM p""")
 def html_plain(spark, d):
-    p = parse.parse(documents(spark, d), ["html"])
-    return p.select("doc_id", F.sha2("parsed.html", 256).alias("html"))
+    return render.render(t(spark, d, "documents").select("doc_id", F.col("text").alias("source"))).select("doc_id", F.sha2("html", 256).alias("html"))
 
 
 @query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'bouten' AS anywhere, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 'annotation' ELSE 'bouten' END AS quoted FROM customer""")
@@ -352,8 +363,16 @@ def quoted_targets_precede(spark, d):
 @query(r"""SELECT doc_id, sha256(regexp_replace(replace(text, chr(10), repeat(chr(10), CAST(1 + doc_id % 4 AS INT))), '\n\n\n+', chr(10) || chr(10), 'g')) AS serialized FROM documents""")
 def serialize_plain(spark, d):
     raw = F.replace("text", lit("\n"), F.repeat(lit("\n"), (F.col("doc_id") % 4 + 1).cast("int")))
-    p = parse.parse(parse.spread(t(spark, d, "documents").select("doc_id", raw.alias("source"))), ["serialized"])
-    return p.select("doc_id", F.sha2("parsed.serialized", 256).alias("serialized"))
+    own = render.render(t(spark, d, "documents").select("doc_id", raw.alias("source")), ["serialized"])
+    return own.select("doc_id", F.sha2("serialized", 256).alias("serialized"))
+
+
+@query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN '<p><ruby>' || c_name || '<rp>(</rp><rt>x</rt><rp>)</rp></ruby></p>' || chr(10) ELSE '<p>' || c_name || '<br />' || chr(10) || c_mktsegment || '</p>' || chr(10) END AS html,
+CASE WHEN c_custkey % 3 = 0 THEN '｜' || c_name || '《x》' ELSE c_name || chr(10) || c_mktsegment END AS serialized FROM customer""")
+def render_mixed(spark, d):
+    """Texts with and without notation in one table: the plan has both ways."""
+    source = F.when(F.col("c_custkey") % 3 == 0, F.concat(lit("｜"), "c_name", lit("《x》"))).otherwise(F.concat("c_name", lit("\n"), "c_mktsegment"))
+    return render.render(t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), source.alias("source")), ["html", "serialized"]).drop("source")
 
 
 @query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, CASE WHEN c_custkey % 2 = 1 THEN '漢《' || c_name || '》' ELSE '｜漢《' || c_name || '》' END AS source, '｜漢《' || c_name || '》' AS serialized, c_custkey % 2 = 1 AS changed FROM customer""")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hanmoto.functions import text as X
-from hanmoto.operators import lookup, parse, pattern, stats, trace, wire
+from hanmoto.operators import lookup, parse, pattern, render, stats, trace, wire
 from hanmoto.operators.kernel import Parsed, pair_up, sanitize
 from hanmoto.sources import corpus, packed
 from hanmoto.streaming import watch
@@ -404,3 +404,29 @@ def test_packed_source_leaves_nothing_of_failed_writes(spark, tmp_path):
     (tmp_path / "bad").write_bytes(b"AOZC\x02\0\0\0")
     with pytest.raises(Exception, match="not a packed corpus"):
         spark.read.format("packed_corpus").load(str(tmp_path / "bad")).count()
+
+
+def test_native_containers_are_the_kernels(spark):
+    r = random.Random(5)
+    marks = ["［＃罫囲み］", "［＃罫囲み終わり］", "［＃ここから2字下げ］", "［＃ここで字下げ終わり］", "［＃ここから地から3字上げ］", "［＃ここで地付き終わり］", "字", "\n", "漢《かん》", "［＃改ページ］", "［＃謎］"]
+    rows = [(i, "".join(r.choice(marks) for _ in range(r.randint(0, 40)))) for i in range(120)] + [(500, None), (501, ""), (502, marks[0] * 300 + marks[3] * 200)]
+    got = {}
+    for q in parse.container_pairs(spark.createDataFrame(rows, "doc_id long, source string").repartition(3)).orderBy("doc_id", "seq").collect():
+        got.setdefault(q.doc_id, []).append(tuple(q)[2:])
+    for i, s in rows:
+        assert got.get(i, []) == [tuple(c.values()) for c in Parsed(s or "").container_pairs()], i
+
+
+def test_native_rendering_is_the_kernels(spark):
+    r = random.Random(6)
+    pieces = ["a", "日", "\n", "\n\n", "\r\n", "\r", "<&>\"'", "</p>", "<p>", "﻿", "\n----------\n", "==========", " ", "　", "", "\n"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(400)] + [None, "", "\n", "漢《かん》", "x［＃改ページ］"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, source string").repartition(3)
+    got = {q.doc_id: q for q in render.render(df, ["html", "serialized"]).collect()}
+    only = {q.doc_id: q for q in render.render(df, ["serialized"]).collect()}
+    assert len(got) == len(texts)
+    for i, s in enumerate(texts):
+        assert got[i].html == (None if s is None else Parsed(s).html()), repr(s)
+        assert got[i].serialized == only[i].serialized == (None if s is None else Parsed(s).serialize()), repr(s)
+    plain = render.render(df.filter("doc_id < 400").withColumn("source", F.regexp_replace("source", "[-]", "")), ["html", "serialized"])
+    assert "Python" not in _plan(plain) and "Arrow" not in _plan(plain)
