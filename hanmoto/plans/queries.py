@@ -13,7 +13,7 @@ from ..functions import tables as V
 from ..functions import text as X
 from ..operators import conformance, lookup, parse, pattern, render, stats, trace, wire
 from ..sources import corpus, packed
-from ..streaming import watch
+from ..streaming import packing, watch
 from .fixed_cases import FIXED_CASES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -731,6 +731,20 @@ def packed_archive(spark, d):
     return spark.read.format("packed_corpus").load(path).select("label", "mtime_ns", "decoded_len", F.sha2("payload", 256).alias("payload"))
 
 
+@query("""WITH e AS (SELECT CAST(doc_id AS VARCHAR) AS label, doc_id AS i FROM documents), g AS (SELECT label, i, 24 + CASE WHEN i % 4 = 3 THEN 0 ELSE 1 END AS gone FROM e)
+SELECT label, 'encode' AS action, CAST(0 AS BIGINT) AS "hour" FROM e UNION ALL SELECT label, CASE WHEN i % 3 = 0 THEN 'encode' ELSE 'reuse' END, 1 FROM e WHERE i % 4 <> 3 UNION ALL SELECT label, 'removed', gone FROM g UNION ALL SELECT label, 'encode', 48 FROM e WHERE i % 5 <> 0""")
+def stream_pack(spark, d):
+    """Documents delivered as a stream at hours 0, 1 (most, a third of them changed) and 48 (most): what to encode, what to reuse, what is gone after a day."""
+    schema = t(spark, d, "documents").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*")
+    i = F.col("doc_id")
+    at = F.filter(F.array(lit(0), F.when(i % 4 != 3, 1), F.when(i % 5 != 0, 48)), lambda h: h.isNotNull())
+    each = stream.select("doc_id", "text", F.explode(at).alias("h"))
+    changed = F.when((F.col("h") == 1) & (i % 3 == 0), F.concat("text", lit("x"))).otherwise(F.col("text"))
+    own = each.select(i.cast("string").alias("label"), F.timestamp_seconds(F.col("h") * 3600 + 1_704_067_200).alias("seen"), lit(1).cast("long").alias("mtime_ns"), F.unhex(F.sha2(changed, 256)).alias("source_hash"))
+    return watch.run_once(packing.pack_stream(own), _new_folder(spark, "packing")).select("label", "action", F.floor((F.unix_seconds("seen") - 1_704_067_200) / 3600).alias("hour"))
+
+
 # Traces, with events as samples: a frame for each type, every second one called from the one before
 
 

@@ -1,5 +1,6 @@
 """The engine on DataFrames beyond the registered queries: sources, sinks, streams, traces, functions on odd rows."""
 
+import datetime as dt
 import gzip
 import json
 import random
@@ -15,7 +16,7 @@ from hanmoto.functions import text as X
 from hanmoto.operators import lookup, parse, pattern, render, stats, trace, wire
 from hanmoto.operators.kernel import Parsed, pair_up, sanitize
 from hanmoto.sources import corpus, packed
-from hanmoto.streaming import watch
+from hanmoto.streaming import packing, watch
 
 TEXTS = [
     "｜青梅《おうめ》\n《《《x》》》", "", None, "a\r\nb", "﻿〔e'〕\n----------", "前\n==========\n後", "［＃ここから2字下げ］字［＃ここで字下げ終わり］", "「" * 80 + "」" * 79, "x", "plain\n\n\n\ntext", "𠮷※［＃「木」］",
@@ -430,3 +431,27 @@ def test_native_rendering_is_the_kernels(spark):
         assert got[i].serialized == only[i].serialized == (None if s is None else Parsed(s).serialize()), repr(s)
     plain = render.render(df.filter("doc_id < 400").withColumn("source", F.regexp_replace("source", "[-]", "")), ["html", "serialized"])
     assert "Python" not in _plan(plain) and "Arrow" not in _plan(plain)
+
+
+def test_packing_of_a_stream(spark, tmp_path):
+    hour = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    schema = "label string, seen timestamp, mtime_ns long, source_hash binary"
+    batches = [
+        [("a", hour(0), 1, b"x"), ("b", hour(0), 1, b"x"), (None, hour(0), None, None), ("a", None, 1, b"x")],
+        [("a", hour(1), 1, b"x"), ("b", hour(1), 2, b"x"), ("b", hour(2), 2, b"y"), ("b", hour(3), 2, b"y"), (None, hour(3), None, None)],
+        [("c", hour(30), 1, b"z")],
+        [("a", hour(31), 1, b"x"), ("c", hour(31), 1, b"z")],
+    ]
+    found = []
+    for n, at_once in enumerate((1, 4)):
+        root, out = tmp_path / f"in{n}", tmp_path / f"out{n}"
+        root.mkdir()
+        for lo in range(0, 4, at_once):
+            for i, rows in enumerate(batches[lo : lo + at_once]):
+                spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(root / f"{lo + i}"))
+            stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(root))
+            # a new query from the same checkpoint each time
+            watch.run_once(packing.pack_stream(stream), str(out))
+        found.append(sorted((q.label or "", q.seen, q.action) for q in spark.read.parquet(str(out / "rows")).collect()))
+    want = [("", 0, "encode"), ("", 3, "reuse"), ("", 27, "removed"), ("a", 0, "encode"), ("a", 1, "reuse"), ("a", 25, "removed"), ("a", 31, "encode"), ("b", 0, "encode"), ("b", 1, "encode"), ("b", 2, "encode"), ("b", 3, "reuse"), ("b", 27, "removed"), ("c", 30, "encode"), ("c", 31, "reuse")]
+    assert found[0] == found[1] == sorted((k, hour(h), a) for k, h, a in want)
