@@ -10,9 +10,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import frame_label, row_kind
-from .lookup import compare_shares
+from .lookup import compare_shares, node_at
 from .settle import settled
 
 UNATTRIBUTED = "(unattributed)"
@@ -28,16 +29,31 @@ class Trace:
 
 
 def frames_of(frame: DataFrame, func: DataFrame, string: DataFrame, resource: DataFrame, libs: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """The star lookup: frame to function to name, and to resource to library. ``symbols`` (library, address, name) resolves addresses."""
+    """The star lookup: frame to function to name, and to resource to library. ``symbols`` (as in ``symbolized``) resolves addresses."""
     f = frame.join(func, ["tid", "func_idx"]).join(string.withColumnRenamed("value", "_name"), ["tid", "name_idx"], "left")
     f = f.join(resource, ["tid", "resource_idx"], "left").join(libs.select("lib_idx", F.col("name").alias("library")), "lib_idx", "left")
     label = frame_label(F.col("_name"), F.col("address"))
     if symbols is not None:
-        f = f.join(symbols.select(F.col("library").alias("_lib"), F.col("address").alias("_at"), F.col("name").alias("_symbol")), (F.col("library").eqNullSafe(F.col("_lib"))) & (F.col("address") == F.col("_at")), "left")
+        f = symbolized(f, symbols, "_symbol")
         label = F.coalesce("_symbol", label)
     return f.select("tid", "frame_idx", label.alias("label"), "library")
 
 
+def symbolized(frames: DataFrame, symbols: DataFrame, out: str = "symbol") -> DataFrame:
+    """Adds the name of the function that holds each ``address`` of a ``library``, null if none does.
+
+    ``symbols`` has ``library, address, name`` and may have ``size``: a function without one, or of none, reaches to the next of its library. The search is by
+    position in the ordered union of addresses and functions. A null library is a library of its own.
+    """
+    known = F.coalesce("library", F.lit("\0"))
+    own = symbols.select(known.alias("_of"), F.col("address").cast("long").alias("start"), F.col("name").alias("kind"), (F.col("size") if "size" in symbols.columns else F.lit(None)).cast("long").alias("_size")).filter("start is not null")
+    after = F.min("start").over(Window.partitionBy("_of").orderBy("start").rangeBetween(1, Window.unboundedFollowing))
+    end = F.when(F.col("_size") > 0, F.col("start") + F.col("_size")).otherwise(F.coalesce(after, F.lit((1 << 63) - 1)))
+    spans = own.withColumn("end", end)
+    found = node_at(frames.withColumn("_of", known), spans, "_of", "address")
+    return found.withColumnRenamed("node_kind", out).drop("_of", "node_start", "node_end")
+
+
 def load(spark: SparkSession, path: str) -> Trace:
     """Profiles as JSON documents, gzip by their name's ending, a file each; columns of a thread's tables become rows."""
     from pyspark.sql import types as T

@@ -745,6 +745,15 @@ def stream_pack(spark, d):
     return watch.run_once(packing.pack_stream(own), _new_folder(spark, "packing")).select("label", "action", F.floor((F.unix_seconds("seen") - 1_704_067_200) / 3600).alias("hour"))
 
 
+@query("""SELECT l_orderkey AS k, l_suppkey * 100 + l_partkey % 100 AS address, CASE WHEN l_partkey % 100 < 60 THEN s_name END AS symbol, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""")
+def symbol_ranges(spark, d):
+    """Suppliers as functions of 60 bytes in libraries by nation, lines as addresses in or after them."""
+    s = t(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("library"), (F.col("s_suppkey") * 100).alias("address"), F.col("s_name").alias("name"), lit(60).alias("size"))
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_suppkey", (F.col("l_suppkey") * 100 + F.col("l_partkey") % 100).alias("address"))
+    frames = lines.join(s.select("s_suppkey", "library"), F.col("l_suppkey") == F.col("s_suppkey")).select("k", "library", "address")
+    return trace.symbolized(frames, s).groupBy("k", "address", "symbol").agg(F.count("*").alias("n"))
+
+
 # Traces, with events as samples: a frame for each type, every second one called from the one before
 
 

@@ -455,3 +455,12 @@ def test_packing_of_a_stream(spark, tmp_path):
         found.append(sorted((q.label or "", q.seen, q.action) for q in spark.read.parquet(str(out / "rows")).collect()))
     want = [("", 0, "encode"), ("", 3, "reuse"), ("", 27, "removed"), ("a", 0, "encode"), ("a", 1, "reuse"), ("a", 25, "removed"), ("a", 31, "encode"), ("b", 0, "encode"), ("b", 1, "encode"), ("b", 2, "encode"), ("b", 3, "reuse"), ("b", 27, "removed"), ("c", 30, "encode"), ("c", 31, "reuse")]
     assert found[0] == found[1] == sorted((k, hour(h), a) for k, h, a in want)
+
+
+def test_addresses_inside_functions(spark):
+    symbols = spark.createDataFrame([("a", 100, "f", 50), ("a", 200, "g", None), ("a", 300, "h", 0), (None, 10, "n", 5), ("b", 100, "last", None), ("b", None, "x", 1)], "library string, address long, name string, size long")
+    asked = [("a", 99, None), ("a", 100, "f"), ("a", 149, "f"), ("a", 150, None), ("a", 200, "g"), ("a", 299, "g"), ("a", 300, "h"), ("a", 1 << 62, "h"), (None, 12, "n"), (None, 15, None), ("b", 1 << 40, "last"), ("c", 100, None), ("a", None, None), ("a", 200, "g")]
+    frames = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "i int, library string, address long, want string").repartition(3)
+    assert all(q.symbol == q.want for q in trace.symbolized(frames, symbols).collect()) and trace.symbolized(frames, symbols).count() == len(asked)
+    plain = trace.symbolized(frames.drop("want"), symbols.drop("size")).collect()
+    assert {q.i: q.symbol for q in plain}[3] == "f"
