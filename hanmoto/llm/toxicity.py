@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 #: Texts of either label in the training sample, bytes of one of them, bytes of all of one label.
 MOST_TOXIC, MOST_CLEAN, MOST_BYTES, SAMPLE_BYTES = 1500, 3000, 100_000, 24 << 20
-WINDOW, STRIDE, HIDDEN, DIM, ATTENTION = 32, 16, 8, 16, 8
+WINDOW, STRIDE, HIDDEN, DIM, ATTENTION = 32, 4, 8, 16, 8
 #: Rows of the n-gram table, n-gram lengths, documents a word needs to get its own vector, most such words.
 GRAMS, LENGTHS, FEWEST, MOST_WORDS = 1 << 15, (3, 4, 5, 6), 4, 30_000
 UPDATES, PASSES, BATCH, RATE = 420, 20, 16, 0.012
