@@ -829,15 +829,24 @@ _KINDS = """('ruby', '@element_ruby'), ('bouten', '@element_bouten'), ('tateChuY
 ('container', '@element_container'), ('containerOpen', '@element_container'), ('containerClose', '@element_container')"""
 
 
-@query(f"SELECT * FROM (VALUES {_KINDS}) AS v(kind, element)")
+def _picked(names: list[str], name: str) -> str:
+    """SQL for each customer's one of some names."""
+    return f"(SELECT CAST(c_custkey AS BIGINT) AS doc_id, ([{', '.join(map(repr, names))}])[1 + CAST(c_custkey % {len(names)} AS INTEGER)] AS {name} FROM customer)"
+
+
+def _pick(spark, d, names: list[str], name: str) -> DataFrame:
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.get(F.array(*map(lit, names)), (F.col("c_custkey") % len(names)).cast("int")).alias(name))
+
+
+@query(f"SELECT doc_id, kind, element FROM {_picked(V.NODE_KINDS, 'kind')} JOIN (VALUES {_KINDS}) AS v(kind, element) USING (kind)")
 def node_kinds(spark, d):
-    return V.table(spark, "kinds")
+    """The element of each customer's kind."""
+    return _pick(spark, d, V.NODE_KINDS, "kind").join(F.broadcast(V.table(spark, "kinds")), "kind").select("doc_id", "kind", "element")
 
 
-@query("""SELECT kind, kind IN ('indent', 'alignEnd', 'warichu', 'keigakomi', 'pageBreak', 'sectionBreak', 'heading', 'sashie', 'container') AS is_block, kind IN ('heading', 'alignEnd', 'warichu', 'keigakomi', 'indent') AS contains_inlines
-FROM (VALUES ('ruby'), ('bouten'), ('tateChuYoko'), ('gaiji'), ('indent'), ('alignEnd'), ('warichu'), ('keigakomi'), ('pageBreak'), ('sectionBreak'), ('heading'), ('headingHint'), ('sashie'), ('kaeriten'), ('annotation'), ('doubleRuby'), ('container'), ('containerOpen'), ('containerClose')) AS v(kind)""")
+@query(f"""SELECT doc_id, kind, kind IN ('indent', 'alignEnd', 'warichu', 'keigakomi', 'pageBreak', 'sectionBreak', 'heading', 'sashie', 'container') AS is_block, kind IN ('heading', 'alignEnd', 'warichu', 'keigakomi', 'indent') AS contains_inlines FROM {_picked(V.NODE_KINDS, 'kind')}""")
 def block_kinds(spark, d):
-    return V.table(spark, "kinds").select("kind", lookup.is_block(F.col("kind")).alias("is_block"), lookup.contains_inlines(F.col("kind")).alias("contains_inlines"))
+    return _pick(spark, d, V.NODE_KINDS, "kind").select("doc_id", "kind", lookup.is_block(F.col("kind")).alias("is_block"), lookup.contains_inlines(F.col("kind")).alias("contains_inlines"))
 
 
 @query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE '｜漢《' || c_name || '》' END AS source, c_custkey % 3 = 1 AS changed FROM customer""")
@@ -853,9 +862,10 @@ _PARTNERS = """('ここから字下げ', 'ここで字下げ終わり', 'ここ
 ('割り注終わり', '割り注', '割り注終わり')"""
 
 
-@query(f"SELECT * FROM (VALUES {_PARTNERS}) AS v(slug, partner, back)")
+@query(f"SELECT doc_id, slug, partner, back FROM {_picked([x[0] for x in V.SLUGS], 'slug')} JOIN (VALUES {_PARTNERS}) AS v(slug, partner, back) USING (slug)")
 def slug_partners(spark, d):
-    return lookup.slug_partners(V.table(spark, "slugs"))
+    """The partner of each customer's slug, where it has one."""
+    return _pick(spark, d, [x[0] for x in V.SLUGS], "slug").join(F.broadcast(lookup.slug_partners(V.table(spark, "slugs"))), "slug").select("doc_id", "slug", "partner", "back")
 
 
 # (case, source, HTML, canonical source, diagnostics, container pairs); # stands for a name, ~ for a line end.
