@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import frame_label, row_kind
+from ..functions.text import frame_label, let, row_kind
 from .lookup import compare_shares, node_at
 from .settle import settled
 
@@ -70,6 +70,48 @@ def load(spark: SparkSession, path: str) -> Trace:
     return Trace(samples, rows("stack_idx", prefix="stackTable.prefix", frame_idx="stackTable.frame"), frames)
 
 
+def threads_of(profiles: DataFrame, profile: str = "profile") -> DataFrame:
+    """A row for each thread of JSON profiles: ``tid``, ``libs`` (names), and ``thread``, the whole thread as VARIANT, fields that nothing here knows included.
+
+    Profiles that aren't JSON, and null ones, have no threads; a thread without a number has the null one.
+    """
+    v = profiles.select(F.try_parse_json(profile).alias("_v"))
+    libs = F.transform(F.try_variant_get("_v", "$.libs", "array<variant>"), lambda x: F.try_variant_get(x, "$.name", "string"))
+    each = v.select(libs.alias("libs"), F.explode(F.try_variant_get("_v", "$.threads", "array<variant>")).alias("thread"))
+    return each.select(F.try_variant_get("thread", "$.tid", "long").alias("tid"), "libs", "thread")
+
+
+def from_threads(threads: DataFrame) -> Trace:
+    """The normalised tables of threads as VARIANT. Tables and columns that a profile lacks are empty; labels and libraries are looked up inside the row, without joins."""
+    own = lambda path, kind="array<int>": F.try_variant_get("thread", path, kind)
+    at = lambda values, i: F.when(i >= 0, F.get(values, i))
+
+    def rows(index: str, arrays: dict[str, Column], make) -> DataFrame:
+        """A row for each element of the first array; the arrays are read from the thread once."""
+
+        def each(s: Column) -> Column:
+            n = F.greatest(F.coalesce(F.size(s[next(iter(arrays))]), F.lit(0)), F.lit(0))
+            return F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i < n), lambda i: F.struct(*[c.alias(k) for k, c in make(s, i).items()]))
+
+        listed = let(F.struct(*[c.alias(k) for k, c in arrays.items()]), each)
+        return threads.select("tid", F.posexplode(listed).alias(index, "_x")).select("tid", index, "_x.*")
+
+    samples = rows("sample_idx", {"stack": own("$.samples.stack"), "weight": own("$.samples.weight", "array<long>")}, lambda s, i: {"stack_idx": F.get(s["stack"], i), "weight": F.coalesce(F.get(s["weight"], i), F.lit(1).cast("long"))})
+    stacks = rows("stack_idx", {"frame": own("$.stackTable.frame"), "prefix": own("$.stackTable.prefix")}, lambda s, i: {"prefix": F.get(s["prefix"], i), "frame_idx": F.get(s["frame"], i)})
+    tables = {
+        "func": own("$.frameTable.func"), "address": own("$.frameTable.address", "array<long>"), "name": own("$.funcTable.name"), "resource": own("$.funcTable.resource"),
+        "lib": own("$.resourceTable.lib"), "strings": own("$.stringArray", "array<string>"), "libs": F.col("libs"),
+    }
+    label = lambda s, i: frame_label(at(s["strings"], at(s["name"], F.get(s["func"], i))), F.get(s["address"], i))
+    library = lambda s, i: at(s["libs"], at(s["lib"], at(s["resource"], F.get(s["func"], i))))
+    return Trace(samples, stacks, rows("frame_idx", tables, lambda s, i: {"label": label(s, i), "library": library(s, i)}))
+
+
+def load_variant(spark: SparkSession, path: str) -> Trace:
+    """As ``load``, for profiles that have more or fewer tables and fields than it expects."""
+    return from_threads(threads_of(spark.read.option("wholetext", True).text(path), "value"))
+
+
 def _pct(part: Column, total: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(100.0 * part / total)
 

@@ -745,6 +745,25 @@ def stream_pack(spark, d):
     return watch.run_once(packing.pack_stream(own), _new_folder(spark, "packing")).select("label", "action", F.floor((F.unix_seconds("seen") - 1_704_067_200) / 3600).alias("hour"))
 
 
+@query("""SELECT event_type AS label, CASE WHEN user_id % 2 = 0 THEN 'lib' || (user_id % 4) END AS library, count(*) AS n, CAST(sum(user_id % 7 + 1) AS BIGINT) AS weight FROM events WHERE user_id IS NOT NULL GROUP BY ALL""")
+def variant_profiles(spark, d):
+    """Events as JSON profiles, one a user: those of odd users lack libraries and resources, all have a field that nobody knows."""
+    user = F.col("user_id")
+    e = t(spark, d, "events").filter(user.isNotNull()).groupBy("user_id").agg(F.collect_list("event_type").alias("types"))
+    n = F.sequence(lit(0), F.size("types") - 1)
+    one = lambda x: F.transform(n, lambda i: lit(x))
+    thread = F.struct(
+        user.alias("tid"), F.struct(n.alias("stack"), F.transform(n, lambda i: user % 7 + 1).alias("weight")).alias("samples"), F.struct(one(-1).alias("prefix"), n.alias("frame")).alias("stackTable"),
+        F.struct(one(0).alias("address"), n.alias("func")).alias("frameTable"), F.struct(n.alias("name"), F.when(user % 2 == 0, one(0)).alias("resource")).alias("funcTable"),
+        F.when(user % 2 == 0, F.struct(F.array(lit(0)).alias("lib"))).alias("resourceTable"), F.col("types").alias("stringArray"), lit("?").alias("unheardOf"),
+    )
+    libs = F.when(user % 2 == 0, F.array(F.struct(F.concat(lit("lib"), (user % 4).cast("string")).alias("name"))))
+    profiles = e.select(F.to_json(F.struct(libs.alias("libs"), F.array(thread).alias("threads"))).alias("profile"))
+    found = trace.from_threads(trace.threads_of(profiles))
+    hot = found.samples.join(found.stacks, ["tid", "stack_idx"]).join(found.frames, ["tid", "frame_idx"])
+    return hot.groupBy("label", "library").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
 @query("""SELECT l_orderkey AS k, l_suppkey * 100 + l_partkey % 100 AS address, CASE WHEN l_partkey % 100 < 60 THEN s_name END AS symbol, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""")
 def symbol_ranges(spark, d):
     """Suppliers as functions of 60 bytes in libraries by nation, lines as addresses in or after them."""

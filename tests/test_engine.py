@@ -464,3 +464,23 @@ def test_addresses_inside_functions(spark):
     assert all(q.symbol == q.want for q in trace.symbolized(frames, symbols).collect()) and trace.symbolized(frames, symbols).count() == len(asked)
     plain = trace.symbolized(frames.drop("want"), symbols.drop("size")).collect()
     assert {q.i: q.symbol for q in plain}[3] == "f"
+
+
+def test_variant_profiles(spark, tmp_path):
+    own = profile()
+    with gzip.open(tmp_path / "p.json.gz", "wt") as f:
+        json.dump(own, f)
+    both = trace.load(spark, str(tmp_path / "p.json.gz")), trace.load_variant(spark, str(tmp_path / "p.json.gz"))
+    for name in ("samples", "stacks", "frames"):
+        old, new = (sorted(map(str, (q.asDict() for q in getattr(t, name).select(*sorted(getattr(both[0], name).columns)).collect()))) for t in both)
+        assert old == new
+    bare = {"unheardOf": {"x": [1]}, "threads": [{"tid": 9, "samples": {"stack": [0, 0]}, "stackTable": {"frame": [0]}, "frameTable": {"func": [0], "address": [31]}, "more": [{}]}, {"name": "no tables"}]}
+    odd = trace.threads_of(spark.createDataFrame([(json.dumps(bare),), ("not json",), (None,), ("{}",)], "profile string"))
+    assert odd.count() == 2 and odd.filter("tid = 9").select(F.variant_get("thread", "$.more[0]", "string").alias("m")).first().m == "{}"
+    t = trace.from_threads(odd)
+    assert [(q.tid, q.stack_idx, q.weight) for q in t.samples.collect()] == [(9, 0, 1)] * 2 and [(q.label, q.library) for q in t.frames.collect()] == [("0x1f", None)]
+    assert [(q.prefix, q.frame_idx) for q in t.stacks.collect()] == [(None, 0)]
+    n = 40_000
+    large = {"threads": [{"tid": 1, "samples": {"stack": list(range(n))}, "stackTable": {"frame": [0] * n, "prefix": [None] * n}}]}
+    began = time.perf_counter()
+    assert trace.from_threads(trace.threads_of(spark.createDataFrame([(json.dumps(large),)], "profile string"))).samples.count() == n and time.perf_counter() - began < 30
