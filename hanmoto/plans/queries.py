@@ -279,6 +279,26 @@ def container_shapes(spark, d):
     return parse.container_pairs(own).drop("offset")
 
 
+@query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'unknown' WHEN 2 THEN 'warichuOpen' ELSE NULL END AS annotation_kind, CASE c_custkey % 4 WHEN 0 THEN '［＃' || c_name || '］' WHEN 1 THEN '［＃］' WHEN 2 THEN '［＃割り注］' END AS raw, c_custkey % 4 <> 3 AS found FROM customer""")
+def annotation_kinds(spark, d):
+    """Unknown bodies, empty ones, a keyword, and a bracket without its mark, which is text."""
+    k = F.col("c_custkey") % 4
+    source = F.when(k == 0, F.concat(lit("a［＃"), "c_name", lit("］"))).when(k == 1, F.concat("c_name", lit("［＃］"))).when(k == 2, F.concat("c_name", lit("［＃　割り注 ］"))).otherwise(F.concat(lit("［"), "c_name", lit("］")))
+    p = parse.parse(t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), source.alias("source")), ["nodes"])
+    node = F.get("parsed.nodes", 0)
+    return p.select("doc_id", node["attrs"]["annotation_kind"].alias("annotation_kind"), node["attrs"]["raw"].alias("raw"), node.isNotNull().alias("found"))
+
+
+@query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'text:' || c_name || ' gaiji:x=' || chr(CAST(19968 + c_custkey % 9000 AS INTEGER)) || ' text:' || c_mktsegment || ' annotation:［＃' || c_custkey || '］' AS reading FROM customer""")
+def nested_content(spark, d):
+    """A reading that holds text, a character by its code point, and an annotation."""
+    code = F.hex(F.col("c_custkey") % 9000 + 19968)
+    source = F.concat(lit("｜字《"), "c_name", lit("※［＃「x」、U+"), code, lit("］"), "c_mktsegment", lit("［＃"), F.col("c_custkey").cast("string"), lit("］》"))
+    p = parse.parse(t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), source.alias("source")), ["nodes"])
+    shown = lambda x: F.concat(x["seg_kind"], lit(":"), x["text"], F.coalesce(F.concat(lit("="), x["ucs"]), lit("")))
+    return p.select("doc_id", F.array_join(F.transform(F.get("parsed.nodes", 0)["attrs"]["reading"], shown), " ").alias("reading"))
+
+
 @query("""SELECT node_ref, n FROM (VALUES ('blockClose', 1), ('blockOpen', 1), ('inline', 1)) AS v(node_ref, k), (SELECT count(*) AS n FROM customer)""")
 def nodes_by_reference(spark, d):
     own = customers(spark, d).select("doc_id", F.concat(lit("［＃罫囲み］"), "source", lit("［＃罫囲み終わり］")).alias("source"))
@@ -773,6 +793,38 @@ def symbol_ranges(spark, d):
     return trace.symbolized(frames, s).groupBy("k", "address", "symbol").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT doc_id, doc_id % 3 = 0 AS bom FROM documents""")
+def bom_flags(spark, d):
+    own = t(spark, d, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, lit("\ufeff")).otherwise(""), "text").alias("text"))
+    return own.select("doc_id", corpus.has_bom(F.encode("text", "UTF-8")).alias("bom"))
+
+
+@query("""SELECT doc_id, CAST(strlen(text) AS INTEGER) AS n_bytes FROM documents ORDER BY strlen(text) DESC, doc_id LIMIT 20""")
+def largest_entries(spark, d):
+    """The feature is a report of the first 20; every document is compared."""
+    return stats.top(t(spark, d, "documents").select("doc_id", F.octet_length("text").alias("n_bytes")), 20, F.desc("n_bytes"), F.asc("doc_id"))
+
+
+@query("""SELECT p_partkey, regexp_matches(p_name, '[''`^:~&,/_]') AS marked FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || '_' ELSE replace(p_name, ',', '') END AS p_name FROM part)""")
+def accent_marks(spark, d):
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", lit("_"))).otherwise(F.replace("p_name", lit(","), lit("")))
+    return t(spark, d, "part").select("p_partkey", X.has_accent_mark(name).alias("marked"))
+
+
+@query("""SELECT l_orderkey AS tid, CAST(l_linenumber AS INTEGER) AS line, CASE WHEN l_partkey % 4 = 0 THEN '0x' || lower(to_hex(l_partkey * 16)) ELSE p_name END AS label, CASE WHEN l_partkey % 5 < 4 THEN r_name END AS library, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN region ON r_regionkey = l_partkey % 5 GROUP BY ALL""")
+def star_lookup(spark, d):
+    """Lines as frames of their order's thread, parts as functions with a name and a resource (every fifth has none), regions as libraries."""
+    lines, k = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")), F.col("l_partkey")
+    own = lines.select(F.col("l_orderkey").alias("tid"), F.col("l_linenumber").cast("int").alias("line"), k.alias("func_idx"), (k * 16).alias("address"), F.when(k % 4 != 0, F.col("p_name")).alias("value"), F.when(k % 5 < 4, k % 5).alias("resource_idx"))
+    frame = own.select("tid", F.struct("line", F.monotonically_increasing_id().alias("row")).alias("frame_idx"), "func_idx", "address")
+    func = own.select("tid", "func_idx", F.col("func_idx").alias("name_idx"), "resource_idx").distinct()
+    string = own.select("tid", F.col("func_idx").alias("name_idx"), "value").distinct()
+    resource = own.select("tid", "resource_idx", F.col("resource_idx").alias("lib_idx")).filter("resource_idx is not null").distinct()
+    libs = t(spark, d, "region").select(F.col("r_regionkey").alias("lib_idx"), F.col("r_name").alias("name"))
+    found = trace.frames_of(frame, func, string, resource, libs)
+    return found.select("tid", F.col("frame_idx.line").alias("line"), "label", "library").groupBy("tid", "line", "label", "library").agg(F.count("*").alias("n"))
+
+
 # Traces, with events as samples: a frame for each type, every second one called from the one before
 
 
