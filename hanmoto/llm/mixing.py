@@ -81,7 +81,7 @@ def pivot(p: np.ndarray, size: np.ndarray, r: np.random.Generator) -> np.ndarray
 
 def _round(level: int):
     def f(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "key", "tie"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["size", "none", "key", "tie"], ascending=[False, True, True, True], kind="stable")
         name = f"{level}|{rows['source'].iloc[0]}|{rows['slice'].iloc[0]}"
         return rows.assign(p=pivot(rows["p"].to_numpy(), rows["size"].to_numpy(), np.random.default_rng(zlib.crc32(name.encode()))))
 
@@ -111,6 +111,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 def rounded(todo: DataFrame) -> DataFrame:
     """``p`` of a table of ``source, slice, key, tie, size, p`` made 0 or 1."""
+    # a column with nulls would come to pandas as floating point, which large keys overflow
+    todo = todo.withColumn("none", F.col("key").isNull()).withColumn("key", F.coalesce("key", F.lit(0).cast(todo.schema["key"].dataType)))
     done, level = None, 0
     while True:
         out = materialize(todo.groupBy("source", "slice").applyInPandas(_round(level), todo.schema), "rounded")
