@@ -27,7 +27,7 @@ LATIN = {
 }
 _OTHER = re.compile("[^\x00-\u024f]|\u0130")
 #: Characters of text encoded at a time; words and characters that the cache may hold.
-CHUNK, WORDS, CHARS = 1 << 19, 150_000, 1 << 22
+CHUNK, WORDS, CHARS = 1 << 19, 300_000, 1 << 23
 
 
 def _beyond_latin(text: str) -> bool:
