@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.tables import BLOCK_KINDS, GAIJI_DESCRIPTIONS, HOLDER_KINDS, table
+from .parse import spread
 
 
 def canonical_slug(df: DataFrame, slug: str, out: str = "canonical") -> DataFrame:
@@ -154,7 +155,7 @@ def targets_precede(df: DataFrame, text: str, cutoff: str, targets: str, out: st
         return df.withColumn(out, anywhere)
     quoted = lambda q: F.forall(targets, lambda t: F.exists(q, lambda x: (x["body"] == t) & (x["at"] < F.col(cutoff))))
     many = lambda q: F.size(F.array_distinct(F.transform(q, lambda x: x["body"]))) >= quoted_from
-    return df.withColumn(out, X.let(quoted_texts(F.col(text)), lambda q: F.when(many(q), quoted(q)).otherwise(anywhere)))
+    return spread(df).withColumn(out, X.let(quoted_texts(F.col(text)), lambda q: F.when(many(q), quoted(q)).otherwise(anywhere)))
 
 
 def compare_shares(before: DataFrame, after: DataFrame, key: str, share: str) -> DataFrame:

@@ -37,14 +37,16 @@ PARTS = {
 }
 #: Rows of a batch parsed together, which bounds what a worker holds.
 ROWS = 256
+#: Partitions a core that texts are dealt out to before they are read.
+TASKS = 4
 
 
 def schema_of(parts: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(k, T._parse_datatype_string(PARTS[k][0])) for k in parts])
 
 
-def parse(df: DataFrame, parts: Sequence[str], source: str = "source", out: str = "parsed", quoted_from: int | None = None) -> DataFrame:
-    """Adds the struct ``out`` with the named parts.
+def parse(df: DataFrame, parts: Sequence[str], source: str = "source", out: str = "parsed", quoted_from: int | None = None, dealt: bool = False) -> DataFrame:
+    """Adds the struct ``out`` with the named parts. Rows are dealt out to all cores first (``spread``) unless ``dealt`` says that they are.
 
     With ``quoted_from``, targets of forward annotations must have been quoted before in texts with at least so many different quotes.
     """
@@ -65,16 +67,20 @@ def parse(df: DataFrame, parts: Sequence[str], source: str = "source", out: str
                     rows.append({k: None if p is None else make(p) for k, make in makers})
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, arrow)], [*b.schema.names, out])
 
-    return df.mapInArrow(f, schema)
+    return (df if dealt else spread(df)).mapInArrow(f, schema)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table that is read in fewer splits than there are cores is dealt out to all of them before the kernel; larger tables stay as they are.
+    """Rows dealt out by their hash to four partitions a core. Streams stay as they are.
 
-    For tables that are read, not computed: asking for the splits of a plan with a shuffle would run it.
+    Reading a row costs far more here than moving it, and a file of few row groups is read by as few tasks, however many splits it has. By hash and not in turns,
+    since Spark sorts what it deals in turns; only rows that are equal in all plain columns go together.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    if df.isStreaming:
+        return df
+    plain = (T.StringType, T.BinaryType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    keys = [F.col(f"`{f.name.replace('`', '``')}`") for f in df.schema.fields if isinstance(f.dataType, plain) and df.columns.count(f.name) == 1]
+    return df.repartition(TASKS * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def _exploded(df: DataFrame, part: str, key: str, source: str, seq: str = "seq") -> DataFrame:
@@ -88,7 +94,7 @@ def pair_events(df: DataFrame, key: str = "doc_id", source: str = "source") -> D
 
 def pair_links(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
     """Pairs in the order of their closers, without Python."""
-    return pairs.exploded(df, pairs.links(X.sanitize(F.col(source))), key)
+    return pairs.exploded(spread(df.select(key, source)), pairs.links(X.sanitize(F.col(source))), key)
 
 
 def spans(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -107,13 +113,13 @@ def container_pairs(df: DataFrame, key: str = "doc_id", source: str = "source")
 
 def diagnostics(df: DataFrame, key: str = "doc_id", source: str = "source", internal: bool = False) -> DataFrame:
     """Without those of internal origin unless asked for (there are none); no Python."""
-    found = pairs.exploded(df, pairs.diagnostics(X.sanitize(F.col(source))), key)
+    found = pairs.exploded(spread(df.select(key, source)), pairs.diagnostics(X.sanitize(F.col(source))), key)
     return found if internal else found.filter("source <> 'internal'")
 
 
 def check(df: DataFrame, key: str = "doc_id", source: str = "source", strict: bool = False) -> DataFrame:
     """A row for each document: ``n_diagnostics, n_errors, passed``. Errors fail a document, with ``strict`` every diagnostic does; null sources have none."""
-    found = df.select(key, X.let(pairs.diagnostics(X.sanitize(F.col(source))), lambda d: F.struct(F.size(d).alias("n"), F.size(F.filter(d, lambda x: x["severity"] == "error")).alias("e"))).alias("d"))
+    found = spread(df.select(key, source)).select(key, X.let(pairs.diagnostics(X.sanitize(F.col(source))), lambda d: F.struct(F.size(d).alias("n"), F.size(F.filter(d, lambda x: x["severity"] == "error")).alias("e"))).alias("d"))
     counted = found.select(key, F.coalesce("d.n", F.lit(0)).alias("n_diagnostics"), F.coalesce("d.e", F.lit(0)).alias("n_errors"))
     return counted.withColumn("passed", F.col("n_diagnostics" if strict else "n_errors") == 0)
 
@@ -127,7 +133,7 @@ def tokens(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFr
     """Tokens with byte spans, without Python or a shuffle: ``idx, token_kind, trigger_kind, start, end``."""
     starts = lambda t: X.let(F.transform(t, lambda x: F.octet_length(x).cast("long")), lambda n: X.running_sums(n))
     both = X.let(X.tokens(F.coalesce(F.col(source), F.lit(""))), lambda t: F.arrays_zip(t.alias("t"), starts(t).alias("s")))
-    each = df.select(key, F.posexplode(both).alias("idx", "_x")).select(key, "idx", F.col("_x.t").alias("t"), F.col("_x.s").alias("start"))
+    each = spread(df.select(key, source)).select(key, F.posexplode(both).alias("idx", "_x")).select(key, "idx", F.col("_x.t").alias("t"), F.col("_x.s").alias("start"))
     return each.select(key, "idx", X.token_kind(F.col("t")).alias("token_kind"), X.trigger_kind(F.col("t")).alias("trigger_kind"), "start", (F.col("start") + F.octet_length("t")).alias("end"))
 
 

@@ -37,7 +37,7 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark, d, source="text") -> DataFrame:
-    return parse.spread(t(spark, d, "documents").select("doc_id", F.expr(source).alias("source")))
+    return t(spark, d, "documents").select("doc_id", F.expr(source).alias("source"))
 
 
 def customers(spark, d) -> DataFrame:
@@ -365,7 +365,7 @@ def quoted_targets(spark, d):
     many = F.array_join(F.transform(F.sequence(lit(1), F.when(F.col("c_custkey") % 2 == 0, 70).otherwise(10)), lambda i: F.concat(lit("「q"), i.cast("string"), lit("」"))), "")
     name = F.when(F.col("c_custkey") % 3 == 0, F.concat(lit("「"), "c_name", lit("」"))).otherwise(F.col("c_name"))
     own = t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(many, name, lit("［＃「"), "c_name", lit("」に傍点］")).alias("source"))
-    both = parse.parse(parse.parse(own, ["nodes"], out="_a"), ["nodes"], out="_b", quoted_from=lookup.QUOTED_FROM)
+    both = parse.parse(parse.parse(own, ["nodes"], out="_a"), ["nodes"], out="_b", quoted_from=lookup.QUOTED_FROM, dealt=True)
     return both.select("doc_id", F.element_at("_a.nodes.kind", -1).alias("anywhere"), F.element_at("_b.nodes.kind", -1).alias("quoted"))
 
 
@@ -599,7 +599,7 @@ SELECT band, coalesce(n, 0) AS n, 100.0 * coalesce(n, 0) / (SELECT count(*) FROM
 def count_histogram(spark, d):
     """Diagnostics per document: a stray closer for each line end."""
     own = t(spark, d, "documents").select("doc_id", F.replace("text", lit("\n"), lit("」")).alias("source"))
-    return stats.labelled_histogram(parse.parse(parse.spread(own), ["diagnostics"]), F.size("parsed.diagnostics"), stats.DIAGNOSTIC_BANDS)
+    return stats.labelled_histogram(parse.parse(own, ["diagnostics"]), F.size("parsed.diagnostics"), stats.DIAGNOSTIC_BANDS)
 
 
 @query("""WITH x AS (SELECT l_extendedprice / l_quantity / 100 AS r FROM lineitem), g AS (SELECT CASE WHEN r < 1 THEN '0-1' WHEN r < 2 THEN '1-2' WHEN r < 4 THEN '2-4' WHEN r < 8 THEN '4-8' WHEN r < 16 THEN '8-16' ELSE '>16' END AS band, count(*) AS n FROM x GROUP BY 1)
@@ -614,14 +614,14 @@ SELECT band, coalesce(n, 0) AS n, 100.0 * coalesce(n, 0) / (SELECT count(*) FROM
 def diagnostic_distribution(spark, d):
     """Diagnostics as in ``count_histogram``, with seven nanoseconds a byte as the time taken."""
     own = t(spark, d, "documents").select((F.octet_length("text") * 7).alias("ns"), F.replace("text", lit("\n"), lit("」")).alias("source"))
-    found = parse.parse(parse.spread(own), ["diagnostics"]).select("ns", F.size("parsed.diagnostics").alias("n"))
+    found = parse.parse(own, ["diagnostics"]).select("ns", F.size("parsed.diagnostics").alias("n"))
     return stats.diagnostic_distribution(found, "n", "ns")
 
 
 @query("""SELECT doc_id, CAST(len(text) - len(replace(text, chr(10), '')) AS INTEGER) AS n_diagnostics, CAST(strlen(text) * 7 AS BIGINT) AS ns FROM documents ORDER BY 2 DESC, doc_id LIMIT 5""")
 def most_diagnostics(spark, d):
     own = t(spark, d, "documents").select("doc_id", (F.octet_length("text") * 7).cast("long").alias("ns"), F.replace("text", lit("\n"), lit("」")).alias("source"))
-    found = parse.parse(parse.spread(own), ["diagnostics"]).select("doc_id", F.size("parsed.diagnostics").alias("n_diagnostics"), "ns")
+    found = parse.parse(own, ["diagnostics"]).select("doc_id", F.size("parsed.diagnostics").alias("n_diagnostics"), "ns")
     return stats.top(found, 5, F.desc("n_diagnostics"), F.asc("doc_id"))
 
 
@@ -1037,7 +1037,7 @@ def _book(spark, d) -> DataFrame:
     head = F.concat(lit("［＃ここから2字下げ］\n｜"), F.get(words, lit(0)), lit("《よみ》漢字《かんじ》"))
     tail = F.concat(lit("「"), F.get(words, lit(1)), lit("」［＃「漢字」に傍点］※［＃「木＋吶のつくり」、第3水準1-85-54］\n［＃ここで字下げ終わり］\n［＃改ページ］"))
     own = F.concat(head, F.replace("text", lit(". "), lit("。《《強調》》［＃「強調」は縦中横］")), tail)
-    return parse.spread(t(spark, d, "documents").select("doc_id", own.alias("source")))
+    return t(spark, d, "documents").select("doc_id", own.alias("source"))
 
 
 @query()

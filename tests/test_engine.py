@@ -484,3 +484,42 @@ def test_variant_profiles(spark, tmp_path):
     large = {"threads": [{"tid": 1, "samples": {"stack": list(range(n))}, "stackTable": {"frame": [0] * n, "prefix": [None] * n}}]}
     began = time.perf_counter()
     assert trace.from_threads(trace.threads_of(spark.createDataFrame([(json.dumps(large),)], "profile string"))).samples.count() == n and time.perf_counter() - began < 30
+
+
+def test_a_table_of_one_task_is_read_by_all_cores(spark, monkeypatch):
+    """A file of one row group is one task, however large: rows go to several tasks before they are parsed, matched, rendered and tokenised."""
+    monkeypatch.setattr(parse, "TASKS", 3)
+    n = 3 * spark.sparkContext.defaultParallelism
+    plain = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("a"), "id", F.lit("\n\nb")).alias("source"))
+    noted = plain.select("doc_id", F.concat(F.lit("｜a"), "doc_id", F.lit("《x》［「")).alias("source"))
+    quoted = plain.withColumn("cut", F.octet_length("source")).withColumn("targets", F.array("source"))
+    for df in (
+        parse.nodes(noted), parse.diagnostics(noted), parse.pair_links(noted), parse.tokens(noted), parse.check(noted), render.render(noted), render.render(plain), render.render(plain, ["serialized"]),
+        lookup.targets_precede(quoted, "source", "cut", "targets", quoted_from=64),
+    ):
+        per_task = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(per_task) > n / 2 and max(per_task) < sum(per_task) / 4
+
+
+def test_rendering_counts_line_ends_as_before(spark):
+    """Line ends, marks and entities by byte searches give what the kernel gives."""
+    texts = ["", "\n", "\n\n\n", "a\nb", "a\n\nb\n", "\n<br />\n\n\n&\n'", "\ufeff\ufeffa\r\n\rb\r", "a\n----------\n==========\nb\n\n__________", " \n \n", "x<br />\n<br />\ny", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, source string")
+    for r in render.render(df, ["html", "serialized"]).collect():
+        assert (r.html, r.serialized) == ((None, None) if r.source is None else (Parsed(r.source).html(), Parsed(r.source).serialize()))
+
+
+def test_running_sums_over_chunks(spark):
+    for n in (0, 1, 63, 64, 65, 128, 1000):
+        lengths = [(7 * i) % 11 for i in range(n)]
+        got = spark.createDataFrame([(lengths,)], "n array<long>").select(X.running_sums(F.col("n")).alias("s")).first().s
+        assert got == [sum(lengths[:i]) for i in range(n)]
+    assert spark.createDataFrame([(None,)], "n array<long>").select(X.running_sums(F.col("n")).alias("s")).first().s in (None, [])
+
+
+def test_byte_places_of_short_and_long_texts():
+    from hanmoto.operators.kernel import Offsets
+
+    for text in ("aé漢😀\n", "aé漢😀\n" * 60, "a" * 300):
+        at = Offsets(text)
+        assert [at(i) for i in range(len(text) + 1)] == [len(text[:i].encode()) for i in range(len(text) + 1)]
