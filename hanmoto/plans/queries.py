@@ -487,7 +487,9 @@ p AS (SELECT DISTINCT l_orderkey AS k, CAST(l_linenumber AS INTEGER) AS line, CA
 
 
 def _spans_and_points(spark, d):
-    lines = t(spark, d, "lineitem")
+    # dealt out by order first, or the tasks that read the file would each hold all its groups: as many rows as a row group has
+    tasks = parse.TASKS * spark.sparkContext.defaultParallelism
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").repartition(tasks, "l_orderkey")
     each = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
     own = each.select(F.col("l_orderkey").alias("doc_id"), F.concat(lit("line"), "l_linenumber").alias("kind"), (F.col("l_linenumber") * 10).cast("int").alias("start"), (F.col("l_linenumber") * 10 + 1 + F.col("q").cast("int") % 9).cast("int").alias("end"))
     orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), lit("order").alias("kind"), lit(0).alias("start"), lit(100).alias("end"))

@@ -523,3 +523,12 @@ def test_byte_places_of_short_and_long_texts():
     for text in ("aé漢😀\n", "aé漢😀\n" * 60, "a" * 300):
         at = Offsets(text)
         assert [at(i) for i in range(len(text) + 1)] == [len(text[:i].encode()) for i in range(len(text) + 1)]
+
+
+def test_spans_and_points_are_grouped_after_they_are_dealt_out(spark):
+    """A task that reads a row group doesn't hold a group for each of its rows."""
+    from hanmoto.plans import queries
+
+    for df in queries._spans_and_points(spark, "/root/testdata/sf0.001"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "HashAggregate" not in plan[plan.index("hashpartitioning(l_orderkey") :]
