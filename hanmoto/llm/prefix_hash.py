@@ -20,17 +20,22 @@ VALUES = [_random.integers(1, PRIME, 256).astype(np.uint64) for _ in BASES]
 
 def reduce(x: np.ndarray) -> np.ndarray:
     """x modulo the prime, for x below 2^62."""
-    x = (x & _P) + (x >> _31)
-    x = (x & _P) + (x >> _31)
-    return np.where(x >= _P, x - _P, x)
+    for _ in range(2):
+        high = x >> _31
+        x = x & _P
+        x += high
+    return np.minimum(x, x - _P)  # what is below the prime wraps around
+
+
+_tables: dict[int, np.ndarray] = {}
 
 
-@lru_cache(maxsize=8)
 def _powers(base: int, log: int) -> np.ndarray:
-    out = np.ones(1 << log, np.uint64)
-    for k in range(log):
-        n = 1 << k
-        out[n : 2 * n] = reduce(out[:n] * np.uint64(pow(base, n, PRIME)))
+    """The first 2^log powers at least: one table a base, which grows with the longest text."""
+    out = _tables.get(base, np.ones(1, np.uint64))
+    while len(out) < 1 << log:
+        out = np.concatenate([out, reduce(out * np.uint64(pow(base, len(out), PRIME)))])
+        _tables[base] = out
     return out
 
 

@@ -760,3 +760,26 @@ def test_empty_tables(spark, docs, name):
         "mix": mixing.mix, "lines": line_dedup.drop_site_lines, "pack": lambda d: packing.pack(d, public_path(BYTE)), "prints": doc_fingerprint.compare_with_next, "shards": shards,
     }[name]
     assert f(none).count() == 0
+
+
+def test_powers_are_kept_for_texts_of_all_lengths():
+    """A table of powers is made once, not anew whenever a text of another length comes."""
+    from hanmoto.llm import prefix_hash
+
+    lengths = [1 << k for k in range(15)]
+    for n in lengths:
+        for r in range(2):
+            for inverse in (False, True):
+                base = pow(prefix_hash.BASES[r], -1, prefix_hash.PRIME) if inverse else prefix_hash.BASES[r]
+                got = prefix_hash.powers(r, n, inverse)
+                assert len(got) == n and [int(got[i]) for i in (0, n // 2, n - 1)] == [pow(base, i, prefix_hash.PRIME) for i in (0, n // 2, n - 1)]
+    asked = [(r, n, inverse) for n in lengths for r in range(2) for inverse in (False, True)]
+    kept = [prefix_hash.powers(*x) for x in asked]
+    assert all(np.shares_memory(a, prefix_hash.powers(*x)) for a, x in zip(kept, asked, strict=True))
+
+
+def test_reduction_modulo_the_prime():
+    from hanmoto.llm.prefix_hash import PRIME, reduce
+
+    xs = [0, 1, PRIME - 1, PRIME, PRIME + 1, 2 * PRIME, 1 << 31, 1 << 32, (PRIME - 1) ** 2, (1 << 62) - 1]
+    assert reduce(np.array(xs, np.uint64)).tolist() == [x % PRIME for x in xs]
