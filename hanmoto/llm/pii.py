@@ -290,15 +290,19 @@ def train(texts: list[str], updates: int = UPDATES) -> dict | None:
     return p
 
 
+#: What a text with personal data holds, unless it holds an at sign.
+MARKED = r"\+[0-9]|[0-9](?:[0-9]{12}|\.[0-9]+\.[0-9]|[0-9]{3}[ -][0-9]{4})"
+
+
 def fit(docs: DataFrame, text: str = "text") -> dict | None:
     """The network, from the base spans of a bounded sample that depends on the texts alone: distinct ones with the least hashes, up to a bound set by their number."""
     own = docs.select(F.col(text).alias("t")).filter((F.octet_length("t") <= MOST_BYTES) & (F.length("t") > 0))
-    marked = F.col("t").rlike(r"@|\+[0-9]|[0-9]{13}|[0-9]\.[0-9]+\.[0-9]|[0-9]{4}[ -][0-9]{4}")
+    marked = F.col("t").contains("@") | F.col("t").rlike(MARKED)
     own = own.select("t", F.xxhash64("t").alias("h"), marked.alias("m"))
     most, there = {True: MOST_MARKED, False: MOST_OTHER}, {q["m"]: q["n"] for q in own.groupBy("m").agg(F.approx_count_distinct("h").alias("n")).collect()}
     bound = {m: min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * 1.5 * most[m] / max(1, n))) for m, n in there.items()}
     near = F.when(F.col("m"), F.lit(bound.get(True, 0))).otherwise(F.lit(bound.get(False, 0)))
-    found = sorted((q["h"], q["t"], q["m"]) for q in own.filter(F.col("h") <= near).distinct().collect())
+    found = sorted((q["h"], q["t"], q["m"]) for q in own.filter((F.col("h") <= max(bound.values(), default=0)) & (F.col("h") <= near)).distinct().collect())  # most rows need no search for marks
     return train([t for m, n in most.items() for t in [t for _, t, own in found if own == m][:n]])
 
 

@@ -180,3 +180,25 @@ def test_the_sample_depends_on_texts_alone(spark, monkeypatch):
     monkeypatch.setattr(P, "train", lambda texts: texts)
     docs = spark.createDataFrame([(i, f"x{i}@y.example.com {i}" if i % 2 else f"plain {i}") for i in range(60)] + [(99, "a@b.cd" * 20_000), (98, None)], "doc_id long, text string")
     assert P.fit(docs.repartition(3)) == P.fit(docs.repartition(5).orderBy("text")) and len(P.fit(docs)) == 60
+
+
+def test_the_sample_is_drawn_by_the_same_marks(spark, monkeypatch):
+    """Texts of the sample are those with the least hashes of either sort, marks found as by one expression over all forms."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from hanmoto.llm import pii
+
+    every = r"@|\+[0-9]|[0-9]{13}|[0-9]\.[0-9]+\.[0-9]|[0-9]{4}[ -][0-9]{4}"
+    forms = ["a@b", "+1", "1234567890123", "123456789012", "1.22.3", "1..2", "1234-5678", "1234 567", "none", "1.2", "+ 1"]
+    texts = [f"{f} {i % 7} x{i}" for i, f in enumerate(forms * 30)]
+    for x in texts:
+        assert bool("@" in x or re.search(pii.MARKED, x)) == bool(re.search(every, x))
+    monkeypatch.setattr(pii, "train", lambda found, *_: found)
+    monkeypatch.setattr(pii, "MOST_MARKED", 20)
+    monkeypatch.setattr(pii, "MOST_OTHER", 10)
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    hashed = sorted((r.h, r.text) for r in df.select("text", F.xxhash64("text").alias("h")).collect())
+    want = [[x for _, x in hashed if bool(re.search(every, x)) == m][:n] for m, n in ((True, 20), (False, 10))]
+    assert pii.fit(df) == want[0] + want[1]
